@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from legispark.llm.sharding import shard_keys
+
+    keys = shard_keys(_table(spark, sf_dir, "documents"), 40)
+    return keys.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op5_sharding": op5_sharding,
     "op9_mixing": op9_mixing,
 }
 
