@@ -23,8 +23,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from legispark.llm.quality import apply_policy, ledger
+
+    book = apply_policy(ledger(_table(spark, sf_dir, "documents")), 2)
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(3).cast("long")) != 0).alias("base_failed"), "kept", "failed")
+
+
 QUERIES = {
     "op5_sharding": op5_sharding,
+    "op7_quality_rules": op7_quality_rules,
     "op9_mixing": op9_mixing,
 }
 
