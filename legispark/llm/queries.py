@@ -36,7 +36,25 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from legispark.llm.language import fit, predict
+    from legispark.llm.toxicity import fold
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs)).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "cosine")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from legispark.llm.toxicity import fit, fold, score
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments", "first_word", "end_word")
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op7_quality_rules": op7_quality_rules,
