@@ -52,7 +52,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments", "first_word", "end_word")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from legispark.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
