@@ -58,7 +58,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from legispark.llm.substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), 50)
+
+
 QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
     "op1_near_duplicates": op1_near_duplicates,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
