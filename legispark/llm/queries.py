@@ -64,7 +64,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), 50)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from legispark.llm.pii import BASE, as_text, find_personal_data, fit, of_kind
+
+    docs = _table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, fit(docs))
+    counts = [F.size(of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op8_pii": op8_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op1_near_duplicates": op1_near_duplicates,
     "op2_language_id": op2_language_id,
