@@ -73,7 +73,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from legispark.llm.pages import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op10_html_text": op10_html_text,
     "op8_pii": op8_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op1_near_duplicates": op1_near_duplicates,

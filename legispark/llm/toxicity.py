@@ -215,3 +215,15 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(np.array(evidence, float))), pa.array(count, pa.int64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "score", "n_segments", "first_word", "end_word"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_segments long, first_word long, end_word long")
+
+
+def keep(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``limit``, whole and unchanged, in one pass and without a join."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            evidence = [_evidence(n, segments, model.decay, model.scale) for n, segments in _scan(batch.column(at), model.hashes, model.scores, model.drift)]
+            yield batch.filter(pa.array(model.probability(np.array(evidence, float)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
