@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from legispark.plans import relational  # noqa: F401
+from legispark.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
