@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from legispark.plans import audits, relational, retrieval, texts  # noqa: F401
+from legispark.plans import audits, evidence, relational, retrieval, texts  # noqa: F401
 from legispark.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
