@@ -62,19 +62,17 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
 def text_grams(text: str) -> np.ndarray:
     """The n-grams of a text as numbers. Runs of what is no letter count as one gap, also before and after the text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = []
-    for at in range(0, max(1, len(points)), PART_CHARS):  # parts overlap, so that a long text needs no more memory
-        code = letter_codes()[points[max(0, at - GRAM) : at + PART_CHARS]].astype(np.int32)
-        if not at:
-            code = np.concatenate(([0], code))
+    out, carry = [], np.zeros(1, np.int32)
+    for at in range(0, max(1, len(points)), PART_CHARS):  # in parts, so that a long text needs no more memory
+        code = np.concatenate((carry, letter_codes()[points[at : at + PART_CHARS]].astype(np.int32)))
         if at + PART_CHARS >= len(points):
-            code = np.append(code, 0)
+            code = np.append(code, np.int32(0))
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
         code = code[keep]
+        carry = code[-(GRAM - 1) :]
         if len(code) >= GRAM:
-            gram = sum(code[GRAM - 1 - k : len(code) - k] * CODES**k for k in range(GRAM))
-            out.append(gram)
+            out.append(sum(code[GRAM - 1 - k : len(code) - k] * CODES**k for k in range(GRAM)))
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
