@@ -85,16 +85,17 @@ def shard_keys(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """All columns of ``docs`` with ``size``, ``shard`` and ``slot``, in ranges of the key.
+    """All columns of ``docs`` with ``size``, ``shard`` and ``slot``, in ranges of the key; columns of these names are replaced.
 
     Shards and slots come from ``shard_keys``. Rows that repeat a doc_id and a text are told apart by their number among
     such rows, so each gets a slot of its own.
     """
     keys = shard_keys(docs, shards)
     again = Window.partitionBy("_id", "_hash").orderBy("shard", "slot")
-    keys = keys.select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash"), "size", "shard", "slot", F.row_number().over(again).alias("_kn"))
+    keys = keys.select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash"), F.col("size").alias("_ksize"), F.col("shard").alias("_kshard"), F.col("slot").alias("_kslot"), F.row_number().over(again).alias("_kn"))
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.withColumns({"_mid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_mhash": F.xxhash64(text)})
     numbered = marked.withColumn("_mn", F.row_number().over(Window.partitionBy("_mid", "_mhash").orderBy(F.lit(0))))
     joined = numbered.join(keys, (F.col("_mid") == F.col("_kid")) & (F.col("_mhash") == F.col("_khash")) & (F.col("_mn") == F.col("_kn")))
-    return joined.select(*docs.columns, "size", "shard", "slot")
+    added = {"size": "_ksize", "shard": "_kshard", "slot": "_kslot"}
+    return joined.select(*(c for c in docs.columns if c not in added), *(F.col(v).alias(k) for k, v in added.items()))
