@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from legispark.llm.idfilter import id_filter, may_hold
 from legispark.llm.storage import drop, materialize
 from legispark.llm.words import SPACES, as_bytes, mix64, parts, split
 
@@ -95,11 +96,12 @@ def _profiles(width: int):
     return run
 
 
-def _pack(width: int):
-    """(id, signature, compressed text) of candidate documents."""
+def _pack(width: int, wanted: np.ndarray):
+    """(id, signature, compressed text) of documents that may be candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(wanted, batch.column(0))))
             minima = [signature(x, MINIMA) if len(x) else None for x in shingle_sets(batch.column(1), width)]
             text = [zlib.compress((t or "").encode(), 1) for t in batch.column(1).to_pylist()]
             short = [None if m is None else m.astype(np.uint8).tobytes() for m in minima]
@@ -180,8 +182,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = materialize(banded.join(pivots, "key").select("key", "id", "pivot", "n"), "buckets")
     pairs = materialize(buckets.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     candidates = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.withColumnRenamed("doc_id", "id").join(candidates, "id", "left_semi")
-    packed = materialize(texts.mapInArrow(_pack(width), "id long, signature binary, packed binary").filter("signature IS NOT NULL"), "candidates")
+    candidates = materialize(candidates, "candidate-ids")
+    texts = docs.mapInArrow(_pack(width, id_filter(candidates)), "id long, signature binary, packed binary").filter("signature IS NOT NULL")
+    packed = materialize(texts.join(candidates, "id", "left_semi"), "candidates")
     return _finish(profiles, members, buckets, pairs, packed, width, percent)
 
 
