@@ -15,6 +15,15 @@ WIDTH, PERCENT = 5, 80
 SHARDS = 40
 
 
+#: Rows up to which per-document decisions are broadcast to the texts; beyond it the texts are shuffled to them.
+BROADCAST_ROWS = 2_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    df = materialize(df, "decisions")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more; the model is fitted on labelled rows of its input."""
     model = _toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,21 +34,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each near-duplicate group."""
     out = minhash.near_duplicates(docs, WIDTH, PERCENT)
     gone = out.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark window occurs."""
     hits = _decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = hits.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, zero to three times."""
     copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("_key"), "copies").dropDuplicates(["_id", "_key"])
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
+    joined = keyed.join(_small(copies), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 

@@ -54,48 +54,54 @@ def _range_of(hashes: np.ndarray, ids: np.ndarray):
     return find
 
 
-def shard_keys(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of all rows: law ``bytes``.
-
-    Size is the UTF-8 bytes of the text (null: none) plus 16. Slots count from 0 without gaps in each shard, in key
-    order. A null doc_id sorts as the least id, repeated rows each get a slot of their own; an empty table gives none.
-    Only keys travel, never texts; extra columns are not read.
-    """
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds the key (_hash, _id) and the size _size."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", record_bytes(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"))
-    keyed = materialize(keyed, "keys")
-    counted = keyed.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    return docs.withColumns({"_size": record_bytes(F.col("text")), "_hash": F.xxhash64(text), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
+
+
+def _place(records: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
+    """``records`` (with key and size) dealt to ranges that splitters of ``keys`` bound, with _shard and _slot."""
+    counted = keys.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
     n, total, largest = counted[0], counted[1] or 0, counted[2] or 0
     ranges = min(MOST_RANGES, max(RANGES, n // RANGE_ROWS))
-    dealt = keyed.withColumn("_range", _range_of(*_splitters(keyed, ranges, total))(F.col("_hash"), F.col("_id")))
-    within = Window.partitionBy("_range").orderBy("_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = records.withColumn("_range", _range_of(*_splitters(keys, ranges, total))(F.col("_hash"), F.col("_id")))
+    within = Window.partitionBy("_range").orderBy("_hash", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     copies = Window.partitionBy("_range", "_hash")
-    placed = dealt.withColumn("_upto", F.sum("size").over(within)).withColumn("_row", F.count(F.lit(1)).over(within))
-    alike = F.sum("size").over(copies)
-    middle = F.when(alike <= max(total / shards / 50, largest), (F.min(F.col("_upto") - F.col("size")).over(copies) + F.max("_upto").over(copies)) / 2).otherwise(F.col("_upto") - F.col("size") / 2)
+    placed = dealt.withColumn("_upto", F.sum("_size").over(within)).withColumn("_row", F.count(F.lit(1)).over(within))
+    alike = F.sum("_size").over(copies)
+    middle = F.when(alike <= max(total / shards / 50, largest), (F.min(F.col("_upto") - F.col("_size")).over(copies) + F.max("_upto").over(copies)) / 2).otherwise(F.col("_upto") - F.col("_size") / 2)
     placed = materialize(placed.withColumn("_middle", middle), "ranges")
     # One row per range from here; their number is bounded above.
     order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_range").agg(F.max("_upto").alias("_bytes"), F.max("_row").alias("_rows")).select("_range", F.coalesce(F.sum("_bytes").over(order), F.lit(0)).alias("_bytes_before"), F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_rows_before"))
     joined = placed.join(F.broadcast(starts), "_range")
     shard = F.least(F.lit(shards - 1), F.floor((F.col("_bytes_before") + F.col("_middle")) * shards / float(max(total, 1)))).cast("int")
-    joined = joined.select("doc_id", "size", "text_crc32", "_hash", "_id", shard.alias("shard"), (F.col("_rows_before") + F.col("_row") - 1).alias("_at"))
-    first = joined.groupBy("shard").agg(F.min("_at").alias("_first"))
-    return joined.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_at") - F.col("_first")).cast("long").alias("slot"), "_hash", "_id")
+    joined = joined.withColumn("_shard", shard).withColumn("_at", F.col("_rows_before") + F.col("_row") - 1)
+    first = joined.groupBy("_shard").agg(F.min("_at").alias("_first"))
+    return joined.join(F.broadcast(first), "_shard").withColumn("_slot", (F.col("_at") - F.col("_first")).cast("long"))
+
+
+def shard_keys(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of all rows: law ``bytes``.
+
+    Size is the UTF-8 bytes of the text (null: none) plus 16. Slots count from 0 without gaps in each shard, in key
+    order. A null doc_id sorts as the least id, repeated rows each get a slot of their own; an empty table gives none.
+    Only keys travel, never texts; extra columns are not read.
+    """
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    keyed = materialize(_keyed(docs.select("doc_id", "text")).select("doc_id", "_size", crc.alias("text_crc32"), "_hash", "_id"), "keys")
+    placed = _place(keyed, keyed.withColumnRenamed("_size", "size"), shards)
+    return placed.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """All columns of ``docs`` with ``size``, ``shard`` and ``slot``, in ranges of the key; columns of these names are replaced.
+    """All columns of ``docs`` with ``size``, ``shard`` and ``slot``; columns of these names are replaced.
 
-    Shards and slots come from ``shard_keys``. Rows that repeat a doc_id and a text are told apart by their number among
-    such rows, so each gets a slot of its own.
+    The records themselves are dealt to their ranges, in the one shuffle that moves texts; nothing is joined back, so
+    rows that repeat each keep a slot of their own.
     """
-    keys = shard_keys(docs, shards)
-    again = Window.partitionBy("_id", "_hash").orderBy("shard", "slot")
-    keys = keys.select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash"), F.col("size").alias("_ksize"), F.col("shard").alias("_kshard"), F.col("slot").alias("_kslot"), F.row_number().over(again).alias("_kn"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"_mid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_mhash": F.xxhash64(text)})
-    numbered = marked.withColumn("_mn", F.row_number().over(Window.partitionBy("_mid", "_mhash").orderBy(F.lit(0))))
-    joined = numbered.join(keys, (F.col("_mid") == F.col("_kid")) & (F.col("_mhash") == F.col("_khash")) & (F.col("_mn") == F.col("_kn")))
-    added = {"size": "_ksize", "shard": "_kshard", "slot": "_kslot"}
-    return joined.select(*(c for c in docs.columns if c not in added), *(F.col(v).alias(k) for k, v in added.items()))
+    keys = materialize(_keyed(docs.select("doc_id", "text")).select(F.col("_size").alias("size"), "_hash", "_id"), "keys")
+    placed = _place(_keyed(docs), keys, shards)
+    added = {"size": "_size", "shard": "_shard", "slot": "_slot"}
+    return placed.select(*(c for c in docs.columns if c not in added), *(F.col(v).alias(k) for k, v in added.items()))
