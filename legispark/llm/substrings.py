@@ -29,8 +29,9 @@ from legispark.llm.storage import materialize
 from legispark.llm.words import as_bytes, grams, mix64, parts, split
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words of a minimiser's gram, and rows above which a bucket is dealt out by window.
-GRAM, BUCKET_ROWS = 16, 192
+#: Words of a minimiser's gram, and rows above which a bucket is dealt out by window: a bucket's rows are some 500 bytes
+#: each and their windows 24 bytes each, so a task holds some 30 MB for a bucket at most.
+GRAM, BUCKET_ROWS = 16, 24_000
 
 
 def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -107,60 +108,56 @@ def _cut_batch(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["key", "id", "start", "words", "hot"])
 
 
-def _ranges(places: list[int], width: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for p in places:
-        if out and p <= out[-1][1]:
-            out[-1] = (out[-1][0], p + width)
-        else:
-            out.append((p, p + width))
-    return out
-
-
-def _count_bucket(width: int):
-    """Word ranges of windows that a smaller document has; rows come sorted by key, so a bucket is read as one run."""
-
-    def settle(rows: list[tuple[int, int, str]], out: list[list]) -> None:
-        if len({r[0] for r in rows}) < 2:
-            return
-        windows = []
-        for n, (ident, _, text) in enumerate(rows):
-            words = text.split(" ")
-            windows += [(" ".join(words[k : k + width]), ident, n, k) for k in range(len(words) - width + 1)]
-        windows.sort()
-        marked: dict[int, list[int]] = {}
-        last, least = None, 0
-        for window, ident, n, k in windows:
-            if window != last:
-                last, least = window, ident
-            elif ident != least:
-                marked.setdefault(n, []).append(k)
-        for n, places in marked.items():
-            ident, start, _ = rows[n]
-            for low, high in _ranges(sorted(places), width):
-                out[0].append(ident)
-                out[1].append(start + low)
-                out[2].append(start + high)
+def _window_digests(data: np.ndarray, offset: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of the digest of each window of consecutive texts, its text, and its first word there."""
+    words = split(data, offset)
+    if len(words.hash) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one, whole = grams(words, width)
+    two, _ = grams(words._replace(hash=mix64(words.hash ^ np.uint64(0xA0761D6478BD642F))), width)
+    at = np.nonzero(whole)[0]
+    row = words.row[at]
+    return one[at].view(np.int64), two[at].view(np.int64), row, at - words.first[row]
+
+
+def _count_buckets(width: int):
+    """Word ranges of windows that a smaller document has. Rows come sorted by key; whole buckets are sorted together, window by window, until some thousand rows are gathered."""
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        key, ident, start = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+        found: list[np.ndarray] = []
+        if rows:
+            one, two, row, at = _window_digests(*as_bytes(pa.array([r[3] for r in rows], pa.string())), width)
+            order = np.lexsort((ident[row], two, one, key[row]))
+            k, x, y = key[row][order], one[order], two[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            least = ident[row[order]][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+            marked = np.sort(order[ident[row[order]] > least])  # in the order of rows and places again
+            row, at = row[marked], at[marked]
+            first = np.ones(len(marked), bool)
+            first[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + width)
+            begin = np.nonzero(first)[0]
+            end = np.append(begin[1:], len(marked)) - 1
+            if len(marked):
+                found = [ident[row[begin]], start[row[begin]] + at[begin], start[row[begin]] + at[end] + width]
+        return _range_batch(found or [[], [], []])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], [[], [], []]
+        rows: list[tuple] = []
         for batch in batches:
-            for k, ident, start, words in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if k != key:
-                    settle(rows, out)
-                    key, rows = k, []
-                rows.append((ident, start, words))
-            if len(out[0]) > 20_000:
-                yield _range_batch(out)
-                out = [[], [], []]
-        settle(rows, out)
-        yield _range_batch(out)
+            for r in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if len(rows) >= 2048 and rows[-1][0] != r[0]:
+                    yield settle(rows)
+                    rows = []
+                rows.append(r)
+        yield settle(rows)
 
     return run
 
 
-def _range_batch(out: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["id", "low", "high"])
+def _range_batch(out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "low", "high"])
 
 
 def _windows(width: int):
@@ -171,14 +168,8 @@ def _windows(width: int):
             data, offset = as_bytes(batch.column(2))
             ids, starts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in parts(batch.column(2)):
-                words = split(data[offset[a] : offset[b]], offset[a : b + 1] - offset[a])
-                if len(words.hash) < width:
-                    continue
-                one, whole = grams(words, width)
-                two, _ = grams(words._replace(hash=mix64(words.hash ^ np.uint64(0xA0761D6478BD642F))), width)
-                at = np.nonzero(whole)[0]
-                row = words.row[at]
-                yield pa.RecordBatch.from_arrays([pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(ids[a + row]), pa.array((starts[a + row] + at - words.first[row]).astype(np.int32))], names=["one", "two", "id", "low"])
+                one, two, row, at = _window_digests(data[offset[a] : offset[b]], offset[a : b + 1] - offset[a], width)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids[a + row]), pa.array((starts[a + row] + at).astype(np.int32))], names=["one", "two", "id", "low"])
 
     return run
 
@@ -228,7 +219,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
     sent = materialize(sent, "sent")
 
     usual = sent.filter("not hot").select("key", "id", "start", "words").repartition("key").sortWithinPartitions("key", "id", "start")
-    ranges = usual.mapInArrow(_count_bucket(width), "id long, low int, high int")
+    ranges = usual.mapInArrow(_count_buckets(width), "id long, low int, high int")
     windows = materialize(sent.filter("hot").select("id", "start", "words").mapInArrow(_windows(width), "one long, two long, id long, low int"), "hot-windows")
     least = windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("one", "two", "least")
     hot = windows.join(least, ["one", "two"]).filter("id > least").select("id", "low", (F.col("low") + width).cast("int").alias("high"))
