@@ -9,6 +9,7 @@ from legispark.llm import decontaminate as _decontaminate
 from legispark.llm import minhash, mixing, sharding
 from legispark.llm import toxicity as _toxicity
 from legispark.llm.storage import materialize
+from legispark.shipping import ship
 
 #: Near-duplicates share 80% of their five-word shingles.
 WIDTH, PERCENT = 5, 80
@@ -26,12 +27,14 @@ def _small(df: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more; the model is fitted on labelled rows of its input."""
+    ship(spark)
     model = _toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _toxicity.keep(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each near-duplicate group."""
+    ship(spark)
     out = minhash.near_duplicates(docs, WIDTH, PERCENT)
     gone = out.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
@@ -39,6 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark window occurs."""
+    ship(spark)
     hits = _decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = hits.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
@@ -46,6 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, zero to three times."""
+    ship(spark)
     copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("_key"), "copies").dropDuplicates(["_id", "_key"])
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
     joined = keyed.join(_small(copies), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
@@ -54,6 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with size, shard and slot; equal bytes per shard."""
+    ship(spark)
     return sharding.assign(docs, SHARDS)
 
 
