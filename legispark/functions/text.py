@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-ZERO_WIDTH = "​‌‍⁠﻿"
-NO_BREAK_SPACES = "   "
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
+NO_BREAK_SPACES = "\u00a0\u202f\u2007"
 FILLER = r"(?:[._…]\s*){12,}"
 FILLER_PLACEHOLDER = "[THÔNG TIN ĐỂ TRỐNG]"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"

@@ -123,7 +123,7 @@ def clean_html(html: str | None) -> str:
     reader.feed(html)
     reader.close()
     text = unicodedata.normalize("NFC", "".join(reader.out))
-    text = re.sub("[​‌‍⁠﻿]", "", re.sub("[   ]", " ", text)).replace("\r\n", "\n").replace("\r", "\n")
+    text = re.sub(r"[\u200b\u200c\u200d\u2060\ufeff]", "", re.sub(r"[\u00a0\u202f\u2007]", " ", text)).replace("\r\n", "\n").replace("\r", "\n")
     lines: list[str] = []
     for raw in text.split("\n"):
         line = raw if raw.startswith("[[TABLE_") else _line(raw)

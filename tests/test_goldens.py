@@ -116,3 +116,8 @@ def test_near_duplicates_of_evidence(spark):
 def test_quotes(spark):
     x = spark.createDataFrame([("một hai", "Không một  hai ba"), ("Một, hai ba bốn năm", "x một hai ba bốn năm y"), ("hai ba", "một"), ("", "a")], "q string, e string")
     assert [r[0] for r in x.select(evidence.quote_in(F.col("q"), F.col("e"))).collect()] == [True, True, False, False]
+
+
+def test_zero_width_and_no_break_spaces(spark):
+    assert html.clean_html("<p>a&nbsp;b\u200bc\u202fd</p>") == "a bc d"
+    assert spark.range(1).select(text.strip_zero_width(F.lit("a\u00a0b\u200bc"))).first()[0] == "a bc"
