@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,9 +95,12 @@ def _range(first: str, last: str) -> str | None:
     return (first if first == last else f"{first}-{last}") or None
 
 
-def _chunk(doc: pd.DataFrame, policy: ChunkPolicy) -> Iterator[dict]:
-    """The chunks of one document; its lines carry kind, label and containment."""
-    doc_id = doc["doc_id"].iloc[0]
+Line = namedtuple("Line", ["doc_id", "line", "kind", *CONTAINERS, "article"])
+
+
+def _chunk(rows: list[Line], policy: ChunkPolicy) -> Iterator[dict]:
+    """The chunks of one document; its lines carry kind and containment."""
+    doc_id = rows[0].doc_id
     used: dict[str, int] = {}
 
     def make(kind: str, text: str, parts: tuple, parent: str | None = None, indexable: bool = True, label: str | None = None, path: str = "") -> dict:
@@ -143,7 +148,6 @@ def _chunk(doc: pd.DataFrame, policy: ChunkPolicy) -> Iterator[dict]:
             name = _range(first, last)
             yield make(kind if first == last else f"{kind}_group", text, (parent["chunk_id"].split("::", 1)[1], kind, name), parent["chunk_id"], label=name, path=path)
 
-    rows = list(doc[["line", "kind", "label", *CONTAINERS, "article"]].itertuples(index=False))
     has_articles = any(r.article for r in rows)
     groups: list[tuple[tuple, list]] = []
     for r in rows:
@@ -168,15 +172,32 @@ def _chunk(doc: pd.DataFrame, policy: ChunkPolicy) -> Iterator[dict]:
 def chunk_documents(docs: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
     """Chunks of documents (doc_id, text), by their structure. Every line is in some indexable chunk; none exceeds the most tokens."""
     lines = containment(classify(line_tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))))
-
-    def run(doc: pd.DataFrame) -> pd.DataFrame:
-        found = list(_chunk(doc.sort_values("line_no"), policy))
-        out = pd.DataFrame(found)
-        out["ordinal"] = range(len(out))
-        out["doc_id"] = doc["doc_id"].iloc[0]
-        return out[[c.split()[0] for c in SCHEMA.split(", ")]]
-
-    return lines.groupBy("doc_id").applyInPandas(run, SCHEMA)
+    # The windows of the containment have put a document's lines into one partition; the sort keeps them together there.
+    lines = lines.sortWithinPartitions("doc_id", "line_no").select(*Line._fields)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def table(found: list[dict]) -> pa.RecordBatch:
+        types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        return pa.RecordBatch.from_arrays([pa.array([c[n] for c in found], types[t]) for n, t in (x.split() for x in SCHEMA.split(", "))], names=names)
+
+    def chunks_of(doc: list[Line]) -> list[dict]:
+        return [c | {"doc_id": doc[0].doc_id, "ordinal": k} for k, c in enumerate(_chunk(doc, policy))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: list[Line] = []
+        out: list[dict] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if doc and doc[0].doc_id != row[0]:
+                    out += chunks_of(doc)
+                    doc = []
+                    if len(out) > 2000:
+                        yield table(out)
+                        out = []
+                doc.append(Line(*row))
+        yield table(out + (chunks_of(doc) if doc else []))
+
+    return lines.mapInArrow(run, SCHEMA)
 
 
 def semantic_overlap(chunks: DataFrame, policy: ChunkPolicy = ChunkPolicy(), least_source: int = 600, least: int = 60) -> DataFrame:

@@ -61,8 +61,7 @@ TOKS = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^\
 
 @query(f"SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) OR contains({TOKS.format('d.text')}, {TOKS.format('b.text')})")
 def quote_in_evidence(spark: SparkSession, d: str) -> DataFrame:
-    b = search.small(table(spark, d, "benchmark").select("item_id", F.col("text").alias("_q")))
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("_t")).join(b, evidence.quote_in(F.col("_q"), F.col("_t"))).select("item_id", "doc_id").distinct()
+    return evidence.quote_matches(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, i, s, list_distinct(list_filter(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id < 50)),

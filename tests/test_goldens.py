@@ -121,3 +121,10 @@ def test_quotes(spark):
 def test_zero_width_and_no_break_spaces(spark):
     assert html.clean_html("<p>a&nbsp;b\u200bc\u202fd</p>") == "a bc d"
     assert spark.range(1).select(text.strip_zero_width(F.lit("a\u00a0b\u200bc"))).first()[0] == "a bc"
+
+
+def test_quote_matches_agree_with_the_pairwise_test(spark):
+    texts = spark.createDataFrame([(1, "Không một  hai ba bốn năm sáu bảy tám"), (2, "xmột hai ba bốn năm sáu bảyx"), (3, "hai"), (4, None)], "doc_id int, text string")
+    quotes = spark.createDataFrame([(1, "một hai ba bốn năm sáu bảy"), (2, "Một, hai; ba bốn năm sáu bảy"), (3, "hai"), (4, "ba bốn năm sáu bảy"), (5, "")], "item_id int, text string")
+    want = texts.withColumnRenamed("text", "t").crossJoin(quotes).filter(evidence.quote_in(F.col("text"), F.col("t"))).select("item_id", "doc_id")
+    assert sorted(rows(evidence.quote_matches(quotes, texts))) == sorted(rows(want)) != []
