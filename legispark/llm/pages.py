@@ -1,7 +1,8 @@
 """Main text of web pages by site template removal.
 
-Element subtrees are hashed; Spark counts, per host, on how many pages each hash occurs; subtrees that recur on many
-pages of a host are its template and are deleted. What HTML itself says is used as well: elements for menus, headers,
+Element subtrees are hashed; Spark counts, per host, on how many distinct pages each hash occurs; subtrees that recur on
+``LEAST_PAGES`` of them are the host's template and are deleted. Pages of a host with the same main text are copies of
+one page and count once, and the number does not rise with the host. What HTML itself says is used as well: elements for menus, headers,
 footers, sidebars, forms, scripts and styles go, elements whose class, id or role names such a thing go, and where a
 page marks its article, only that is taken. Inside an article only containers can be template, since a sentence that
 many articles share is still text.
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from legispark.llm.storage import materialize
 
-#: A subtree is template if it is on so many pages of the host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 4, 0.1
-#: Hosts' templates are broadcast up to so many hashes; beyond it they are joined by host.
+#: A subtree is template if it is on so many distinct pages of the host.
+LEAST_PAGES = 4
+#: Hosts' templates go to all workers up to so many hashes; beyond it they are joined by host and hash.
 BROADCAST_HASHES = 200_000
 
 # Element names of HTML by what they mean here, and words in class, id and role that name what is no text.
@@ -152,9 +153,8 @@ def _roots(tree: Node) -> list[tuple[Node, bool]]:
     return [(found["body"][0] if found["body"] else tree, False)]
 
 
-def candidates(html: str) -> set[int]:
+def candidates(tree: Node) -> set[int]:
     """Hashes of the subtrees of a page that could be template."""
-    tree = parse(html)
     found: list[Node] = []
     for root, in_article in _roots(tree):
         todo = [c for c in root.children if isinstance(c, Node)]
@@ -172,7 +172,10 @@ def candidates(html: str) -> set[int]:
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of a page without what is dropped and without subtrees whose hash is in ``template``."""
-    tree = parse(html)
+    return _text(parse(html), template)
+
+
+def _text(tree: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
     if template:
         _hash(tree)
     out: list[str] = []
@@ -204,36 +207,53 @@ def host_of(url: Column) -> Column:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [list(candidates(h)) if h else [] for h in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "hashes"])
+        found, votes = [], []
+        for h in batch.column(2).to_pylist():
+            tree = parse(h or "")
+            found.append(list(candidates(tree)))
+            votes.append(int.from_bytes(hashlib.blake2b(_text(tree).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "vote", "hashes"])
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the hashes of each host's recurring subtrees.
+def _keyed(pages: DataFrame, *columns: str) -> DataFrame:
+    """With the host and, as ``page``, a digest of the html: equal pages of a host have the same template."""
+    return pages.select(*columns, host_of(F.col("url")).alias("host"), F.md5(F.coalesce("html", F.lit(""))).alias("page"), "html")
 
-    A hash is on a tenth of a host's pages at least, so a host has about ten times as many as a page has subtrees.
-    """
-    found = materialize(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_candidates, "host string, hashes array<bigint>"), "subtrees")
-    sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
-    counts = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    kept = counts.join(sizes, "host").filter(F.col("n") >= F.col("_pages") * LEAST_SHARE)
-    return kept.groupBy("host").agg(F.collect_list("hash").alias("template"), F.count(F.lit(1)).alias("n"))
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, vote, hashes) per row: its candidates, and the hash of its main text with the template in it."""
+    return _keyed(pages).mapInArrow(_candidates, "host string, page string, vote bigint, hashes array<bigint>")
+
+
+def site_templates(found: DataFrame) -> DataFrame:
+    """(host, hash) of each host's recurring subtrees. Copies of a page have one vote; no host is too large for one."""
+    votes = found.select("host", "vote", F.explode("hashes").alias("hash")).distinct()
+    return votes.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host", "hash")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], sites: dict[str, frozenset[int]] | None) -> Iterator[pa.RecordBatch]:
+    """Columns page_id, url, html, and the host if ``sites`` has the templates, else the page's own."""
     for batch in batches:
-        text = [main_text(h, frozenset(t or ())) if h else "" for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        own = batch.column(3).to_pylist()
+        templates = [frozenset(t or ()) for t in own] if sites is None else [sites.get(host, frozenset()) for host in own]
+        text = [main_text(h, t) if h else "" for h, t in zip(batch.column(2).to_pylist(), templates, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per row of ``pages``.
 
-    A null html gives an empty text; a null url shares the host "" with other such rows; repeated rows count as pages
-    of their own. Extra columns are not read.
+    A null html gives an empty text; a null url shares the host "" with other such rows; rows of a host with the same
+    main text count as one page. Extra columns are not read.
     """
-    templates = materialize(site_templates(pages), "templates")
-    total = templates.agg(F.sum("n")).first()[0] or 0
-    small = F.broadcast(templates) if total <= BROADCAST_HASHES else templates
-    joined = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(small.drop("n"), "host", "left").select("page_id", "url", "html", "template")
-    return joined.mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    found = materialize(subtrees(pages), "subtrees")
+    templates = materialize(site_templates(found), "templates")
+    rows = _keyed(pages, "page_id", "url")
+    if templates.count() <= BROADCAST_HASHES:
+        sites = {r.host: frozenset(r.template) for r in templates.groupBy("host").agg(F.collect_list("hash").alias("template")).collect()}
+        rows = rows.select("page_id", "url", "html", "host")
+    else:
+        sites = None
+        marks = found.select("host", "page", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
+        rows = rows.join(marks, ["host", "page"], "left").select("page_id", "url", "html", "template")
+    return rows.mapInArrow(lambda batches: _extract(batches, sites), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -428,6 +428,22 @@ def test_pages(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_page_templates_of_copies_and_large_hosts(spark, monkeypatch, broadcast):
+    from legispark.llm import pages
+
+    monkeypatch.setattr(pages, "BROADCAST_HASHES", broadcast)
+    own = lambda i: f"<div><p>Own text {i} stays</p></div>"
+    rows = [(i, "http://copies.example/", f"<body>{own('copied' if i < 6 else i)}<div>Foot</div></body>") for i in range(12)]
+    rows += [(i, "http://large.example/", f"<body>{own(i)}{'<div><p>Section box</p></div>' if i < 105 else ''}</body>") for i in range(100, 200)]
+    rows += [(i, "http://article.example/", f"<article><p>Text {0 if i < 305 else i}</p><ul><li>Item {0 if i < 305 else i}</ul></article>") for i in range(300, 310)]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == f"Own text {'copied' if i < 6 else i} stays" for i in range(12))
+    assert all(got[i] == f"Own text {i} stays" for i in range(100, 200))
+    assert all(got[i] == "Text {0} Item {0}".format(0 if i < 305 else i) for i in range(300, 310))
+
+
 # Helpers.
 
 
