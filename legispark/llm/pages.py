@@ -134,18 +134,18 @@ def _hash(node: Node) -> int:
 
 
 def _roots(tree: Node) -> list[tuple[Node, bool]]:
-    """Where the text is: the articles, else the main element, else the body or all."""
+    """Where the text is, in the order of the page: the articles, else the first main element, else the first body or all."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
     todo = [tree]
     while todo:
-        x = todo.pop(0) if len(todo) < 64 else todo.pop()
+        x = todo.pop()
         if x.tag in found and not is_dropped(x, False):
             found[x.tag].append(x)
             if x.tag == "article":
                 continue
         elif x.tag not in ("#", "html", "body") and (x.tag in RAW or x.tag in DROPPED):
             continue
-        todo += [c for c in x.children if isinstance(c, Node)]
+        todo += [c for c in reversed(x.children) if isinstance(c, Node)]
     if found["article"]:
         return [(x, True) for x in found["article"]]
     if found["main"]:

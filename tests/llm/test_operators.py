@@ -428,6 +428,14 @@ def test_pages(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_articles_stay_in_page_order():
+    from legispark.llm.pages import main_text
+
+    assert main_text("<body>" + "".join(f"<article>{k}</article>" for k in range(70)) + "</body>") == " ".join(map(str, range(70)))
+    assert main_text("<body><div><div><article>1</article></div></div><article>2</article></body>") == "1 2"
+    assert main_text("<body><div><div><main>1</main></div></div><main>2</main></body>") == "1"
+
+
 @pytest.mark.parametrize("broadcast", [200_000, 0])
 def test_page_templates_of_copies_and_large_hosts(spark, monkeypatch, broadcast):
     from legispark.llm import pages
