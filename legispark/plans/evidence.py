@@ -247,8 +247,7 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def issue_fair(spark: SparkSession, d: str) -> DataFrame:
     x = _evidence(spark, d).select("query_id", F.col("article").alias("issue"), F.col("item").cast("string").alias("item"), "score", F.col("document_id").cast("string").alias("basis"))
-    top = x.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "issue").orderBy(F.desc("score"), "item"))).filter("_n <= 50").drop("_n")
-    return evidence.issue_fair(top)
+    return evidence.issue_fair(x)
 
 
 @query()
