@@ -252,7 +252,7 @@ def issue_fair(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ancestor_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).filter("tokens > 20").select("chunk_id", "doc_id", "text")
+    c = chunks(spark, d).select("chunk_id", "doc_id", "text")
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("_parent"))
     return c.join(docs, "doc_id").select("chunk_id", evidence.ancestor_excerpt(F.col("_parent"), F.col("text")).alias("excerpt"))
 

@@ -40,3 +40,11 @@ def test_issue_fair_against_its_definition(spark):
         got.setdefault(r.query_id, []).append((r.issue, r.item, r.position))
     for q in range(30):
         assert sorted(got[q], key=lambda x: x[2]) == fair([r[1:] for r in rows if r[0] == q])
+
+
+def test_ancestor_excerpt_of_short_chunks(spark, tmp_path):
+    long = " ".join(f"Word{k}" for k in range(30)) + "."
+    rows = [(1, f"A\nA banana.\n{long}", "en", "s"), (2, "Only.", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.chunk_id: " ".join(r.excerpt.split()) for r in QUERIES["ancestor_excerpt"](spark, str(tmp_path)).collect()}
+    assert got == {"1::0": f"A banana. {long}", "1::1": f"A {long}", "1::2": "A A banana.", "2::0": ""}
