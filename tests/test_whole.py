@@ -48,3 +48,14 @@ def test_ancestor_excerpt_of_short_chunks(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.chunk_id: " ".join(r.excerpt.split()) for r in QUERIES["ancestor_excerpt"](spark, str(tmp_path)).collect()}
     assert got == {"1::0": f"A banana. {long}", "1::1": f"A {long}", "1::2": "A A banana.", "2::0": ""}
+
+
+def test_dense_ann_finds_most_of_the_exact_neighbours(spark, data):
+    from pyspark.sql import functions as F
+
+    from legispark.operators.search import dense_top_k
+
+    e = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
+    exact = dense_top_k(e, e.filter("point_id % 20 = 0").withColumnRenamed("point_id", "query_id"), 10).select("query_id", "point_id")
+    found = QUERIES["dense_ann"](spark, data).join(exact, ["query_id", "point_id"]).count()
+    assert found >= 0.9 * exact.count()
