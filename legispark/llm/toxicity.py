@@ -1,18 +1,21 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens get the log-odds of toxic against clean documents under an informative Dirichlet prior; tokens whose log-odds
-are significantly positive score, all others cost a small drift. One linear scan finds every maximal-scoring segment
-of a text. By the extreme-value theory of such segments, a segment of score S in n words is expected by chance
-``K * n * exp(-lambda * S)`` times; lambda solves the moment equation of the clean score distribution and K is fitted
-to the segments of clean documents. A document adds up what its segments have beyond chance, and a logistic curve
-fitted on the labelled sample turns this sum into a probability.
+Units are words and their beginnings (``PREFIXES`` characters), so that the forms of an inflected stem count together.
+They get the log-odds of toxic against clean documents under an informative Dirichlet prior. Units whose log-odds are
+high and whose share of toxic documents is beyond what chance makes of so many units score, all other words cost a small
+drift. One linear scan finds every maximal-scoring segment of a text. By the extreme-value theory of such segments, a
+segment of score S in n words is expected by chance ``K * n * exp(-lambda * S)`` times. A document adds up what its
+segments have beyond chance, and a logistic curve turns this sum into a probability.
+
+Lambda, K and the curve are fitted on texts that did not choose the units which score them: each fold of the labelled
+sample is scored by the units of the other folds. Copies of a text count once.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +25,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legispark.llm.storage import drop, materialize
-from legispark.llm.words import PUNCTUATION, as_bytes, parts, split
-
-#: Labelled rows that the fit takes at most, by class (clean, toxic); tokens that the model keeps at most.
-SAMPLE, MODEL_TOKENS = (12_000, 8_000), 20_000
+from legispark.llm.words import PUNCTUATION, Words, as_bytes, grams, mix64, parts, prefixes, split
+
+#: Labelled rows that the fit takes at most, by class (clean, toxic).
+SAMPLE = (12_000, 8_000)
+#: Folds of the labelled rows: the first is held out, the others fit. Lengths of word beginnings that are units.
+FOLDS, PREFIXES = 5, (4, 5, 6)
+#: Minima by which copies in the sample are found, and the chance that a unit passes by luck at all.
+COPY_KEYS, LUCK = 4, 1.0
+#: A unit scores once within so many words: a word that is repeated over and over is no longer passage.
+REPEAT_WORDS = 100
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def fold(doc_id: Column, folds: int = 5) -> Column:
+def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     """crc32 of the id as text, modulo ``folds``; fold 0 is held out. A null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
@@ -76,21 +85,49 @@ def maximal_segments(places: list[int], scores: list[float], drift: float) -> li
     return [(a, b, after - before) for a, b, before, after in stack]
 
 
-def _scan(column: pa.Array, hashes: np.ndarray, scores: np.ndarray, drift: float) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-    """(words, segments) of each text."""
+def _marked(hashes: np.ndarray) -> np.ndarray:
+    """The hash of a beginning, told apart from that of the word of the same letters."""
+    return mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93))
+
+
+def unit_hashes(units: list[str]) -> np.ndarray:
+    """Hashes of units, as ``_units`` writes them: words, and beginnings with a star behind."""
+    words = split(*as_bytes(pa.array([u.rstrip("*") for u in units], pa.string())), PUNCTUATION, lower=True).hash
+    return np.where(np.array([u.endswith("*") for u in units], bool), _marked(words), words)
+
+
+def _best(words: Words, hashes: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, score, unit) of the words that score, each by its highest unit."""
+    score, unit = np.zeros(len(words.hash)), np.full(len(words.hash), -1)
+    if len(hashes):
+        for found, of in ((words.hash, np.arange(len(words.hash))), *((_marked(h), w) for h, w in (prefixes(words, n) for n in PREFIXES))):
+            at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+            hit = np.nonzero(hashes[at] == found)[0]
+            more = hit[scores[at[hit]] > score[of[hit]]]
+            score[of[more]], unit[of[more]] = scores[at[more]], at[more]
+    place = np.nonzero(unit >= 0)[0]
+    return place, score[place], unit[place]
+
+
+def _scan(column: pa.Array, hashes: np.ndarray, scores: np.ndarray, drift: float) -> Iterator[tuple[int, list[float], list[tuple[int, int, float]]]]:
+    """(words, scores of single words, segments) of each text."""
     data, offset = as_bytes(column)
     for a, b in parts(column):
         words = split(data[offset[a] : offset[b]], offset[a : b + 1] - offset[a], PUNCTUATION, lower=True)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, words.hash), len(hashes) - 1)
-            hit = np.nonzero(hashes[at] == words.hash)[0]
-            value, bound = scores[at[hit]], np.searchsorted(hit, words.first)
-        else:
-            hit, value, bound = np.zeros(0, np.int64), np.zeros(0), np.zeros(b - a + 1, np.int64)
+        place, value, unit = _best(words, hashes, scores)
+        bound = np.searchsorted(place, words.first)
         for k in range(b - a):
             low, high = bound[k], bound[k + 1]
             first = words.first[k]
-            yield int(words.first[k + 1] - first), maximal_segments((hit[low:high] - first).tolist(), value[low:high].tolist(), drift) if high > low else []
+            places: list[int] = []
+            values: list[float] = []
+            last: dict[int, int] = {}
+            for p, s, u in zip((place[low:high] - first).tolist(), value[low:high].tolist(), unit[low:high].tolist(), strict=True):
+                if p - last.get(u, -REPEAT_WORDS) >= REPEAT_WORDS:
+                    last[u] = p
+                    places.append(p)
+                    values.append(s)
+            yield int(words.first[k + 1] - first), values, maximal_segments(places, values, drift)
 
 
 def _evidence(n: int, segments: list[tuple[int, int, float]], decay: float, scale: float) -> float:
@@ -98,25 +135,56 @@ def _evidence(n: int, segments: list[tuple[int, int, float]], decay: float, scal
     return sum(max(0.0, decay * s - chance) for _, _, s in segments)
 
 
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either class that hold a token, summed over a task."""
-    seen = (Counter(), Counter())
+def _units(text: str) -> set[str]:
+    words = {w.translate(_LOWER) for w in _WORD.findall(text)}
+    return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
+
+
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold a unit by class and fold, summed over a task."""
+    seen: defaultdict[tuple[int, int], Counter] = defaultdict(Counter)
+
+    def counted() -> pa.RecordBatch:
+        rows = [(u, toxic, part, n) for (toxic, part), c in seen.items() for u, n in c.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["unit", "toxic", "fold", "n"])
+
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update({w.translate(_LOWER) for w in _WORD.findall(text or "")})
-        if len(seen[0]) + len(seen[1]) > 300_000:
-            yield _counted(seen)
-            seen = (Counter(), Counter())
-    yield _counted(seen)
+        for text, toxic, part in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            seen[toxic, part].update(_units(text))
+        if sum(map(len, seen.values())) > 300_000:
+            yield counted()
+            seen.clear()
+    yield counted()
 
 
-def _counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
-    tokens = list(seen[0].keys() | seen[1].keys())
-    return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([c[t] for t in tokens], pa.int64()) for c in seen)], names=["token", "clean", "toxic"])
+def _with_copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``COPY_KEYS`` least hashes of a text's five-word runs: copies share all, near copies most, other texts none."""
+    for batch in batches:
+        keys: list[list[int]] = [[] for _ in range(COPY_KEYS)]
+        data, offset = as_bytes(batch.column(0))
+        for a, b in parts(batch.column(0)):
+            words = split(data[offset[a] : offset[b]], offset[a : b + 1] - offset[a], PUNCTUATION, lower=True)
+            run, whole = grams(words, 5)
+            for k in range(b - a):
+                low, high = words.first[k], words.first[k + 1]
+                own = run[low : high - 4][whole[low : high - 4]] if high - low >= 5 else words.hash[low:high]
+                for n, out in enumerate(keys):
+                    out.append(int(mix64(own ^ np.uint64(n)).min().view(np.int64)) if len(own) else 0)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in keys)], names=[*batch.schema.names, *(f"k{n}" for n in range(COPY_KEYS))])
+
+
+def _distinct_texts(sample: DataFrame) -> DataFrame:
+    """One row of each group of copies or near copies of one label. The sample bounds what is broadcast."""
+    names = [f"k{n}" for n in range(COPY_KEYS)]
+    keyed = materialize(sample.mapInArrow(_with_copy_keys, "text string, _label int, _fold int, " + ", ".join(f"{k} long" for k in names)), "copy-keys").withColumn("_text", F.xxhash64("text"))
+    left = keyed.select("_text", "_label", *names)
+    for k in names:
+        left = left.groupBy(k, "_label").agg(F.min(F.struct("_text", *(x for x in names if x != k))).alias("x")).select("_label", k, "x.*")
+    return keyed.dropDuplicates(["_text", "_label"]).join(F.broadcast(left.select("_text", "_label").distinct()), ["_text", "_label"], "left_semi").select("text", "_label", "_fold")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> tuple[DataFrame, list[int]]:
-    """(text, label) of at most ``sample`` rows of either class outside fold 0, and how many rows each class has.
+    """(text, _label, _fold) of at most ``sample`` rows of either class outside fold 0, and how many rows each class has.
 
     Rows are taken in the order of a hash of the id. Their ids, which the sample bounds, are broadcast to the scan.
     """
@@ -125,51 +193,97 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", sa
     totals = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     order = F.xxhash64(F.lit(11), F.col("doc_id"))
     taken = known.filter("_label = 0").orderBy(order, "doc_id").limit(sample[0]).unionByName(known.filter("_label = 1").orderBy(order, "doc_id").limit(sample[1]))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "_label")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "_label", fold(F.col("doc_id")).cast("int").alias("_fold"))
     return materialize(chosen, "labelled"), [totals.get(0, 0), totals.get(1, 0)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 500.0, flat: float = 0.5, z_least: float = 3.2, drift: float = 0.1) -> ToxicityModel:
-    """Fit on a bounded sample of labelled rows (``SAMPLE``). Without rows of both classes nothing scores."""
+def _unit_counts(counts: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], float], int]:
+    """Per unit of three toxic documents or more its documents as y<class>_<fold>; their totals over all units; and how many units there are."""
+    of = lambda c, k: F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == k), F.col("n")).otherwise(0)).cast("double")
+    cells = [(c, k) for c in (0, 1) for k in range(1, FOLDS)]
+    sums = materialize(counts.groupBy("unit").agg(*(of(c, k).alias(f"y{c}_{k}") for c, k in cells)), "unit-counts")
+    row = sums.agg(F.count(F.lit(1)), *(F.sum(f"y{c}_{k}") for c, k in cells)).first()
+    often = materialize(sums.filter(sum(F.col(f"y1_{k}") for k in range(1, FOLDS)) >= 3), "toxic-units")
+    drop(sums)
+    return often, {cell: x or 0.0 for cell, x in zip(cells, row[1:], strict=True)}, row[0]
+
+
+def _choose_units(often: DataFrame, totals: dict[tuple[int, int], float], n_units: int, prior: float, flat: float, least_odds: float, without: int | None) -> list[tuple[str, float]]:
+    """(unit, log-odds) of the units that score, learned from all folds or from all but one.
+
+    A unit in y1 toxic and y0 clean documents is beyond chance if ``exp(-n * KL(y1 / n || p))``, Chernoff's bound for so
+    toxic a unit where p is the toxic share of all, is under ``LUCK`` over the number of units.
+    """
+    folds = [k for k in range(1, FOLDS) if k != without]
+    y0, y1 = (sum(F.col(f"y{c}_{k}") for k in folds) for c in (0, 1))
+    t0, t1 = (sum(totals[c, k] for k in folds) for c in (0, 1))
+    if not t0 or not t1:
+        return []
+    n, p = y0 + y1, t1 / (t0 + t1)
+    # The prior of a unit: its share of all units, and a flat part that keeps rare ones in bounds.
+    alpha = F.lit(flat) + F.lit(prior) * n / (t0 + t1)
+    odds = lambda y, total: F.log((y + alpha) / (total + prior - y))
+    delta = odds(y1, t1) - odds(y0, t0)
+    term = lambda y, share: F.when(y > 0, y * F.log(y / n / share)).otherwise(0.0)
+    chance = term(y1, p) + term(y0, 1 - p)
+    chosen = often.filter((y1 >= 3) & (y1 > n * p) & (chance >= math.log(n_units / LUCK)) & (delta >= least_odds))
+    return _longest_stems([tuple(r) for r in chosen.select("unit", delta.alias("delta"), y1.alias("y1")).collect()])
+
+
+def _longest_stems(units: list[tuple[str, float, float]], alike: float = 0.8) -> list[tuple[str, float]]:
+    """Without beginnings that one longer unit explains: where it has most of the toxic documents, other words of that beginning have none of the blame."""
+    most: dict[str, float] = {}
+    for u, _, y1 in units:
+        word = u.rstrip("*")
+        for n in PREFIXES:
+            if len(word) > n or len(word) == n and word == u:
+                most[word[:n] + "*"] = max(most.get(word[:n] + "*", 0.0), y1)
+    return sorted((u, delta) for u, delta, y1 in units if not u.endswith("*") or most.get(u, 0.0) < alike * y1)
+
+
+def _table(units: list[tuple[str, float]]) -> tuple[np.ndarray, np.ndarray]:
+    hashes = unit_hashes([u for u, _ in units])
+    order = np.argsort(hashes)
+    return hashes[order], np.array([d for _, d in units], float)[order]
+
+
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 500.0, flat: float = 0.5, least_odds: float = 3.0, drift: float = 0.1) -> ToxicityModel:
+    """Fit on a bounded sample of labelled rows (``SAMPLE``), their copies once.
+
+    Needs doc_id and text of ``docs``, doc_id and toxic of ``labels``; other columns are not read. Null labels and null
+    ids are left out, a null text is empty, a doc_id that is labelled twice counts as toxic if one label says so.
+    Without rows of both classes, as with empty tables, nothing scores.
+    """
     sample, totals = labelled_sample(docs, labels)
+    sample = materialize(_distinct_texts(sample), "distinct-labelled")
     per_class = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
     n0, n1 = per_class.get(0, 0), per_class.get(1, 0)
     blank = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0, -3.0, 1.0)
     if not n0 or not n1:
         return blank
-    counts = sample.mapInArrow(_count_tokens, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").cast("double").alias("y0"), F.sum("toxic").cast("double").alias("y1")).filter(F.col("y0") + F.col("y1") >= 3)
-    counts = materialize(counts, "token-counts")
-    t = counts.agg(F.sum("y0"), F.sum("y1")).first()
-    t0, t1 = t[0] or 1.0, t[1] or 1.0
-    # The prior of a token: its share of all tokens, and a flat part that keeps the variance of rare tokens in bounds.
-    alpha = F.lit(flat) + F.lit(prior) * (F.col("y0") + F.col("y1")) / (t0 + t1)
-    odds = lambda y, n: F.log((y + alpha) / (n + prior - y))
-    delta = odds(F.col("y1"), t1) - odds(F.col("y0"), t0)
-    z = delta / F.sqrt(1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha))
-    rows = counts.select("token", delta.alias("delta"), z.alias("z")).filter(F.col("z") >= z_least).orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).collect()
-    drop(counts)
-    if not rows:
+    counts = _unit_counts(sample.mapInArrow(_count_units, "unit string, toxic int, fold int, n long"))
+    units = _choose_units(*counts, prior, flat, least_odds, None)
+    if not units:
         return blank
-    tokens = [r["token"] for r in rows]
-    hashes = split(*as_bytes(pa.array(tokens)), PUNCTUATION, lower=True).hash
-    order = np.argsort(hashes)
-    hashes, scores = hashes[order], np.array([r["delta"] for r in rows])[order]
+    hashes, scores = _table(units)
+    others = {k: _table(_choose_units(*counts, prior, flat, least_odds, k)) for k in range(1, FOLDS)}
+    drop(counts[0])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_scan(batch.column(0), hashes, scores, drift))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for _, _, s in x] for _, x in found], pa.list_(pa.float64()))], names=["label", "n", "segments"])
+            for k, table in others.items():
+                own = batch.filter(pa.array(batch.column(2).to_numpy() == k))
+                found = list(_scan(own.column(0), *table, drift))
+                yield pa.RecordBatch.from_arrays([own.column(1), pa.array([n for n, _, _ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.list_(pa.float64())), pa.array([[s for _, _, s in x] for _, _, x in found], pa.list_(pa.float64()))], names=["label", "n", "singles", "segments"])
 
-    scanned = sample.mapInArrow(scan, "label int, n long, segments array<double>").collect()
+    scanned = sample.mapInArrow(scan, "label int, n long, singles array<double>, segments array<double>").collect()
     drop(sample)
     # Chance: clean documents give the score distribution of single words, and how often segments reach a score.
     clean = [r for r in scanned if r["label"] == 0]
     words = max(1, sum(r["n"] for r in clean))
-    singles = np.array([s for r in clean for s in r["segments"]])
-    rate = (len(singles) + 0.5) / (words + 1)
-    high = float(np.mean(scores)) if not len(singles) else float(np.mean(singles))
-    # lambda: rate * exp(lambda * high) + (1 - rate) * exp(-lambda * drift) = 1, by bisection above the root at 0.
-    moment = lambda x: rate * math.exp(min(700.0, x * high)) + (1 - rate) * math.exp(-x * drift) - 1
+    singles = np.append([s for r in clean for s in r["singles"]], float(np.mean(scores)))  # one more, so that chance is never nil
+    # lambda: the mean of exp(lambda * score) over clean words is 1, by bisection above the root at 0.
+    moment = lambda x: np.exp(np.minimum(700.0, x * singles)).sum() / words + max(0, words - len(singles)) / words * math.exp(-x * drift) - 1
     low, up = 1e-6, 1.0
     while moment(up) < 0 and up < 1e3:
         up *= 2
@@ -177,8 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 500.0, flat: float =
         mid = (low + up) / 2
         low, up = (mid, up) if moment(mid) < 0 else (low, mid)
     decay = up
-    floor = float(np.median(singles)) if len(singles) else high
-    scale = ((singles >= floor).sum() + 0.5) / (words * math.exp(-decay * floor))
+    segments = np.append([s for r in clean for s in r["segments"]], singles[-1])
+    floor = float(np.median(segments))
+    scale = (segments >= floor).sum() / (words * math.exp(-decay * floor))
     x = np.log1p([_evidence(r["n"], [(0, 0, s) for s in r["segments"]], decay, scale) for r in scanned])
     y = np.array([r["label"] for r in scanned], float)
     weight = np.where(y == 1, max(totals[1], n1) / n1, max(totals[0], n0) / n0)
@@ -192,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 500.0, flat: float =
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return ToxicityModel(hashes, scores, drift, decay, scale, float(beta[0]), float(max(beta[1], 1e-6)), tuple(tokens))
+    return ToxicityModel(hashes, scores, drift, decay, scale, float(beta[0]), float(max(beta[1], 1e-6)), tuple(u for u, _ in units))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -204,7 +319,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             evidence, count, first, end = [], [], [], []
-            for n, segments in _scan(batch.column(1), model.hashes, model.scores, model.drift):
+            for n, _, segments in _scan(batch.column(1), model.hashes, model.scores, model.drift):
                 chance = math.log(max(model.scale * n, 1e-12))
                 kept = [s for s in segments if model.decay * s[2] > chance]
                 best = max(kept, key=lambda s: s[2], default=(None, None, 0))
@@ -218,12 +333,16 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``limit``, whole and unchanged, in one pass and without a join."""
+    """The rows of ``docs`` that score under ``limit``, whole and unchanged, in one pass and without a join.
+
+    All columns stay as they are, whatever their names. Rows with a null or empty text stay, since nothing in them
+    scores; repeated rows stay or go together; an empty table gives an empty table.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            evidence = [_evidence(n, segments, model.decay, model.scale) for n, segments in _scan(batch.column(at), model.hashes, model.scores, model.drift)]
+            evidence = [_evidence(n, segments, model.decay, model.scale) for n, _, segments in _scan(batch.column(at), model.hashes, model.scores, model.drift)]
             yield batch.filter(pa.array(model.probability(np.array(evidence, float)) < limit))
 
     return docs.mapInArrow(run, docs.schema)

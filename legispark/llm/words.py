@@ -52,6 +52,7 @@ class Words(NamedTuple):
     hash: np.ndarray
     data: np.ndarray
     offset: np.ndarray
+    value: np.ndarray
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +94,19 @@ def split(data: np.ndarray, offset: np.ndarray, separators: np.ndarray = SPACES,
     np.cumsum((_LOWER if lower else _TABLE)[data] * up[:n], out=value[1:])
     hashed = mix64((value[end] - value[start]) * down[start] + (end - start).astype(np.uint64))
     first = np.searchsorted(start, offset)
-    return Words(first, np.repeat(np.arange(len(offset) - 1), np.diff(first)), start, end, hashed, data, offset)
+    return Words(first, np.repeat(np.arange(len(offset) - 1), np.diff(first)), start, end, hashed, data, offset, value)
+
+
+def prefixes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first n characters of the words that have so many, and which words these are."""
+    begins = (words.data & 0xC0) != 0x80
+    chars = np.nonzero(begins)[0]
+    rank = np.concatenate(([0], np.cumsum(begins)))
+    long = np.nonzero(rank[words.end] - rank[words.start] >= n)[0]
+    start, last = words.start[long], rank[words.start[long]] + n
+    end = np.where(last < len(chars), chars[np.minimum(last, max(len(chars) - 1, 0))], len(words.data)) if len(long) else start
+    down = _power(len(words.data) + 1)[1]
+    return mix64((words.value[end] - words.value[start]) * down[start] + (end - start).astype(np.uint64)), long
 
 
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
