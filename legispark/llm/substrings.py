@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from legispark.llm.idfilter import id_filter, may_hold
 from legispark.llm.storage import materialize
 from legispark.llm.words import as_bytes, grams, mix64, parts, split
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words of a minimiser's gram, and rows above which a bucket is dealt out by window: a bucket's rows are some 500 bytes
-#: each and their windows 24 bytes each, so a task holds some 30 MB for a bucket at most.
-GRAM, BUCKET_ROWS = 16, 24_000
+#: Words of a minimiser's gram, and rows above which a bucket is dealt out by window. Both ways are exact; a bucket of
+#: more rows than this would stand out among the buckets of a task.
+GRAM, BUCKET_ROWS = 16, 1024
 
 
 def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -44,12 +45,12 @@ def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _super_kmers(width: int, gram: int):
-    """Per row: id, words, digest of the words, sha256 of the joined words, and the super-k-mers as three arrays."""
+    """Per row: id, text hash, words, digest of the words, sha256 of the joined words, and the super-k-mers as three arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offset = as_bytes(batch.column(1))
-            for a, b in parts(batch.column(1)):
+            data, offset = as_bytes(batch.column(2))
+            for a, b in parts(batch.column(2)):
                 part = data[offset[a] : offset[b]]
                 words = split(part, offset[a : b + 1] - offset[a])
                 raw = part.tobytes()
@@ -76,7 +77,7 @@ def _super_kmers(width: int, gram: int):
                     sha.append(hashlib.sha256(joined).hexdigest())
                     digest.append(hashlib.blake2b(joined, digest_size=16).digest())
                 lists = [pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(x)) for x in (key, local.astype(np.int32), count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(words.first).astype(np.int64)), pa.array(digest, pa.binary()), pa.array(sha), *lists], names=["id", "n_words", "digest", "sha", "keys", "starts", "counts"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (0, 1)), pa.array(np.diff(words.first).astype(np.int64)), pa.array(digest, pa.binary()), pa.array(sha), *lists], names=["id", "row", "n_words", "digest", "sha", "keys", "starts", "counts"])
 
     return run
 
@@ -86,26 +87,24 @@ def _cut(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for ident, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            out: list[list] = [[] for _ in range(6)]
+            for ident, row, text, runs in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 words = WORD.findall(zlib.decompress(text).decode())
                 for r in runs:
-                    out[0].append(r["key"])
-                    out[1].append(ident)
-                    out[2].append(r["start"])
-                    out[3].append(" ".join(words[r["start"] : r["start"] + r["count"] + width - 1]))
-                    out[4].append(r["hot"])
+                    packed = " ".join(words[r["start"] : r["start"] + r["count"] + width - 1])
+                    for column, x in zip(out, (r["key"], ident, row, r["start"], packed, r["hot"]), strict=True):
+                        column.append(x)
                 if len(out[0]) > 20_000:
                     yield _cut_batch(out)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in range(6)]
             yield _cut_batch(out)
 
     return run
 
 
 def _cut_batch(out: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["key", "id", "start", "words", "hot"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["key", "id", "row", "start", "words", "hot"])
 
 
 def _window_digests(data: np.ndarray, offset: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,10 +123,10 @@ def _count_buckets(width: int):
     """Word ranges of windows that a smaller document has. Rows come sorted by key; whole buckets are sorted together, window by window, until some thousand rows are gathered."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        key, ident, start = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+        key, ident, text, start = (np.array([r[c] for r in rows], np.int64) for c in range(4))
         found: list[np.ndarray] = []
         if rows:
-            one, two, row, at = _window_digests(*as_bytes(pa.array([r[3] for r in rows], pa.string())), width)
+            one, two, row, at = _window_digests(*as_bytes(pa.array([r[4] for r in rows], pa.string())), width)
             order = np.lexsort((ident[row], two, one, key[row]))
             k, x, y = key[row][order], one[order], two[order]
             new = np.ones(len(order), bool)
@@ -140,13 +139,13 @@ def _count_buckets(width: int):
             begin = np.nonzero(first)[0]
             end = np.append(begin[1:], len(marked)) - 1
             if len(marked):
-                found = [ident[row[begin]], start[row[begin]] + at[begin], start[row[begin]] + at[end] + width]
-        return _range_batch(found or [[], [], []])
+                found = [ident[row[begin]], text[row[begin]], start[row[begin]] + at[begin], start[row[begin]] + at[end] + width]
+        return _range_batch(found or [[], [], [], []])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if len(rows) >= 2048 and rows[-1][0] != r[0]:
                     yield settle(rows)
                     rows = []
@@ -157,28 +156,28 @@ def _count_buckets(width: int):
 
 
 def _range_batch(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "low", "high"])
+    return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "row", "low", "high"])
 
 
 def _windows(width: int):
-    """(window digest in two halves, id, first word) of the windows of packed strings."""
+    """(window digest in two halves, id, text hash, first word) of the windows of packed strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offset = as_bytes(batch.column(2))
-            ids, starts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b in parts(batch.column(2)):
+            data, offset = as_bytes(batch.column(3))
+            ids, texts, starts = (batch.column(c).to_numpy() for c in range(3))
+            for a, b in parts(batch.column(3)):
                 one, two, row, at = _window_digests(data[offset[a] : offset[b]], offset[a : b + 1] - offset[a], width)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids[a + row]), pa.array((starts[a + row] + at).astype(np.int32))], names=["one", "two", "id", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids[a + row]), pa.array(texts[a + row]), pa.array((starts[a + row] + at).astype(np.int32))], names=["one", "two", "id", "row", "low"])
 
     return run
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, words removed, sha256 of what is kept, kept text) of texts with ranges."""
+    """(id, digest, words removed, sha256 of what is kept, kept text) of texts with ranges."""
     for batch in batches:
         removed, sha, kept_text = [], [], []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             words, kept, upto = WORD.findall(zlib.decompress(text).decode()), [], 0
             for r in sorted((r["low"], r["high"]) for r in ranges):
                 kept += words[upto : max(upto, r[0])]
@@ -187,51 +186,60 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(len(words) - len(kept))
             kept_text.append(" ".join(kept))
             sha.append(hashlib.sha256(kept_text[-1].encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["id", "n_removed", "sha", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["id", "digest", "n_removed", "sha", "kept_text"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress((t or "").encode(), 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "packed"])
+def _packed(wanted: np.ndarray):
+    """(id, text hash, compressed text) of documents that may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(wanted, batch.column(0))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.compress((t or "").encode(), 1) for t in batch.column(2).to_pylist()], pa.binary())], names=["id", "row", "packed"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) per row; kept_text only where something was removed.
 
     Every word goes that lies in a window whose words also start in a document of a smaller doc_id; windows are judged
-    on the input. Reads doc_id (an integer that identifies the row) and text. A null, empty or short text has no
-    window and keeps its words; equal doc_ids do not count as different documents; a row without a doc_id is kept.
+    on the input. Reads doc_id (an integer) and text, whatever other columns there are. A null, empty or short text has
+    no window and keeps its words; a row without a doc_id is kept. Rows that share a doc_id are not different documents
+    to each other, but each is judged on its own text, and each comes back once. An empty table gives none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    # A row is known by its id and the hash of its text; rows alike in both share their result.
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
     gram = min(GRAM, width)
-    listed = materialize(docs.mapInArrow(_super_kmers(width, gram), "id long, n_words long, digest binary, sha string, keys array<bigint>, starts array<int>, counts array<int>"), "super-kmers")
+    listed = materialize(docs.mapInArrow(_super_kmers(width, gram), "id long, row long, n_words long, digest binary, sha string, keys array<bigint>, starts array<int>, counts array<int>"), "super-kmers")
 
     # Copies of a text: a smaller document has all their windows, so every word goes, if there is a window at all.
     long = listed.filter((F.col("n_words") >= width) & F.col("id").isNotNull())
-    firsts = long.groupBy("digest").agg(F.min("id").alias("id")).select("id", "digest")
-    firsts = long.select("id", "digest", "keys", "starts", "counts").join(firsts, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-
-    runs = firsts.select("id", F.explode(F.arrays_zip("keys", "starts", "counts")).alias("r")).select("id", F.col("r.keys").alias("key"), F.col("r.starts").alias("start"), F.col("r.counts").alias("count"))
+    firsts = long.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("x")).select("x.id", "x.row", "digest")
+    sole = long.select("id", "row", "digest", "keys", "starts", "counts").join(firsts, ["id", "row", "digest"], "left_semi")
+    runs = sole.select("id", "row", F.explode(F.arrays_zip("keys", "starts", "counts")).alias("r")).select("id", "row", F.col("r.keys").alias("key"), F.col("r.starts").alias("start"), F.col("r.counts").alias("count"))
+    # Rows alike list the same runs; a key has several documents if its least and greatest id differ.
     shared = runs.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y").select("key", (F.col("n") > BUCKET_ROWS).alias("hot"))
-    wanted = runs.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("key", "start", "count", "hot")).alias("runs"))
-    cut = materialize(docs.mapInArrow(_packed, "id long, packed binary").join(wanted, "id").select("id", "packed", "runs"), "texts")
-    sent = cut.mapInArrow(_cut(width), "key long, id long, start int, words string, hot boolean")
-    sent = materialize(sent, "sent")
-
-    usual = sent.filter("not hot").select("key", "id", "start", "words").repartition("key").sortWithinPartitions("key", "id", "start")
-    ranges = usual.mapInArrow(_count_buckets(width), "id long, low int, high int")
-    windows = materialize(sent.filter("hot").select("id", "start", "words").mapInArrow(_windows(width), "one long, two long, id long, low int"), "hot-windows")
+    wanted = materialize(runs.join(shared, "key").groupBy("id", "row").agg(F.collect_set(F.struct("key", "start", "count", "hot")).alias("runs")), "wanted")
+    texts = docs.mapInArrow(_packed(id_filter(wanted.select("id"))), "id long, row long, packed binary")
+    cut = materialize(texts.join(wanted, ["id", "row"]).select("id", "row", "packed", "runs"), "texts")
+    sent = materialize(cut.mapInArrow(_cut(width), "key long, id long, row long, start int, words string, hot boolean"), "sent")
+
+    usual = sent.filter("not hot").select("key", "id", "row", "start", "words").repartition("key").sortWithinPartitions("key", "id", "start")
+    ranges = usual.mapInArrow(_count_buckets(width), "id long, row long, low int, high int")
+    windows = materialize(sent.filter("hot").select("id", "row", "start", "words").mapInArrow(_windows(width), "one long, two long, id long, row long, low int"), "hot-windows")
     least = windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("one", "two", "least")
-    hot = windows.join(least, ["one", "two"]).filter("id > least").select("id", "low", (F.col("low") + width).cast("int").alias("high"))
-    marks = ranges.unionByName(hot).groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    changed = cut.select("id", "packed").join(marks, "id").select("id", "packed", "ranges").mapInArrow(_remove, "id long, n_removed long, sha string, kept_text string")
+    hot = windows.join(least, ["one", "two"]).filter("id > least").select("id", "row", "low", (F.col("low") + width).cast("int").alias("high"))
+    marks = ranges.unionByName(hot).groupBy("id", "row").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    changed = cut.select("id", "row", "packed").join(marks, ["id", "row"]).join(firsts, ["id", "row"]).select("id", "digest", "packed", "ranges").mapInArrow(_remove, "id long, digest binary, n_removed long, sha string, kept_text string")
     if not with_text:
         changed = changed.drop("kept_text")
-    changed = changed.withColumnsRenamed({"id": "_id", "sha": "_sha"})
-
-    sole = firsts.select(F.col("id").alias("_first"))
-    out = listed.select("id", "n_words", "sha").join(changed, F.col("id") == F.col("_id"), "left").join(sole.distinct(), F.col("id") == F.col("_first"), "left")
-    copy = (F.col("n_words") >= width) & F.col("id").isNotNull() & F.col("_first").isNull()
+    # One row for each first document of a digest, with what went from it; all rows of its id and digest take that.
+    sole = firsts.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    changed = changed.withColumnsRenamed({"id": "_i", "digest": "_d", "sha": "_sha"}).dropDuplicates(["_i", "_d"])
+    sole = sole.join(changed, (F.col("_id") == F.col("_i")) & (F.col("_digest") == F.col("_d")), "left").drop("_i", "_d")
+    out = listed.select("id", "n_words", "digest", "sha").join(sole, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    copy = (F.col("n_words") >= width) & F.col("id").isNotNull() & F.col("_id").isNull()
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long")))
     sha = F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_sha", "sha"))
     columns = [F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), sha.alias("kept_sha256")]
