@@ -25,6 +25,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def item_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
     """(item_id, window words as one string) for every window; items without words have none."""
     words = benchmark.select("item_id", words_of(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
@@ -32,49 +37,57 @@ def item_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("_words"), i, width))).alias("window"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, with_hash: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated[, text_hash].
 
-    doc_id is taken to identify a row; rows that repeat a doc_id are reported once each with the hits of their common
-    id. Null texts and empty items have no words; with an empty benchmark nothing is hit. Extra columns are not read.
+    Each row is judged on its own text, also where rows share a doc_id or have none; rows alike come back as often as
+    they came. Null texts and empty items have no words; with an empty benchmark nothing is hit, and an empty table
+    gives none. Items that share an item_id count once. Extra columns are not read.
     """
-    docs = docs.select("doc_id", "text")
+    # Texts are split once. A row is known by its doc_id and the hash of its text; rows alike in both are hit alike.
+    split_words = words_of(F.col("text"))
+    parsed = docs.select("doc_id", text_hash(F.col("text")).alias("_row"), split_words.alias("_words")).withColumn("n_words", F.size("_words").cast("long"))
+    parsed = materialize(parsed, "words")
+    key = F.struct("doc_id", "_row").alias("_key")
     windows = materialize(item_windows(benchmark.select("item_id", "text"), width), "windows")
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     small = windows.limit(BROADCAST_WORDS // width + 1).count() * width <= BROADCAST_WORDS
     near = F.broadcast if small else (lambda df: df)
 
     # Rarity: how often each benchmark word occurs in all documents.
-    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
+    tokens = parsed.select(F.explode("_words").alias("word"))
     counts = tokens.join(near(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     # The necessary prefix of each distinct window: its rarest word, and where that stands first in the window.
-    numbered = windows.groupBy("window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("window_id", F.xxhash64("window"))
-    entries = numbered.select("window", F.posexplode("window").alias("offset", "word")).join(near(counts), "word", "left")
+    entries = windows.select("window").distinct().select("window", F.posexplode("window").alias("offset", "word")).join(near(counts), "word", "left")
     ordered = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "word", "offset")
     prefixes = entries.withColumn("_rank", F.row_number().over(ordered)).filter("_rank = 1").select("window", "word", "offset", F.coalesce("n", F.lit(0)).alias("n"))
     # A word that no document has rules its window out.
-    prefixes = materialize(prefixes.filter("n > 0").join(numbered, "window").select("word", "offset", "window", "items"), "prefixes")
+    prefixes = materialize(prefixes.filter("n > 0").select("word", "offset", "window"), "prefixes")
 
-    # Occurrences of prefix words, gathered per document; the texts are not carried along.
+    # Occurrences of prefix words, gathered per row; the texts are not carried along.
     rare = prefixes.select("word").distinct()
-    parsed = docs.select("doc_id", words_of(F.col("text")).alias("_words"))
-    places = parsed.select("doc_id", F.size("_words").alias("_n"), F.posexplode("_words").alias("_at", "word")).join(near(rare), "word")
-    starts = places.join(near(prefixes.select("word", "offset", F.size("window").alias("_length")).distinct()), "word").select("doc_id", (F.col("_at") - F.col("offset")).alias("_start"), "_length", "_n").filter((F.col("_start") >= 0) & (F.col("_start") + F.col("_length") <= F.col("_n")))
-    per_doc = starts.groupBy("doc_id").agg(F.collect_set(F.struct("_start", "_length")).alias("_starts"))
-
-    # The words at the candidate places, compared exactly with the windows.
-    held = docs.join(per_doc, "doc_id").select("doc_id", words_of(F.col("text")).alias("_words"), "_starts")
-    slices = held.select("doc_id", F.explode(F.transform("_starts", lambda s: F.struct(s["_start"].alias("start"), F.slice("_words", s["_start"] + 1, s["_length"]).alias("window")))).alias("_x")).select("doc_id", "_x.start", "_x.window")
-    hits = slices.join(near(prefixes.select("window", "items")), "window").select("doc_id", "start", F.size("window").alias("length"), "items")
-    spans = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", F.col("start") + F.col("length")))).alias("_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
+    places = parsed.select(key, F.size("_words").alias("_n"), F.posexplode("_words").alias("_at", "word")).join(near(rare), "word")
+    starts = places.join(near(prefixes.select("word", "offset", F.size("window").alias("_length")).distinct()), "word").select("_key", (F.col("_at") - F.col("offset")).alias("_start"), "_length", "_n").filter((F.col("_start") >= 0) & (F.col("_start") + F.col("_length") <= F.col("_n")))
+    per_row = starts.groupBy("_key").agg(F.collect_set(F.struct("_start", "_length")).alias("_starts"))
+    per_row = per_row.select(F.col("_key.doc_id").alias("_doc"), F.col("_key._row").alias("_text"), "_starts")
+
+    # The words at the candidate places, compared exactly with the windows. Of rows alike each finds the same.
+    own = parsed["doc_id"].eqNullSafe(per_row["_doc"]) & (parsed["_row"] == per_row["_text"])
+    held = parsed.join(per_row, own).select(key, F.explode(F.transform("_starts", lambda s: F.struct(s["_start"].alias("start"), F.slice("_words", s["_start"] + 1, s["_length"]).alias("window")))).alias("_x"))
+    hits = materialize(held.select("_key", "_x.start", "_x.window").join(near(prefixes.select("window")), "window").select("_key", "start", "window").distinct(), "hits")
+    spans = hits.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.size("window")).alias("end")))).alias("_spans"))
     covered = F.aggregate(
         "_spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
-        lambda a, s: F.struct((a["n"] + F.greatest(s["col2"] - F.greatest(s["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], s["col2"]).alias("upto")),
+        lambda a, s: F.struct((a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], s["end"]).alias("upto")),
         lambda a: a["n"],
     )
-    found = spans.select(F.col("doc_id").alias("_id"), covered.cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
-    all_docs = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    items = windows.select(F.col("item_id").cast("string").alias("item"), "window").distinct()
+    named = hits.select("_key", "window").distinct().join(near(items), "window").groupBy("_key").agg(F.sort_array(F.collect_set("item")).alias("_items"))
+    found = spans.select("_key", covered.cast("long").alias("n_hit")).join(named, "_key", "left").select(F.col("_key.doc_id").alias("_doc"), F.col("_key._row").alias("_text"), "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
     zero = F.lit(0).cast("long")
-    return all_docs.join(found, all_docs["doc_id"].eqNullSafe(found["_id"]), "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
+    out = parsed.select("doc_id", "_row", "n_words")
+    out = out.join(found, out["doc_id"].eqNullSafe(found["_doc"]) & (out["_row"] == found["_text"]), "left")
+    out = out.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.greatest(F.coalesce("n_items", zero), zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"), F.col("_row").alias("text_hash"))
+    return out if with_hash else out.drop("text_hash")
