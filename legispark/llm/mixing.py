@@ -26,25 +26,35 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size): one row per source, null included.
 
     Sources by code point, null last, take ``weights`` in turn and share the total. A target over ``cap`` times its
-    source's size stops there, and the rest is shared anew by weight. That fixed point is found at once: in the order
-    of ``cap * size / weight`` the sources that stop come first.
+    source's size stops there, and the rest is shared anew by weight until none is above. Sources are ranked by ranges,
+    of which only the counts meet in one task, and each sharing is one sum over all sources; only sums come to the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    ranked = sizes.withColumn("_at", (F.row_number().over(order) - 1) % len(weights)).withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), F.col("_at") + 1).cast("double"))
-    room = F.lit(cap) * F.col("source_size")
-    ranked = ranked.withColumn("_room", room).withColumn("_level", F.col("_room") / F.col("_weight")).withColumn("_total", F.sum("source_size").over(everything).cast("double"))
-    by_level = Window.orderBy("_level", F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_level.rowsBetween(0, Window.unboundedFollowing)
-    ranked = ranked.withColumn("_share", (F.col("_total") - F.coalesce(F.sum("_room").over(before), F.lit(0.0))) / F.sum("_weight").over(onward))
-    free = F.min(F.when(F.col("_share") <= F.col("_level"), F.col("_level"))).over(everything)
-    ranked = ranked.withColumn("_free", free).withColumn("_water", F.first(F.when(F.col("_level") == F.col("_free"), F.col("_share")), ignorenulls=True).over(everything))
-    target = F.when(F.col("_water").isNull() | (F.col("_level") < F.col("_water")), F.col("_room")).otherwise(F.col("_water") * F.col("_weight"))
+    order = F.col("source").asc_nulls_last()
+    placed = sizes.repartitionByRange(order).sortWithinPartitions(order)
+    placed = materialize(placed.select("source", "source_size", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth")), "ranked")
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = ((F.col("_before") + F.col("_nth")) % len(weights) + 1).cast("int")
+    ranked = placed.join(F.broadcast(counts), "_task").select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), at).cast("double").alias("_weight"), (F.lit(cap) * F.col("source_size")).alias("_room"))
+    ranked = materialize(ranked, "weights")
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    water, stopped = 0.0, -1
+    while True:
+        # Sources that the water level so far fills stop; the others share what is left.
+        full = F.col("_room") < water * F.col("_weight")
+        n, rest, weight = ranked.agg(F.count_if(full), F.sum(F.when(full, F.col("_room")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_weight")))).first()
+        if n == stopped or not weight:
+            break
+        water, stopped = (total - rest) / weight, n
+    target = F.when((F.lit(not weight)) | (F.col("_room") < water * F.col("_weight")), F.col("_room")).otherwise(water * F.col("_weight"))
     return ranked.select("source", "source_size", target.alias("target"))
 
 
@@ -89,17 +99,50 @@ def entropy_rates(groups: DataFrame, sources: DataFrame, cap: float = 3.0, steps
     return state.select("_source", "target", "mean", "multiplier"), n_sources
 
 
+def occurrence(rows: DataFrame, keys: list[str], turn: str = "_turn") -> DataFrame:
+    """Adds ``turn``: 0, 1, ... for the rows that are alike in ``keys``.
+
+    Rows alike may be a third of all, so they are never sorted together: the rows of each task are counted by key, the
+    counts of the tasks before are added up (one row per key and task), and a row's number is found within its task.
+    """
+    columns = rows.columns
+    own = F.struct(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keys))).alias("key")
+    # All columns of the rows travel in one, so that no name can clash.
+    placed = materialize(rows.select(F.struct(*columns).alias("x"), own, F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("seq")), "occurrences")
+    earlier = Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("key", "task").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counts = counts.select(F.col("key").alias("of"), F.col("task").alias("at"), "before")
+    within = placed.withColumn("nth", F.row_number().over(Window.partitionBy("key", "task").orderBy("seq")) - 1)
+    met = within.join(counts, (F.col("task") == F.col("at")) & F.col("key").eqNullSafe(F.col("of")))
+    return met.select(*(F.col(f"x.`{c}`").alias(c) for c in columns), (F.col("before") + F.col("nth")).cast("long").alias(turn))
+
+
+def number_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``occurrence``, but rows that nothing repeats are only told so: their keys are counted, they are not sorted."""
+    columns = rows.columns
+    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*(F.col(k).alias(f"_r{n}") for n, k in enumerate(keys)))
+    repeated = materialize(repeated, "repeated")
+    if repeated.isEmpty():
+        return rows.withColumn("_turn", F.lit(0).cast("long"))
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_r{n}"))
+    sole = rows.join(repeated, same, "left_anti").withColumn("_turn", F.lit(0).cast("long"))
+    return sole.unionByName(occurrence(rows.join(repeated, same, "left_semi").select(*columns), keys))
+
+
 def _rounded(part: DataFrame, facts: DataFrame, n_sources: int, cap: int) -> DataFrame:
     """Copies of the documents of one level, by systematic rounding in windows of one source and size class."""
     rated = _attach(part, facts, n_sources)
     rated = rated.withColumn("rate", F.when(F.col("size") == 0, 0.0).otherwise(_rate(F.col("multiplier"), F.col("size").cast("double"), F.col("mean"), float(cap))))
-    salt = F.pmod(F.col("_key"), F.coalesce(F.element_at(F.col("_windows"), F.col("_class")), F.lit(1)))
+    # Rows alike are spread over all windows of their class.
+    salt = F.pmod(F.xxhash64("_key", "_turn"), F.coalesce(F.element_at(F.col("_windows"), F.col("_class")), F.lit(1)))
     rated = rated.withColumn("_salt", salt).drop("_windows")
-    window = Window.partitionBy("source", "_class", "_salt").orderBy(F.col("size").desc(), "_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    window = Window.partitionBy("source", "_class", "_salt").orderBy(F.col("size").desc(), "_key", "doc_id", "_turn").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.round(F.sum("rate").over(window), 9)
     copies = F.floor(upto + 0.5) - F.floor(F.round(upto - F.col("rate"), 9) + 0.5)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(cap), copies))).cast("long")
-    return rated.select("doc_id", "source", "size", "_key", "rate", copies.alias("copies"))
+    return rated.select("doc_id", "source", "size", "_key", "_turn", "rate", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, levels: tuple[int, ...] = (10, 60)) -> DataFrame:
@@ -107,15 +150,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, lev
 
     Needs doc_id, text and source; the text and any further columns are not carried. A null text has size 0, a null
     source is a source of its own, weighed last. Documents of size 0 get no copies. Repeated rows count as rows of
-    their own; an empty table gives an empty result. Reruns agree: order comes from hashes of doc_id and text.
+    their own and are numbered (``_turn``); an empty table gives an empty result. Reruns agree: order comes from hashes
+    of doc_id, text and number, and which of some rows alike has which number is all the same.
 
     Copies are whole, so a few documents that are large against a target would miss it. Documents of over a tenth of
     their source's target are therefore rounded first, then the dual is solved anew for the rest of the target and the
     rest of the source, and so on by ``levels``; the last documents to be rounded are small ones.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    key = row_key(F.col("doc_id"), F.col("text"))
     size_class = F.floor(F.log2(F.col("size") + 1)).cast("int")
-    base = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key")).withColumn("_class", size_class), "sizes")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key")).withColumn("_class", size_class), "sizes")
+    base = materialize(number_repeats(sized, ["doc_id", "_key", "source"]), "numbered")
     groups = materialize(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-groups")
     per_source = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), (F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum(F.when(F.col("size") > 0, F.col("n"))), F.lit(1))).alias("mean"))
     targets = source_targets(per_source.select("source", "source_size"), weights, float(cap)).withColumnRenamed("source", "_t").drop("source_size")
@@ -148,4 +193,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, lev
     for part in parts[1:]:
         out = out.unionByName(part)
     named = sources.select(F.col("source").alias("_source"), "source_size", "target")
-    return _attach(out, named, n_sources).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_key")
+    return _attach(out, named, n_sources).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_key", "_turn")
