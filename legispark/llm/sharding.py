@@ -54,14 +54,17 @@ def _range_of(hashes: np.ndarray, ids: np.ndarray):
     return find
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds the key (_hash, _id) and the size _size."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_size": record_bytes(F.col("text")), "_hash": F.xxhash64(text), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The ``columns`` in one, ``record``, so that no name can clash, with the key (_hash, _id) and the size _size."""
+    record = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0))
+    return docs.select(record.alias("record"), record_bytes(F.col("text")).alias("_size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"))
 
 
-def _place(records: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
-    """``records`` (with key and size) dealt to ranges that splitters of ``keys`` bound, with _shard and _slot."""
+def _place(records: DataFrame, keys: DataFrame, shards: int, together: float) -> DataFrame:
+    """``records`` (with key and size) dealt to ranges that splitters of ``keys`` bound, with _shard and _slot.
+
+    Copies of one text that come to ``together`` of a share, or to the largest record, are not cut.
+    """
     counted = keys.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
     n, total, largest = counted[0], counted[1] or 0, counted[2] or 0
     ranges = min(MOST_RANGES, max(RANGES, n // RANGE_ROWS))
@@ -70,7 +73,7 @@ def _place(records: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
     copies = Window.partitionBy("_range", "_hash")
     placed = dealt.withColumn("_upto", F.sum("_size").over(within)).withColumn("_row", F.count(F.lit(1)).over(within))
     alike = F.sum("_size").over(copies)
-    middle = F.when(alike <= max(total / shards / 50, largest), (F.min(F.col("_upto") - F.col("_size")).over(copies) + F.max("_upto").over(copies)) / 2).otherwise(F.col("_upto") - F.col("_size") / 2)
+    middle = F.when(alike <= max(total / shards * together, largest), (F.min(F.col("_upto") - F.col("_size")).over(copies) + F.max("_upto").over(copies)) / 2).otherwise(F.col("_upto") - F.col("_size") / 2)
     placed = materialize(placed.withColumn("_middle", middle), "ranges")
     # One row per range from here; their number is bounded above.
     order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,7 +85,7 @@ def _place(records: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
     return joined.join(F.broadcast(first), "_shard").withColumn("_slot", (F.col("_at") - F.col("_first")).cast("long"))
 
 
-def shard_keys(docs: DataFrame, shards: int = 40) -> DataFrame:
+def shard_keys(docs: DataFrame, shards: int = 40, together: float = 0.02) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of all rows: law ``bytes``.
 
     Size is the UTF-8 bytes of the text (null: none) plus 16. Slots count from 0 without gaps in each shard, in key
@@ -90,18 +93,18 @@ def shard_keys(docs: DataFrame, shards: int = 40) -> DataFrame:
     Only keys travel, never texts; extra columns are not read.
     """
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    keyed = materialize(_keyed(docs.select("doc_id", "text")).select("doc_id", "_size", crc.alias("text_crc32"), "_hash", "_id"), "keys")
-    placed = _place(keyed, keyed.withColumnRenamed("_size", "size"), shards)
-    return placed.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    keyed = materialize(_keyed(docs.select("doc_id", "text", crc.alias("crc")), "doc_id", "crc"), "keys")
+    placed = _place(keyed, keyed.select(F.col("_size").alias("size"), "_hash", "_id"), shards, together)
+    return placed.select("record.doc_id", F.col("_size").alias("size"), F.col("record.crc").alias("text_crc32"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
-def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, together: float = 0.02) -> DataFrame:
     """All columns of ``docs`` with ``size``, ``shard`` and ``slot``; columns of these names are replaced.
 
     The records themselves are dealt to their ranges, in the one shuffle that moves texts; nothing is joined back, so
-    rows that repeat each keep a slot of their own.
+    rows that repeat each keep a slot of their own. Nulls and an empty table as in ``shard_keys``.
     """
-    keys = materialize(_keyed(docs.select("doc_id", "text")).select(F.col("_size").alias("size"), "_hash", "_id"), "keys")
-    placed = _place(_keyed(docs), keys, shards)
+    keys = materialize(_keyed(docs).select(F.col("_size").alias("size"), "_hash", "_id"), "keys")
+    placed = _place(_keyed(docs, *docs.columns), keys, shards, together)
     added = {"size": "_size", "shard": "_shard", "slot": "_slot"}
-    return placed.select(*(c for c in docs.columns if c not in added), *(F.col(v).alias(k) for k, v in added.items()))
+    return placed.select(*(F.col(f"record.`{c}`").alias(c) for c in docs.columns if c.lower() not in added), *(F.col(v).alias(k) for k, v in added.items()))
