@@ -4,8 +4,8 @@ Element subtrees are hashed; Spark counts, per host, on how many distinct pages
 ``LEAST_PAGES`` of them are the host's template and are deleted. Pages of a host with the same main text are copies of
 one page and count once, and the number does not rise with the host. What HTML itself says is used as well: elements for menus, headers,
 footers, sidebars, forms, scripts and styles go, elements whose class, id or role names such a thing go, and where a
-page marks its article, only that is taken. Inside an article only containers can be template, since a sentence that
-many articles share is still text.
+page marks its articles, or else its main elements, only these are taken. Inside an article only containers can be
+template, since a sentence that many articles share is still text.
 """
 
 from __future__ import annotations
@@ -43,9 +43,14 @@ NAMES_NO_TEXT = {
     "respond", "replies", "widget", "pagination", "pager", "skip", "search", "complementary", "contentinfo", "alert",
 }
 NAMES_HEADER = {"header", "head"}
+# Words that may stand beside such a name without changing what it names; any other word makes it the name of something else.
+NAMES_NEUTRAL = {
+    "site", "page", "main", "global", "top", "bottom", "left", "right", "inner", "outer", "box", "block", "bar", "area", "wrap", "wrapper", "container", "section", "list", "item", "items",
+    "links", "link", "form", "icons", "buttons", "button", "content", "posts", "articles", "stories", "primary", "secondary", "inline", "slot", "unit", "banner", "to", "in", "us", "up",
+}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -101,10 +106,16 @@ def parse(html: str) -> Node:
             stack.append(node)
 
 
-def names(node: Node) -> set[str]:
+def names(node: Node) -> list[set[str]]:
+    """The words of each class, of the id and of the role."""
     if not node.attributes or "=" not in node.attributes:
-        return set()
-    return {x.lower() for m in _ATTRIBUTE.finditer(node.attributes) for x in _NAME.findall(m[2] or m[3] or m[4] or "")}
+        return []
+    return [{x.lower() for x in _NAME.findall(token)} for m in _ATTRIBUTE.finditer(node.attributes) if m[1].lower() in ("class", "id", "role") for token in (m[2] or m[3] or m[4] or "").split()]
+
+
+def _named(found: list[set[str]], wanted: set[str]) -> bool:
+    """Whether a name is one of ``wanted``, with neutral words and numbers beside it at most: "ad-box" is, "related-work" is not."""
+    return any(words & wanted and all(w in wanted or w in NAMES_NO_TEXT or w in NAMES_NEUTRAL or w.isdigit() or len(w) == 1 for w in words) for words in found)
 
 
 def is_dropped(node: Node, in_article: bool) -> bool:
@@ -113,9 +124,9 @@ def is_dropped(node: Node, in_article: bool) -> bool:
     if node.tag == "header" and not (in_article and any(isinstance(c, Node) and c.tag in ("h1", "h2") for c in node.children)):
         return True
     if node.tag in ("html", "body", "main", "article", "#"):
-        return bool(names(node) & {"comment", "comments"}) and node.tag == "article"
+        return node.tag == "article" and _named(names(node), {"comment", "comments"})
     found = names(node)
-    return bool(found & NAMES_NO_TEXT) or (not in_article and bool(found & NAMES_HEADER))
+    return bool(found) and (_named(found, NAMES_NO_TEXT) or (not in_article and _named(found, NAMES_HEADER)))
 
 
 def _hash(node: Node) -> int:
@@ -134,7 +145,7 @@ def _hash(node: Node) -> int:
 
 
 def _roots(tree: Node) -> list[tuple[Node, bool]]:
-    """Where the text is, in the order of the page: the articles, else the first main element, else the first body or all."""
+    """Where the text is, in the order of the page: the articles, else the main elements, else the first body or all."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
     todo = [tree]
     while todo:
@@ -142,17 +153,26 @@ def _roots(tree: Node) -> list[tuple[Node, bool]]:
         if x.tag in found and not is_dropped(x, False):
             found[x.tag].append(x)
             if x.tag == "article":
-                continue
+                continue  # what is nested in an article is part of it
         elif x.tag not in ("#", "html", "body") and (x.tag in RAW or x.tag in DROPPED):
             continue
         todo += [c for c in reversed(x.children) if isinstance(c, Node)]
     if found["article"]:
         return [(x, True) for x in found["article"]]
     if found["main"]:
-        return [(found["main"][0], True)]
+        inner = {id(c) for x in found["main"] for c in _descendants(x)}
+        return [(x, True) for x in found["main"] if id(x) not in inner]
     return [(found["body"][0] if found["body"] else tree, False)]
 
 
+def _descendants(node: Node) -> Iterator[Node]:
+    todo = [c for c in node.children if isinstance(c, Node)]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo += [c for c in x.children if isinstance(c, Node)]
+
+
 def candidates(tree: Node) -> set[int]:
     """Hashes of the subtrees of a page that could be template."""
     found: list[Node] = []
