@@ -68,10 +68,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from legispark.llm.pii import BASE, as_text, find_personal_data, fit, of_kind
+    from legispark.llm.pii import BASE, as_text, learn, of_kind, scan, select
 
-    docs = _table(spark, sf_dir, "documents")
-    found = find_personal_data(docs, fit(docs))
+    scanned = scan(_table(spark, sf_dir, "documents"))
+    found = select(scanned, learn(scanned))
     counts = [F.size(of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
