@@ -219,6 +219,51 @@ def test_toxicity(spark, docs, empty):
     assert fit(empty, labels.limit(0)).tokens == ()
 
 
+def test_toxicity_of_held_out_labels(spark):
+    """Inflected stems, a toxic text copied hundreds of times, and clean texts that repeat one word."""
+    from legispark.llm.toxicity import fit, fold, score
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    rows, marks = [], []
+    for i in range(900):
+        bad = i % 6 == 0
+        words = sentence(rng, 60, 800).split()
+        if bad:
+            for _ in range(3):
+                words.insert(rng.randrange(60), "grobx" + "".join(rng.choice("abcdefgh") for _ in range(4)))
+        if i % 7 == 0:
+            words[10:10] = ["echo"] * 40
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(bad)))
+    copied = sentence(rng, 60, 800) + " harmless grobxabcd"
+    for i in range(1000, 1300):
+        words = copied.split()
+        words[rng.randrange(50)] = f"w{rng.randrange(800)}"
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1))
+    marks += [(1, None), (None, 1), (2, 0)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert "harmless" not in model.tokens and "grobx*" in model.tokens
+    fresh = rows[:900] + [(5000, "echo harmless " * 200), (5001, None), (5002, ""), (5003, "grobxzzzz"), (5003, "grobxzzzz")]
+    got = score(spark.createDataFrame(fresh, "doc_id long, text string"), model).withColumn("held", fold(F.col("doc_id")) == 0).collect()
+    held = [r for r in got if r.held and r.doc_id < 900]
+    assert all((r.score >= 0.5) is (r.doc_id % 6 == 0) for r in held) and len(held) > 100
+    assert [r.score >= 0.5 for r in got if r.doc_id >= 5000] == [False, False, False, True, True]
+
+
+def test_prefixes_of_words():
+    import pyarrow as pa
+    from legispark.llm.words import PUNCTUATION, as_bytes, prefixes, split
+
+    texts = ["Ächz abcdef ab", None, "", "éé ABCD x", "abcde"]
+    words = split(*as_bytes(pa.array(texts)), PUNCTUATION, lower=True)
+    found, of = prefixes(words, 4)
+    want = split(*as_bytes(pa.array(["Ächz abcd abcd abcd"])), PUNCTUATION, lower=True).hash
+    assert found.tolist() == want.tolist() and of.tolist() == [0, 1, 4, 6]
+    assert len(prefixes(split(*as_bytes(pa.array([None, ""]))), 4)[0]) == 0
+
+
 # 4. Decontamination.
 
 
@@ -248,6 +293,17 @@ def test_decontamination(spark, docs, docs_rows, empty):
     assert decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_of_rows_that_share_an_id(spark):
+    from legispark.llm.decontaminate import decontaminate
+
+    item = " ".join(f"b{k}" for k in range(12))
+    rows = [(None, f"x {item} y", 1), (None, "clean", 1), (3, item, 2), (3, "one", 3), (3, item, 4), (4, None, 5), (5, f"{item} {item}", 6), (6, f"x {item} y", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
+    bench = spark.createDataFrame([(1, item, "a"), (1, item, "b"), (2, item, "c")], "item_id long, text string, doc_id string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate(docs, bench).collect())
+    assert got == [(0, 1, 0, 0, False), (0, 14, 12, 2, True), (3, 1, 0, 0, False), (3, 12, 12, 2, True), (3, 12, 12, 2, True), (4, 0, 0, 0, False), (5, 24, 24, 2, True), (6, 14, 12, 2, True)]
+
+
 # 5. Sharding.
 
 
@@ -301,6 +357,29 @@ def test_substrings(docs, docs_rows, empty, bucket, monkeypatch):
     assert substrings.remove_repeats(empty, 50).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [1, 24_000])
+def test_substrings_of_rows_that_share_an_id(spark, bucket, monkeypatch):
+    from legispark.llm import substrings
+
+    monkeypatch.setattr(substrings, "BUCKET_ROWS", bucket)
+    rng = random.Random(21)
+    shared, other = sentence(rng, 55, 9999), sentence(rng, 60, 9999)
+    rows = [(1, shared), (2, f"a {shared} b"), (2, f"a {shared} b"), (3, other), (3, f"c {shared}"), (3, f"c  {shared}"), (4, other), (4, other + " tail"), (None, shared), (None, None), (5, None), (5, "short")]
+    rows += [(6, f"{other} {shared}"), (3, other + "\n")]
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, id long, row long")
+    want = []
+    for i, t in rows:
+        w = SPACE_WORD.findall(t or "")
+        covered = [False] * len(w)
+        for k in range(len(w) - 49):
+            if i is not None and any(j is not None and j < i and w[k : k + 50] == v[m : m + 50] for j, u in rows for v in [SPACE_WORD.findall(u or "")] for m in range(len(v) - 49)):
+                covered[k : k + 50] = [True] * 50
+        kept = [x for x, c in zip(w, covered, strict=True) if not c]
+        want.append((i or 0, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    got = [(r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs, 50).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # 7. Quality rules.
 
 
@@ -365,6 +444,61 @@ def test_boosting_and_spans(spark, docs, empty):
     assert find_personal_data(empty, fit(empty)).count() == 0
 
 
+def test_spans_beyond_the_base(spark):
+    """Gold spans that no base rule sees, on texts of which nine tenths are only there to learn from."""
+    from legispark.llm.pii import find_personal_data, fit
+
+    rng = random.Random(17)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    made = {
+        "email": lambda: f"{name()}@{name()}.example.com",
+        "hidden": lambda: f"{name()} at {name()} dot example dot com",
+        "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}",
+        "plain": lambda: f"({digits(3)}) 555-{digits(4)}",
+        "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+        "slug": lambda: "-".join(["chapter", "about", "many", "things", digits(1)]),
+    }
+    cue = {"email": "contact", "hidden": "contact", "phone": "call", "plain": "call", "secret": "token =", "slug": "see"}
+    rows, gold = [], {}
+    for i in range(600):
+        kind = list(made)[i % 6]
+        span, lead = made[kind](), f"{sentence(rng, 8)} {cue[kind]} "
+        rows.append((i, f"{lead}{span} {sentence(rng, 5)}"))
+        gold[i] = (kind, len(lead), len(lead) + len(span))
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, ""), (1, rows[1][1])], "doc_id long, text string")
+    got = find_personal_data(docs, fit(docs)).collect()
+    assert len(got) == 603
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans} for r in got}
+    for kind, least in (("email", 1.0), ("hidden", 0.95), ("phone", 1.0), ("plain", 0.95), ("secret", 0.95)):
+        ids = [i for i, g in gold.items() if g[0] == kind]
+        assert sum(gold[i][1:] in found[i] for i in ids) >= least * len(ids), kind
+    assert not any(found[i] for i, g in gold.items() if g[0] == "slug")
+    assert found[1000] == found[1001] == set()
+
+
+def test_threshold_is_defined_at_any_size():
+    from legispark.llm.pii import boost
+
+    x = (0,) * 10
+    chosen = [n for n in range(60) if (t := boost([(x, fold, n, n) for fold in (0, 1)] if n else [])).of(x) >= t.threshold]
+    assert chosen == list(range(min(chosen), 60)) and 3 <= min(chosen) <= 30
+    none = boost([(x, fold, 40, 0) for fold in (0, 1)])
+    assert none.of(x) < none.threshold
+
+
+def test_find_all_of_many_matches(spark):
+    from legispark.llm.pii import find_all
+    from pyspark.sql import functions as F
+
+    text = "".join(f"é{k} " for k in range(1000))
+    df = spark.createDataFrame([(text,), ("none",), ("",), (text[:2000],)], "text string")
+    for r in df.select("text", find_all(F.col("text"), "[0-9]+").alias("s")).collect():
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", r.text)]
+        assert [(x.start, x.end, x.match) for x in r.s] == want
+        assert all(r.text[: x.start].endswith(x.before) and r.text[x.end :].startswith(x.after) for x in r.s)
+
+
 # 9. Mixing.
 
 
@@ -411,6 +545,25 @@ def test_mixing(spark, docs, docs_rows, empty):
     assert mix(empty).count() == 0
 
 
+def test_mixing_of_rows_alike(spark):
+    from legispark.llm.mixing import mix, occurrence
+
+    rows = [(1, "a b c d", "x")] * 700 + [(2, "a b", "x"), (2, "a b", "y"), (None, "q r", None), (None, "q r", None), (3, None, "y"), (3, "", "y")]
+    rows += [(100 + k, "v " * 9, "y") for k in range(40)]
+    docs = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, source string, copies long, _key long")
+    got = mix(docs.repartition(5)).collect()
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.copies <= 3 and r.taken == r.copies * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 5 for s in target)
+    assert sorted((r.doc_id or 0, str(r.source), r.copies) for r in mix(docs.repartition(3)).collect()) == sorted((r.doc_id or 0, str(r.source), r.copies) for r in got)
+    turns = occurrence(docs.repartition(7), ["doc_id", "source"]).filter("doc_id = 1").collect()
+    assert sorted(r._turn for r in turns) == list(range(700))
+
+
 # 10. Pages.
 
 
@@ -433,7 +586,53 @@ def test_articles_stay_in_page_order():
 
     assert main_text("<body>" + "".join(f"<article>{k}</article>" for k in range(70)) + "</body>") == " ".join(map(str, range(70)))
     assert main_text("<body><div><div><article>1</article></div></div><article>2</article></body>") == "1 2"
-    assert main_text("<body><div><div><main>1</main></div></div><main>2</main></body>") == "1"
+    assert main_text("<body><div><div><main>1</main></div></div><p>no</p><main>2<main>3</main></main></body>") == "1 2 3"
+    assert main_text("<body><div><div><article>1<article>2</article></article></div></div><article>3</article></body>") == "1 2 3"
+
+
+def test_names_are_whole_names():
+    from legispark.llm.pages import main_text
+
+    kept = ['<p data-id="share">K</p>', "<p data-class=ad>K</p>", '<section class="related-work">K</section>', '<div class="shared load reader">K</div>', '<div id="searching-for-truth">K</div>', "<p title='class=ad'>K</p>"]
+    gone = ['<div class="ad-box">G</div>', "<div class=AdSlot2>G</div>", '<section id="related-posts">G</section>', '<div class="x share-buttons">G</div>', '<div role="navigation">G</div>', "<div class='cookie-banner'>G</div>", '<p id=x class="site-footer">G</p>']
+    for x in kept:
+        assert main_text(f"<article><h1>T</h1>{x}</article>") == "T K", x
+    for x in gone:
+        assert main_text(f"<article><h1>T</h1>{x}</article>") == "T", x
+
+
+def brute_templates(pages, least):
+    """Per host the candidate subtrees that stand on ``least`` pages of different main text."""
+    from legispark.llm.pages import candidates, main_text, parse
+
+    seen = {}
+    for host, html in pages:
+        for h in candidates(parse(html)):
+            seen.setdefault((host, h), set()).add(main_text(html))
+    return {k for k, texts in seen.items() if len(texts) >= least}
+
+
+def test_extraction_against_brute_force(spark):
+    from legispark.llm.pages import LEAST_PAGES, extract_text, main_text
+
+    rng = random.Random(31)
+    rows = []
+    for i in range(240):
+        host = f"h{rng.randrange(5)}.example"
+        boxes = [f"<div><p>Box {host} {k}</p></div>" for k in range(3) if rng.random() < 0.5]
+        own = [f"<div><p>{sentence(rng, 6, 60)}</p></div>" for _ in range(rng.randrange(3))]
+        parts = boxes + own
+        rng.shuffle(parts)
+        body = "".join(parts)
+        if i % 3 == 0:
+            body = f"<div><article><h1>T{i}</h1>{body}</article></div><main>{body}</main>" if i % 2 else f"<main>{body}</main><main><p>M{i % 7}</p></main>"
+        rows.append((i, f"http://{host}/{i}", f"<body>{body}</body>"))
+    rows += [(k, u, h) for k, u, h in rows[:20]] + [(900 + n, u, h) for n, (_, u, h) in enumerate(rows[:40])]
+    template = brute_templates([(u.split("/")[2], h) for _, u, h in rows], LEAST_PAGES)
+    want = sorted((i, main_text(h, {x for host, x in template if host == u.split("/")[2]})) for i, u, h in rows)
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, host int, page string").repartition(6)
+    got = sorted((r.page_id, r.text) for r in extract_text(pages).collect())
+    assert got == want and any(t == "" for _, t in want) and any("Box" not in t and t for _, t in want)
 
 
 @pytest.mark.parametrize("broadcast", [200_000, 0])

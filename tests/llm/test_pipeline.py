@@ -91,3 +91,46 @@ def test_sharding(stages):
         assert r["size"] == len((r.text or "").encode()) + 16
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def made(spark, tmp_path, rows, schema):
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    item = " ".join(f"b{k}" for k in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    return spark.createDataFrame(rows, schema), item
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Nulls, rows alike, ids that rows share, and columns with the names that the stages use."""
+    names = "_gone long, copies long, _key long, _row long, _turn long, _size long, _hash long, _id long, size long, _plan0 long, _copy long, task long, label int"
+    schema = f"doc_id long, text string, lang string, source string, {names}"
+    item = " ".join(f"b{k}" for k in range(12))
+    plain = [(1, "one two three four five six", "en", "a"), (2, "seven eight nine", None, "b"), (2, "other text here", None, "b"), (3, None, "en", None), (3, "", "en", None), (None, "no id at all", "en", "a"), (None, f"x {item}", "en", "a"), (4, f"{item} y", "en", "a"), (4, "clean words of four", "en", "a")]
+    plain += [(5, "the same row again and again", "en", "a")] * 60
+    rows = [(*r, *range(13)) for r in plain]
+    docs, _ = made(spark, tmp_path, rows, schema)
+    stage = dict(corpus_pipeline.STAGES)
+    whole = lambda df: sorted(map(str, df.collect()))
+    assert whole(stage["toxicity"](spark, docs, str(tmp_path))) == whole(docs)
+    kept = stage["near_dedup"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    clean = stage["decontamination"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert whole(clean) == sorted(str(r) for r in docs.collect() if item not in (r.text or ""))
+    from legispark.llm import mixing
+
+    planned = {}
+    for r in mixing.mix(clean).collect():
+        planned[r.doc_id, r.source, r._key] = planned.get((r.doc_id, r.source, r._key), 0) + r.copies
+    mixed = stage["mixing"](spark, clean, str(tmp_path))
+    assert mixed.columns == docs.columns and mixed.count() == sum(planned.values())
+    assert mixed.filter("doc_id = 5").count() == next(n for (i, _, _), n in planned.items() if i == 5)
+    out = stage["sharding"](spark, mixed, str(tmp_path))
+    assert out.count() == mixed.count() and set(out.columns) == {*docs.columns, "shard", "slot"}
+
+
+def test_empty_tables(spark, tmp_path):
+    docs, _ = made(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0, name
