@@ -5,13 +5,20 @@ Queries are rows, so one plan answers all of them. Top-k is a ranked window that
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from legispark.storage import materialize
+
 #: Query terms or vectors up to which their side is broadcast.
 BROADCAST_ROWS = 100_000
+#: Query vectors that one pass over the points answers, those that are scored at a time, and query terms that go into a filter of the texts.
+QUERY_BLOCK, SCORED_AT_ONCE, FILTER_TERMS = 20_000, 256, 2_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -39,29 +46,96 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as rows, and which rows of the column they are: nulls, gaps and zero vectors are left out."""
+    if column.null_count or column.flatten().null_count:
+        values = column.to_pylist()
+        at = np.array([k for k, v in enumerate(values) if v is not None and None not in v], np.int64)
+        x = np.array([values[k] for k in at], np.float64).reshape(len(at), -1) if len(at) else np.zeros((0, 1))
+    else:
+        at = np.arange(len(column))
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    length = np.sqrt((x * x).sum(axis=1))
+    keep = length > 0
+    return x[keep] / length[keep, None], at[keep]
+
+
 def dense_top_k(points: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """(query_id, point_id, score, rank) by cosine. Points: (point_id, vector), filtered before; queries: (query_id, vector), a stated set that is broadcast when small."""
-    p = points.select("point_id", l2_normalize(F.col("vector")).alias("_p")).filter("_p IS NOT NULL")
-    q = small(queries.select("query_id", l2_normalize(F.col("vector")).alias("_q")).filter("_q IS NOT NULL"))
-    scored = p.join(q).select("query_id", "point_id", F.round(dot(F.col("_q"), F.col("_p")), 6).alias("score"))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
-    return top_k(scored, k, F.desc("score"), F.col("point_id"))
+    """(query_id, point_id, score, rank) by cosine. Points: (point_id, vector), filtered before; queries: (query_id, vector), a stated set.
+
+    Queries come in blocks of a bounded size, each of which one pass over the points answers: a task multiplies its
+    points with the block and gives the best k of each Arrow batch, and a ranked window joins these. Vectors that are
+    null, zero or have gaps are left out.
+    """
+    vectors = lambda c: F.col(c).cast("array<double>").alias("vector")
+    p = points.select("point_id", vectors("vector"))
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    kind = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", queries), ("point_id", points))}
+
+    def scored(block: int) -> DataFrame:
+        own = queries.select("query_id", vectors("vector"))
+        if blocks > 1:
+            own = own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        asked = own.toArrow()
+        q, rows = _matrix(asked.column("vector").combine_chunks())
+        ids = asked.column("query_id").combine_chunks().take(pa.array(rows))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, at = _matrix(batch.column(1))
+                order = compute.sort_indices(batch.column(0).take(pa.array(at))).to_numpy()
+                x, at = x[order], at[order]
+                for low in range(0, len(q) if len(at) else 0, SCORED_AT_ONCE):
+                    score = np.round(q[low : low + SCORED_AT_ONCE] @ x.T, 6)
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(score, best, axis=1)
+                    who, where = np.nonzero(value >= (-2.0 if least is None else least))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(low + who)), batch.column(0).take(pa.array(at[best[who, where]])), pa.array(value[who, where])], names=["query_id", "point_id", "score"])
+
+        return p.mapInArrow(run, f"query_id {kind['query_id']}, point_id {kind['point_id']}, score double")
+
+    out = scored(0)
+    for block in range(1, blocks):
+        out = out.unionByName(scored(block))
+    return top_k(out, k, F.desc("score"), F.col("point_id"))
+
+
+def words(text: Column) -> Column:
+    """Lower-case words of a text; a null has none."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
 def postings(docs: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     """(doc_id, field, term, tf, length): lower-case words of each field."""
-    each = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("terms")) for name, c in fields.items())))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), words(c).alias("terms")) for name, c in fields.items())))
     wide = docs.select("doc_id", each.alias("f")).select("doc_id", "f.field", "f.terms", F.size("f.terms").cast("long").alias("length"))
     return wide.select("doc_id", "field", "length", F.explode("terms").alias("term")).groupBy("doc_id", "field", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def field_stats(docs: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     """(field, n, mean) over all documents, empty fields included."""
-    sizes = [F.struct(F.lit(name).alias("field"), F.size(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")).alias("length")) for name, c in fields.items()]
+    sizes = [F.struct(F.lit(name).alias("field"), F.size(words(c)).alias("length")) for name, c in fields.items()]
     return docs.select(F.inline(F.array(*sizes))).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
 
 
+def term_postings(docs: DataFrame, fields: Mapping[str, Column], terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of ``terms`` only, field statistics) from one pass over the texts.
+
+    A text's words are cut down to the query terms where it stands, so only hits leave the scan. Beyond
+    ``FILTER_TERMS`` terms the full postings are built and joined instead.
+    """
+    wanted = [r[0] for r in terms.select("term").filter("term IS NOT NULL").distinct().limit(FILTER_TERMS + 1).collect()]
+    if len(wanted) > FILTER_TERMS:
+        return postings(docs, fields), field_stats(docs, fields)
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), words(c).alias("terms")) for name, c in fields.items())))
+    parsed = docs.select("doc_id", each.alias("f")).select("doc_id", "f.field", F.size("f.terms").cast("long").alias("length"), F.filter("f.terms", lambda w: w.isin(*wanted)).alias("hits"))
+    kept = materialize(parsed, "term-hits")
+    stats = kept.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    counted = F.explode(F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda h: h == t)).cast("long").alias("tf"))))
+    return kept.filter(F.size("hits") > 0).select("doc_id", "field", "length", counted.alias("p")).select("doc_id", "field", "length", "p.term", "p.tf"), stats
+
+
 def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, boosts: Mapping[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score): BM25 per field, weighted. ``terms``: distinct (query_id, term). Only postings of query terms are joined."""
     used = posts.join(small(terms.select("term").distinct()), "term")
