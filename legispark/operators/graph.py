@@ -12,11 +12,15 @@ from legispark.functions.text import significant_tokens
 # What a related document is to the one asked for, by direction and type.
 ROLES = {
     ("incoming", "REPLACES"): "current_authority",
-    ("incoming", "REPEALS"): "current_authority",
+    ("incoming", "REPEALS"): "repealing_document",
     ("incoming", "AMENDS"): "amending_document",
+    ("incoming", "SUPPLEMENTS"): "supplementing_document",
+    ("incoming", "GUIDES"): "guidance_document",
     ("outgoing", "REPLACES"): "replaced_document",
-    ("outgoing", "REPEALS"): "replaced_document",
+    ("outgoing", "REPEALS"): "repealed_document",
     ("outgoing", "AMENDS"): "amended_document",
+    ("outgoing", "SUPPLEMENTS"): "supplemented_document",
+    ("outgoing", "GUIDES"): "guided_document",
 }
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legispark.functions import labels, text
-from legispark.operators import load, temporal
+from legispark.operators import load, search, temporal
 from legispark.plans.base import CHUNKS, EDGES, LEGAL, PERIODS, PROVISIONS, chunks, edges, legal, periods, provisions, query, table
+from legispark.plans.retrieval import DENSE
 
 DAY = "1996-06-30"
 AT = "valid_from <= DATE '1996-06-30' AND (valid_to IS NULL OR DATE '1996-06-30' < valid_to)"
@@ -133,18 +134,23 @@ def status_resolution(spark: SparkSession, d: str) -> DataFrame:
     return temporal.resolve_status(rows, p, DAY).select("document_id", "provision_key", "status", "valid_from", "valid_to", "status_scope")
 
 
-@query(f"""WITH {PERIODS}, {PROVISIONS}, ranked AS (SELECT vec_id AS document_id, row_number() OVER (ORDER BY label DESC, vec_id) AS rank FROM embeddings WHERE vec_id % 5 = 0)
-SELECT k.rank, p.document_id, p.provision_key, s.status AS doc_status, l.document_type, parent.provision_key AS parent_key
+@query(f"""WITH {PERIODS}, {PROVISIONS}, {DENSE}, ranked AS (SELECT query_id, point_id AS document_id, rank FROM dense WHERE rank <= 20)
+SELECT k.query_id, k.rank, p.document_id, p.provision_key, coalesce(CASE WHEN p.status <> 'UNKNOWN' THEN p.status END, s.status) AS status, l.document_type, parent.provision_key AS parent_key, e.label AS vector_label
 FROM ranked k JOIN provisions p USING (document_id) JOIN legal l USING (document_id) JOIN (SELECT * FROM periods WHERE {AT}) s USING (document_id)
-LEFT JOIN provisions parent ON parent.document_id = p.document_id AND parent.article = p.article - 1""")
+LEFT JOIN provisions parent ON parent.document_id = p.document_id AND parent.article = p.article - 1 LEFT JOIN embeddings e ON e.vec_id = p.document_id""")
 def hydrate_points(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").filter("vec_id % 5 = 0").select(F.col("vec_id").alias("document_id"), "label")
-    ranked = e.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("label"), "document_id")).cast("long"))
-    p = provisions(spark, d)
+    """The points of the stated searches with their rows; ranks are those of the search."""
+    e = table(spark, d, "embeddings")
+    points = e.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
+    ranked = search.dense_top_k(points, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 20)
+    ranked = ranked.select("query_id", F.col("point_id").alias("document_id"), "rank")
+    p = provisions(spark, d).select("document_id", "article", "provision_key", F.col("status").alias("_own"))
     parent = p.select(F.col("document_id").alias("_d"), (F.col("article") + 1).alias("_a"), F.col("provision_key").alias("parent_key"))
     now = periods(spark, d).filter(temporal.valid_at(F.col("valid_from"), F.col("valid_to"), F.lit(DAY).cast("date"))).select("document_id", F.col("status").alias("doc_status"))
-    out = ranked.join(p, "document_id").join(legal(spark, d).select("document_id", "document_type"), "document_id").join(now, "document_id")
-    return out.join(parent, (F.col("document_id") == F.col("_d")) & (F.col("article") == F.col("_a")), "left").select("rank", "document_id", "provision_key", "doc_status", "document_type", "parent_key").orderBy("rank", "provision_key")
+    refs = e.select(F.col("vec_id").alias("document_id"), F.col("label").alias("vector_label"))
+    out = ranked.join(p, "document_id").join(legal(spark, d).select("document_id", "document_type"), "document_id").join(now, "document_id").join(refs, "document_id", "left")
+    out = out.join(parent, (F.col("document_id") == F.col("_d")) & (F.col("article") == F.col("_a")), "left")
+    return out.select("query_id", "rank", "document_id", "provision_key", F.coalesce(F.when(F.col("_own") != "UNKNOWN", F.col("_own")), "doc_status").alias("status"), "document_type", "parent_key", "vector_label")
 
 
 @query(f"WITH {PROVISIONS} SELECT DISTINCT document_id, provision_key, 'UNKNOWN' AS status FROM provisions JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') ON o_orderkey = document_id WHERE status = 'UNKNOWN' AND NOT EXISTS (SELECT 1 FROM provisions q WHERE q.document_id = provisions.document_id AND q.provision_key = provisions.provision_key AND q.status <> 'UNKNOWN')")

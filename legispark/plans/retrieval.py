@@ -15,12 +15,13 @@ TERMS = [(1, "the"), (1, "tion"), (1, "anon"), (2, "der"), (2, "enst"), (3, "eau
 TERMS_SQL = "(VALUES (1, 'the'), (1, 'tion'), (1, 'anon'), (2, 'der'), (2, 'enst'), (3, 'eau'), (3, 'les')) q(query_id, term)"
 COSINE = "round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6)"
 DENSE = f"""dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, {COSINE} AS score,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, p.vec_id) AS rank FROM embeddings q, embeddings p WHERE q.vec_id IN (1, 2, 3)) WHERE rank <= 100)"""
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, p.vec_id) AS rank FROM embeddings q, embeddings p WHERE q.vec_id % 20 = 0) WHERE rank <= 100)"""
 WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").filter(F.col("vec_id").isin(1, 2, 3)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """The stated query set: every vector whose id is divisible by 20."""
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -31,25 +32,35 @@ def _terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TERMS, "query_id long, term string")
 
 
-def _bm25_sql(name: str, fields: dict[str, tuple[str, float]]) -> str:
+#: The lexical side of the stated query set: the first three words of the document of the same id.
+OWN_TERMS = f"""own_terms AS (SELECT doc_id AS query_id, unnest(list_distinct(list_slice({WORDS.format('text')}, 1, 3))) AS term FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))"""
+
+
+def _own_terms(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("doc_id"))
+    first = F.array_distinct(F.slice(search.words(F.col("text")), 1, 3))
+    return table(spark, d, "documents").filter("doc_id % 20 = 0").join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), F.explode(first).alias("term"))
+
+
+def _bm25_sql(name: str, fields: dict[str, tuple[str, float]], terms: str = TERMS_SQL) -> str:
     parts = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, {WORDS.format(c)} AS w, {b}::DOUBLE AS boost FROM documents" for f, (c, b) in fields.items())
     return f"""f AS ({parts}), stats AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM f GROUP BY 1),
-posts AS (SELECT doc_id, field, boost, len(w) AS length, term, count(*) AS tf FROM (SELECT doc_id, field, boost, w, unnest(w) AS term FROM f) WHERE term IN (SELECT term FROM {TERMS_SQL}) GROUP BY ALL),
+posts AS (SELECT doc_id, field, boost, len(w) AS length, term, count(*) AS tf FROM (SELECT doc_id, field, boost, w, unnest(w) AS term FROM f) WHERE term IN (SELECT term FROM {terms}) GROUP BY ALL),
 dfs AS (SELECT field, term, count(*) AS df FROM posts GROUP BY 1, 2),
 {name} AS (SELECT query_id, doc_id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(DISTINCT term) AS n_terms
-FROM posts JOIN stats USING (field) JOIN dfs USING (field, term) JOIN {TERMS_SQL} USING (term) GROUP BY 1, 2)"""
+FROM posts JOIN stats USING (field) JOIN dfs USING (field, term) JOIN {terms} USING (term) GROUP BY 1, 2)"""
 
 
 BM25 = _bm25_sql("bm", {"text": ("text", 1.0)})
 
 
-def _bm25(spark: SparkSession, d: str, fields: dict[str, float]) -> DataFrame:
-    docs = table(spark, d, "documents")
-    columns = {f: F.col(f) for f in fields}
-    return search.bm25(search.postings(docs, columns), search.field_stats(docs, columns), _terms(spark), fields)
+def _bm25(spark: SparkSession, d: str, fields: dict[str, float], terms: DataFrame | None = None) -> DataFrame:
+    terms = _terms(spark) if terms is None else terms
+    return search.bm25(*search.term_postings(table(spark, d, "documents"), {f: F.col(f) for f in fields}, terms), terms, fields)
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) ** 0.5, 6) AS norm, abs(1 - 1) < 0.00001 AS unit FROM embeddings")
+@query("""SELECT vec_id, round(n, 6) AS norm, abs(list_sum(list_transform(v, lambda x: (x / n) * (x / n))) ** 0.5 - 1) < 0.00001 AS unit
+FROM (SELECT vec_id, embedding::DOUBLE[] AS v, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) ** 0.5 AS n FROM embeddings)""")
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").withColumn("_v", F.col("embedding").cast("array<double>"))
     return e.select("vec_id", F.round(search.norm(F.col("_v")), 6).alias("norm"), (F.abs(search.norm(search.l2_normalize(F.col("_v"))) - 1) < 1e-5).alias("unit"))
@@ -61,7 +72,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT * FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, p.vec_id) AS rank
-FROM embeddings q, embeddings p WHERE q.vec_id IN (1, 2, 3) AND p.label IN (1, 2, 3, 4) AND {COSINE} >= 0.05) WHERE rank <= 10""")
+FROM embeddings q, embeddings p WHERE q.vec_id % 20 = 0 AND p.label IN (1, 2, 3, 4) AND {COSINE} >= 0.05) WHERE rank <= 10""")
 def dense_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     allowed = table(spark, d, "embeddings").filter(F.col("label").isin(1, 2, 3, 4)).select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
     return search.dense_top_k(allowed, _queries(spark, d), 10, least=0.05)
@@ -104,11 +115,11 @@ def structure_requirement(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
     dense = search.dense_top_k(_points(spark, d), _queries(spark, d), k).select("query_id", F.lit("dense").alias("source"), "point_id", F.col("score").alias("raw_score"), "rank")
-    sparse = search.top_k(_bm25(spark, d, {"text": 1.0}), k, F.desc("score"), F.col("doc_id")).select("query_id", F.lit("sparse").alias("source"), F.col("doc_id").alias("point_id"), F.col("score").alias("raw_score"), "rank")
+    sparse = search.top_k(_bm25(spark, d, {"text": 1.0}, _own_terms(spark, d)), k, F.desc("score"), F.col("doc_id")).select("query_id", F.lit("sparse").alias("source"), F.col("doc_id").alias("point_id"), F.col("score").alias("raw_score"), "rank")
     return dense.unionByName(sparse)
 
 
-RANKED = f"""{DENSE}, {BM25}, ranked AS (SELECT query_id, 'dense' AS source, point_id, rank FROM dense UNION ALL
+RANKED = f"""{DENSE}, {OWN_TERMS}, {_bm25_sql('bm', {'text': ('text', 1.0)}, 'own_terms')}, ranked AS (SELECT query_id, 'dense' AS source, point_id, rank FROM dense UNION ALL
   SELECT query_id, 'sparse', doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 100),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, point_id) AS rank FROM
   (SELECT query_id, point_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM ranked GROUP BY 1, 2))"""
@@ -150,13 +161,15 @@ def rerank_merge(spark: SparkSession, d: str) -> DataFrame:
     return search.rerank(ranked, 12).select("query_id", "point_id", "final_rank")
 
 
-@query(f"""WITH {DENSE}, x AS (SELECT d.query_id, point_id, rank, label AS document_id FROM dense d JOIN embeddings ON vec_id = point_id WHERE rank <= 30),
-best AS (SELECT query_id, document_id FROM (VALUES (1, 3, 110.0), (1, 4, 105.0), (2, 5, 101.0), (2, 6, 100.5), (3, 7, 120.0)) s(query_id, document_id, sc) WHERE (query_id, document_id) IN ((1, 3), (3, 7)))
+@query(f"""WITH {DENSE}, x AS (SELECT d.*, label AS document_id FROM dense d JOIN embeddings ON vec_id = point_id WHERE rank <= 30),
+seeds AS (SELECT query_id, document_id, round(max(score) * 100, 4) AS sc FROM x GROUP BY 1, 2),
+ordered AS (SELECT *, row_number() OVER w AS r, lead(sc) OVER w AS next FROM seeds WINDOW w AS (PARTITION BY query_id ORDER BY sc DESC, document_id)),
+best AS (SELECT query_id, document_id FROM ordered WHERE r = 1 AND (next IS NULL OR sc - next >= 1.0))
 SELECT x.query_id, point_id, row_number() OVER (PARTITION BY x.query_id ORDER BY CASE WHEN x.document_id = b.document_id THEN 0 ELSE 1 END, rank) AS final_rank FROM x LEFT JOIN best b ON b.query_id = x.query_id""")
 def seed_promotion(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.createDataFrame([(1, 3, 110.0), (1, 4, 105.0), (2, 5, 101.0), (2, 6, 100.5), (3, 7, 120.0)], "query_id long, document_id int, seed_score double")
     docs = table(spark, d, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").alias("document_id"))
     ranked = search.dense_top_k(_points(spark, d), _queries(spark, d), 30).join(docs, "point_id")
+    seeds = ranked.groupBy("query_id", "document_id").agg(F.round(F.max("score") * 100, 4).alias("seed_score"))
     return search.promote_seed(ranked, seeds).select("query_id", "point_id", "final_rank")
 
 
@@ -192,7 +205,7 @@ def search_target(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", F.coalesce("graph", "seed", "raw").alias("target"))
 
 
-# Graph: one hop over typed, dated edges.
+# Graph: one hop over typed, dated edges, from every document.
 
 
 @query(f"WITH {PERIODS} SELECT l.document_id, coalesce(p.status, l.status) AS status FROM legal l LEFT JOIN (SELECT document_id, status FROM periods WHERE {AT}) p USING (document_id)")
@@ -201,22 +214,23 @@ def seed_lookup(spark: SparkSession, d: str) -> DataFrame:
     return legal(spark, d).join(now, "document_id", "left").select("document_id", F.coalesce("_s", "status").alias("status"))
 
 
-ROLE_SQL = "CASE WHEN direction = 'incoming' AND relation IN ('REPLACES', 'REPEALS') THEN 'current_authority' WHEN direction = 'incoming' AND relation = 'AMENDS' THEN 'amending_document' WHEN direction = 'outgoing' AND relation IN ('REPLACES', 'REPEALS') THEN 'replaced_document' WHEN direction = 'outgoing' AND relation = 'AMENDS' THEN 'amended_document' ELSE 'related_document' END"
+ROLE_SQL = """CASE direction || ' ' || relation WHEN 'incoming REPLACES' THEN 'current_authority' WHEN 'incoming REPEALS' THEN 'repealing_document' WHEN 'incoming AMENDS' THEN 'amending_document' WHEN 'incoming SUPPLEMENTS' THEN 'supplementing_document' WHEN 'incoming GUIDES' THEN 'guidance_document'
+WHEN 'outgoing REPLACES' THEN 'replaced_document' WHEN 'outgoing REPEALS' THEN 'repealed_document' WHEN 'outgoing AMENDS' THEN 'amended_document' WHEN 'outgoing SUPPLEMENTS' THEN 'supplemented_document' WHEN 'outgoing GUIDES' THEN 'guided_document' ELSE 'related_document' END"""
 EXPAND = EDGES + f""", hop AS (SELECT target_id AS seed_id, source_id AS document_id, relation, 'incoming' AS direction FROM edges WHERE {AT} UNION ALL SELECT source_id, target_id, relation, 'outgoing' FROM edges WHERE {AT})"""
 
 
-@query(f"WITH {EXPAND} SELECT seed_id, h.document_id, relation, direction, l.status FROM hop h JOIN legal l ON l.document_id = h.document_id WHERE seed_id % 10 = 0")
+@query(f"WITH {EXPAND} SELECT seed_id, h.document_id, relation, direction, l.status FROM hop h JOIN legal l ON l.document_id = h.document_id")
 def graph_expand(spark: SparkSession, d: str) -> DataFrame:
     from legispark.operators.graph import expand
 
-    return expand(edges(spark, d), legal(spark, d), legal(spark, d).filter("document_id % 10 = 0").select("document_id"), DAY).select("seed_id", "document_id", "relation", "direction", "status")
+    return expand(edges(spark, d), legal(spark, d), legal(spark, d).select("document_id"), DAY).select("seed_id", "document_id", "relation", "direction", "status")
 
 
-@query(f"WITH {EXPAND} SELECT seed_id, document_id, {ROLE_SQL} AS role FROM hop WHERE seed_id % 10 = 0")
+@query(f"WITH {EXPAND} SELECT seed_id, document_id, {ROLE_SQL} AS role FROM hop")
 def graph_roles(spark: SparkSession, d: str) -> DataFrame:
     from legispark.operators.graph import expand, role
 
-    out = expand(edges(spark, d), legal(spark, d), legal(spark, d).filter("document_id % 10 = 0").select("document_id"), DAY)
+    out = expand(edges(spark, d), legal(spark, d), legal(spark, d).select("document_id"), DAY)
     return out.select("seed_id", "document_id", role(F.col("direction"), F.col("relation")).alias("role"))
 
 
