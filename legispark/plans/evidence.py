@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from legispark.operators import chunking, evidence, load, search, structure
 from legispark.plans.base import CHUNKS, chunks, query, table
-from legispark.plans.texts import LAW
+from legispark.plans.texts import law
 from legispark.sources import html
 
 EVIDENCE = """ev AS (SELECT o_custkey % 20 AS query_id, o_orderkey AS item, o_custkey AS document_id, o_orderpriority AS article, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS rank, o_orderkey % 97 + 5 AS tokens FROM orders)"""
@@ -52,8 +52,7 @@ def issue_round_robin(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) WHERE length(b.text) >= 40")
 def contained_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    b = search.small(table(spark, d, "benchmark").filter(F.length("text") >= 40).select("item_id", evidence.flat(F.col("text")).alias("_q")))
-    return table(spark, d, "documents").select("doc_id", evidence.flat(F.col("text")).alias("_t")).join(b, F.expr("contains(_t, _q)")).select("item_id", "doc_id").distinct()
+    return evidence.quote_matches(table(spark, d, "benchmark").filter(F.length("text") >= 40), table(spark, d, "documents"), literal=True)
 
 
 TOKS = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''), ' ') || ' '"
@@ -64,17 +63,14 @@ def quote_in_evidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence.quote_matches(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, i, s, list_distinct(list_filter(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id < 50)),
+@query(f"""WITH p AS (SELECT doc_id, i, s, list_distinct(list_filter(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)),
 c AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS t FROM benchmark),
-x AS (SELECT item_id, doc_id, i, len(list_intersect(c.t, p.t)) AS n, len(c.t) AS whole FROM c, p)
+pw AS (SELECT doc_id, i, unnest(t) AS w FROM p), cw AS (SELECT item_id, len(t) AS whole, unnest(t) AS w FROM c),
+x AS (SELECT item_id, doc_id, i, count(*) AS n, any_value(whole) AS whole FROM cw JOIN pw USING (w) GROUP BY 1, 2, 3)
 SELECT item_id, arg_max(doc_id, (n, -doc_id, -i)) AS doc_id, max(n)::BIGINT AS n FROM x WHERE n >= 4 AND n >= 0.2 * whole GROUP BY 1""")
 def best_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    p = table(spark, d, "documents").filter("doc_id < 50").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "s")).select("doc_id", F.col("i").cast("long").alias("i"), words(F.col("s")).alias("_p"))
-    c = search.small(table(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("_c")))
-    n = F.size(F.array_intersect("_c", "_p")).cast("long")
-    x = p.join(c).select("item_id", "doc_id", "i", n.alias("n"), F.size("_c").alias("whole")).filter((F.col("n") >= 4) & (F.col("n") >= 0.2 * F.col("whole")))
-    return x.groupBy("item_id").agg(F.max(F.struct("n", -F.col("doc_id"), -F.col("i"))).alias("b")).select("item_id", (-F.col("b.col2")).alias("doc_id"), F.col("b.n").alias("n"))
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    return evidence.best_excerpts(table(spark, d, "benchmark"), parts).select("item_id", "doc_id", "n")
 
 
 @query("SELECT o_orderkey AS id, '[E' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || '] ' || o_orderpriority || ' | ' || CASE o_orderstatus WHEN 'F' THEN 'hết hiệu lực' WHEN 'O' THEN 'còn hiệu lực' ELSE 'hết hiệu lực một phần' END AS line FROM orders")
@@ -127,10 +123,10 @@ def judge_contract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.size(verdicts) < F.count(F.lit(1))).alias("repeated"), (F.size(F.array_except(verdicts, F.array(F.lit("F"), F.lit("O")))) > 0).alias("unknown_verdict"))
 
 
-@query("SELECT conv_id, string_agg(left(text, 60), chr(10) ORDER BY turn) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 5 GROUP BY 1")
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 5 GROUP BY 1")
 def render_answer(spark: SparkSession, d: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    x = table(spark, d, "conversations").withColumn("n", n).filter("n <= 5").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 60).alias("t")))).alias("x"))
+    x = table(spark, d, "conversations").withColumn("n", n).filter("n <= 5").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("x"))
     return x.select("conv_id", F.array_join(F.transform("x", lambda c: c["t"]), "\n").alias("answer"))
 
 
@@ -215,8 +211,7 @@ def clean_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def parse_documents(spark: SparkSession, d: str) -> DataFrame:
-    law = spark.createDataFrame(LAW, "doc_id int, text string")
-    return structure.containment(structure.classify(structure.line_tokens(law.unionByName(table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("doc_id"), "text")))))
+    return structure.containment(structure.classify(structure.line_tokens(law(spark, d))))
 
 
 @query()
@@ -239,7 +234,11 @@ def semantic_overlap(spark: SparkSession, d: str) -> DataFrame:
     return chunking.semantic_overlap(c).filter("overlap_text IS NOT NULL").select("chunk_id", "overlap_from", "overlap_text")
 
 
-@query()
+@query(f"""WITH {EVIDENCE}, g AS (SELECT *, max(score) OVER w AS best, min(rank) OVER w AS first FROM ev WINDOW w AS (PARTITION BY query_id, document_id, article)),
+p AS (SELECT query_id, item, tokens, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, first, document_id, article, score DESC, rank) AS position FROM g),
+o AS (SELECT query_id, list({{used: tokens::BIGINT, n: 1::BIGINT, items: [item::VARCHAR]}} ORDER BY position) AS x FROM p GROUP BY 1),
+r AS (SELECT query_id, list_reduce(list_prepend({{used: 0::BIGINT, n: 0::BIGINT, items: []::VARCHAR[]}}, x), lambda a, e: CASE WHEN a.used + e.used <= 400 AND a.n < 12 THEN {{used: a.used + e.used, n: a.n + 1, items: list_concat(a.items, e.items)}} ELSE a END) AS p FROM o)
+SELECT query_id, array_to_string(p.items, ',') AS items, p.used AS used FROM r""")
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
     return evidence.pack_budget(evidence.group_order(_evidence(spark, d)), 400, 12)
 

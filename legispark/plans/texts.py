@@ -41,11 +41,12 @@ def normalize_line(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(LINES, "id int, line string").select("id", text.normalize_line(F.col("line")).alias("line"))
 
 
-@query("""SELECT doc_id, md5(trim(array_to_string(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(regexp_replace(regexp_replace(l, '[ \\t]+', ' ', 'g'), '(?:[._…]\\s*){12,}', '[THÔNG TIN ĐỂ TRỐNG]', 'g'), '\\s+([,.;:!?])', '\\1', 'g'))), chr(10)), chr(10))) AS digest
-FROM documents WHERE NOT regexp_matches(text, '(?im)^\\s*(\\d+\\s*[.)]|[a-zđ]\\s*\\)|[•●▪▫◦‣⁃∙])') AND NOT contains(text, chr(10) || chr(10))""")
+LINE_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \\t\\f\\v]+', ' ', 'g'), '(?:[._…]\\s*){12,}', '[THÔNG TIN ĐỂ TRỐNG]', 'g'), '\\s+([,.;:!?])', '\\1', 'g'))"
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: {LINE_SQL}), lambda l: {MARK_SQL}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')) AS digest FROM documents""")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    plain = table(spark, d, "documents").filter(~F.col("text").rlike(r"(?im)^\s*(\d+\s*[.)]|[a-zđ]\s*\)|[•●▪▫◦‣⁃∙])") & ~F.col("text").contains("\n\n"))
-    return plain.select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("digest"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> ''))::BIGINT AS n FROM documents")
@@ -58,16 +59,18 @@ def line_tokens(spark: SparkSession, d: str) -> DataFrame:
     return structure.line_tokens(table(spark, d, "documents"))
 
 
+#: Four small laws that have what invented prose lacks; the structure queries run on them and on all documents.
 LAW = [
-    (1, "Căn cứ Luật A;\nPHẦN THỨ NHẤT\nCHƯƠNG I\nQUY ĐỊNH CHUNG\nĐiều 1. Phạm vi\n1. Khoản một\na) Điểm a\ntiếp theo\nb) Điểm b\n2. Khoản hai\nĐiều 2. Đối tượng\n1. Khoản\nMỤC 1\nĐiều 1. Lặp\nCHƯƠNG II. Khác\nĐiều 1. Lại\nTM. CHÍNH PHỦ\nPHỤ LỤC I\nBảng"),
-    (2, "QUYẾT ĐỊNH\nĐiều 1\nĐiều 1. Hai lần\n- gạch đầu dòng\nNơi nhận:\n"),
-    (3, "Chỉ có văn xuôi thôi.\n\nThêm một dòng."),
-    (4, "I. TỔNG QUAN\n- mục\nThông báo\n1) một"),
+    (-1, "Căn cứ Luật A;\nPHẦN THỨ NHẤT\nCHƯƠNG I\nQUY ĐỊNH CHUNG\nĐiều 1. Phạm vi\n1. Khoản một\na) Điểm a\ntiếp theo\nb) Điểm b\n2. Khoản hai\nĐiều 2. Đối tượng\n1. Khoản\nMỤC 1\nĐiều 1. Lặp\nCHƯƠNG II. Khác\nĐiều 1. Lại\nTM. CHÍNH PHỦ\nPHỤ LỤC I\nBảng"),
+    (-2, "QUYẾT ĐỊNH\nĐiều 1\nĐiều 1. Hai lần\n- gạch đầu dòng\nNơi nhận:\n"),
+    (-3, "Chỉ có văn xuôi thôi.\n\nThêm một dòng."),
+    (-4, "I. TỔNG QUAN\n- mục\nThông báo\n1) một"),
 ]
 LAW_SQL = "(VALUES " + ", ".join("({}, '{}')".format(i, t.replace("\n", "' || chr(10) || '")) for i, t in LAW) + ") law(doc_id, text)"
+LAW_SQL = f"(SELECT doc_id::BIGINT AS doc_id, text FROM {LAW_SQL} UNION ALL SELECT doc_id, text FROM documents)"
 HEAD = "(\\s|[.:\\-–—]|$)"
 FREE = "(regexp_matches({0}, '(?i)^\\s*(?:QUYẾT\\s+ĐỊNH|NGHỊ\\s+QUYẾT|THÔNG\\s+BÁO|CHỈ\\s+THỊ|CÔNG\\s+VĂN|KẾ\\s+HOẠCH|BÁO\\s+CÁO|TỜ\\s+TRÌNH|NƠI\\s+NHẬN|KÍNH\\s+GỬI)\\s*:?\\s*$') OR (length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g')) > 0 AND length({0}) <= 140 AND length(regexp_replace({0}, '[^\\p{{Lu}}]', '', 'g')) >= 0.9 * length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))))"
-KINDS = f"""toks AS (SELECT doc_id, i AS line_no, trim(l) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {LAW_SQL}) WHERE trim(l) <> ''),
+KINDS = f"""toks AS (SELECT doc_id, i AS line_no, trim(l) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {LAW_SQL} law) WHERE trim(l) <> ''),
 kinds AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^\\s*PHẦN\\s+((THỨ\\s+\\S+)|[IVXLCDM]+|\\d+[A-ZĐ]?){HEAD}') THEN 'part' WHEN regexp_matches(line, '(?i)^\\s*CHƯƠNG\\s+([IVXLCDM]+|\\d+[A-ZĐ]?){HEAD}') THEN 'chapter'
 WHEN regexp_matches(line, '(?i)^\\s*MỤC\\s+([IVXLCDM]+|\\d+[A-ZĐ]?){HEAD}') OR (regexp_matches(line, '(?i)^\\s*[IVXLCDM]+[.)]\\s+.+$') AND {FREE.format("regexp_extract(line, '(?i)^[IVXLCDM]+[.)]\\s+(.+)$', 1)")}) THEN 'section'
 WHEN regexp_matches(line, '(?i)^\\s*ĐIỀU\\s+\\d+[A-ZĐ]?{HEAD}') THEN 'article' WHEN regexp_matches(line, '(?i)^\\s*(PHỤ\\s+LỤC(\\s+[IVXLCDM\\d]+)?|MẪU\\s+SỐ\\s+\\S+){HEAD}') THEN 'appendix'
@@ -80,42 +83,46 @@ LEVELS = {"appendix": ("signature",), "part": ("signature", "appendix"), "chapte
 PATHS = KINDS + ", paths AS (SELECT *, " + ", ".join("nullif(last_value(CASE WHEN kind = '{0}' THEN label WHEN kind IN ({1}) THEN '' END IGNORE NULLS) OVER w, '') AS {0}".format(k, ", ".join(f"'{x}'" for x in v)) for k, v in LEVELS.items()) + " FROM lab WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 
 
-def _law(spark: SparkSession) -> DataFrame:
-    return structure.classify(structure.line_tokens(spark.createDataFrame(LAW, "doc_id int, text string")))
+def law(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(LAW, "doc_id long, text string").unionByName(table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def _law(spark: SparkSession, d: str) -> DataFrame:
+    return structure.classify(structure.line_tokens(law(spark, d)))
 
 
 @query(f"WITH {KINDS} SELECT doc_id, line_no, kind, label FROM lab")
 def line_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return _law(spark).select("doc_id", "line_no", "kind", "label")
+    return _law(spark, d).select("doc_id", "line_no", "kind", "label")
 
 
 @query(f"WITH {KINDS} SELECT doc_id, line_no, {FREE.format('line')} AS heading FROM toks")
 def free_heading(spark: SparkSession, d: str) -> DataFrame:
-    return _law(spark).select("doc_id", "line_no", structure.is_free_heading(F.col("line")).alias("heading"))
+    return _law(spark, d).select("doc_id", "line_no", structure.is_free_heading(F.col("line")).alias("heading"))
 
 
 @query(f"""WITH {KINDS}, n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nl, lead(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS nk FROM lab)
 SELECT doc_id, line_no, CASE WHEN nk IN ('text', 'free_heading') AND NOT regexp_matches(nl, '[.;?!]$') AND NOT regexp_matches(nl, '(?i)^(Căn\\s+cứ|Kính\\s+gửi|Nơi\\s+nhận|Thực\\s+hiện)') THEN nl END AS title FROM n WHERE kind IN ('part', 'chapter', 'section', 'appendix')""")
 def split_title(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    n = _law(spark).withColumn("_l", F.lead("line").over(w)).withColumn("_k", F.lead("kind").over(w)).filter(F.col("kind").isin(*structure.CONTAINERS))
+    n = _law(spark, d).withColumn("_l", F.lead("line").over(w)).withColumn("_k", F.lead("kind").over(w)).filter(F.col("kind").isin(*structure.CONTAINERS))
     return n.select("doc_id", "line_no", F.when(structure.looks_like_title(F.col("_l"), F.col("_k")), F.col("_l")).alias("title"))
 
 
 @query(f"WITH {PATHS} SELECT doc_id, line_no, appendix, part, chapter, section, article FROM paths")
 def containment_path(spark: SparkSession, d: str) -> DataFrame:
-    return structure.containment(_law(spark)).select("doc_id", "line_no", *structure.CONTAINERS, "article")
+    return structure.containment(_law(spark, d)).select("doc_id", "line_no", *structure.CONTAINERS, "article")
 
 
 @query(f"WITH {PATHS} SELECT doc_id, line_no, kind FROM paths WHERE appendix IS NULL AND kind = 'article'")
 def nodes_outside_appendix(spark: SparkSession, d: str) -> DataFrame:
-    return structure.containment(_law(spark)).filter("appendix IS NULL AND kind = 'article'").select("doc_id", "line_no", "kind")
+    return structure.containment(_law(spark, d)).filter("appendix IS NULL AND kind = 'article'").select("doc_id", "line_no", "kind")
 
 
 @query(f"""WITH {PATHS}, i AS (SELECT *, sum((kind IN ('article', 'numbered_item', 'lettered_item'))::INT) OVER (PARTITION BY doc_id, article ORDER BY line_no) AS item FROM paths WHERE article IS NOT NULL AND kind NOT IN ('appendix', 'part', 'chapter', 'section'))
 SELECT doc_id, article, item::BIGINT AS item, string_agg(line, chr(10) ORDER BY line_no) AS text FROM i GROUP BY 1, 2, 3""")
 def article_items(spark: SparkSession, d: str) -> DataFrame:
-    return structure.article_items(_law(spark)).select("doc_id", "article", "item", "text")
+    return structure.article_items(_law(spark, d)).select("doc_id", "article", "item", "text")
 
 
 STATS = f"WITH {KINDS}, s AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'part') AS parts, count(*) FILTER (WHERE kind = 'chapter') AS chapters, count(*) FILTER (WHERE kind = 'section') AS sections, count(*) FILTER (WHERE kind = 'appendix') AS appendices, count(*) FILTER (WHERE kind = 'article') AS articles, count(*) FILTER (WHERE kind = 'numbered_item') AS clauses, count(*) FILTER (WHERE kind = 'lettered_item') AS points, count(*) FILTER (WHERE kind = 'free_heading') AS headings, count(*) FILTER (WHERE kind = 'bullet') AS list_items FROM lab GROUP BY 1)"
@@ -123,24 +130,27 @@ STATS = f"WITH {KINDS}, s AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'part
 
 @query(STATS + " SELECT * FROM s")
 def node_stats(spark: SparkSession, d: str) -> DataFrame:
-    return structure.node_stats(_law(spark)).drop("structure_type")
+    return structure.node_stats(_law(spark, d)).drop("structure_type")
 
 
 @query(STATS + """ SELECT doc_id, CASE WHEN articles > 0 AND parts + chapters + sections > 0 THEN CASE WHEN appendices > 0 THEN 'mixed_hierarchical' ELSE 'hierarchical_article_based' END WHEN articles > 0 THEN CASE WHEN appendices > 0 THEN 'mixed_article_appendix' ELSE 'article_based' END
 WHEN appendices > 0 THEN 'appendix_or_form' WHEN parts + chapters + sections > 0 THEN 'hierarchical_no_articles' WHEN headings + list_items > 0 THEN 'semi_structured' ELSE 'free_form' END AS structure_type FROM s""")
 def structure_type(spark: SparkSession, d: str) -> DataFrame:
-    return structure.node_stats(_law(spark)).select("doc_id", "structure_type")
+    return structure.node_stats(_law(spark, d)).select("doc_id", "structure_type")
 
 
 @query(f"WITH {PATHS} SELECT doc_id, concat_ws('/', coalesce(appendix, '-'), coalesce(part, '-'), coalesce(chapter, '-'), coalesce(section, '-')) AS path, label, count(*) AS n FROM paths WHERE kind = 'article' GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def duplicate_articles(spark: SparkSession, d: str) -> DataFrame:
-    return structure.duplicate_articles(_law(spark))
+    return structure.duplicate_articles(_law(spark, d))
 
 
-@query(f"WITH {KINDS} SELECT doc_id, line_no, CASE kind WHEN 'free_heading' THEN 'heading' WHEN 'bullet' THEN 'list_item' WHEN 'numbered_item' THEN 'list_item' WHEN 'lettered_item' THEN 'list_item' ELSE 'paragraph' END AS type FROM lab WHERE doc_id > 2")
+@query(f"WITH {KINDS} SELECT doc_id, line_no, CASE kind WHEN 'free_heading' THEN 'heading' WHEN 'bullet' THEN 'list_item' WHEN 'numbered_item' THEN 'list_item' WHEN 'lettered_item' THEN 'list_item' ELSE 'paragraph' END AS type FROM lab WHERE doc_id IN (SELECT doc_id FROM lab GROUP BY 1 HAVING count(*) FILTER (WHERE kind IN ('part', 'chapter', 'section', 'appendix', 'article')) = 0)")
 def free_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of documents without articles, containers or appendices."""
     kind = F.col("kind")
-    return _law(spark).filter("doc_id > 2").select("doc_id", "line_no", F.when(kind == "free_heading", "heading").when(kind.isin("bullet", "numbered_item", "lettered_item"), "list_item").otherwise("paragraph").alias("type"))
+    lines = _law(spark, d)
+    free = structure.node_stats(lines).filter(F.col("structure_type").isin("semi_structured", "free_form")).select("doc_id")
+    return lines.join(free, "doc_id", "left_semi").select("doc_id", "line_no", F.when(kind == "free_heading", "heading").when(kind.isin("bullet", "numbered_item", "lettered_item"), "list_item").otherwise("paragraph").alias("type"))
 
 
 FLAGS = "list_filter([CASE WHEN n_chars > 50000 THEN 'severe:oversize' END, CASE WHEN n_chars > 5000 AND longest > 0.8 * n_chars THEN 'single_node' END, CASE WHEN lines >= 20 THEN 'many_lines' END], lambda x: x IS NOT NULL)"
