@@ -21,6 +21,9 @@ PATTERNS = {
 ROMAN_SECTION = r"(?iuU)^\s*([IVXLCDM]+)[.)]\s+(.+)$"
 FREE_HEADINGS = r"(?iuU)^\s*(?:QUYẾT\s+ĐỊNH|NGHỊ\s+QUYẾT|THÔNG\s+BÁO|CHỈ\s+THỊ|CÔNG\s+VĂN|KẾ\s+HOẠCH|BÁO\s+CÁO|TỜ\s+TRÌNH|NƠI\s+NHẬN|KÍNH\s+GỬI)\s*:?\s*$"
 TITLE_BLOCKERS = r"(?iuU)^\s*(?:Căn\s+cứ|Theo\s+đề\s+nghị|Xét\s+đề\s+nghị|Kính\s+gửi|Nơi\s+nhận|Thực\s+hiện|Quyết\s+định\s*:|Điều\s+\d+|\d{1,3}[a-zđ]?[.)]|[a-zđ]\d*[.)])"
+#: Marks of table lines as the HTML cleaner writes them.
+TABLE_MARKERS = {"table_start": "[[TABLE_START]]", "table_headers": "[[TABLE_HEADERS]]", "table_row": "[[TABLE_ROW]]", "table_end": "[[TABLE_END]]"}
+TABLE_KINDS = tuple(TABLE_MARKERS)
 CONTAINERS = ("appendix", "part", "chapter", "section")
 STRUCTURAL = (*CONTAINERS, "article", "signature")
 
@@ -42,7 +45,8 @@ def classify(lines: DataFrame) -> DataFrame:
     """Adds kind, label and title; the first pattern that fits decides."""
     line = F.col("line")
     roman = line.rlike(ROMAN_SECTION) & is_free_heading(F.regexp_extract(line, ROMAN_SECTION, 2))
-    kind = F.when(line.rlike(PATTERNS["part"]), "part").when(line.rlike(PATTERNS["chapter"]), "chapter").when(line.rlike(PATTERNS["section"]) | roman, "section")
+    marked = F.coalesce(*(F.when(line.startswith(mark), name) for name, mark in TABLE_MARKERS.items()))
+    kind = F.when(marked.isNotNull(), marked).when(line.rlike(PATTERNS["part"]), "part").when(line.rlike(PATTERNS["chapter"]), "chapter").when(line.rlike(PATTERNS["section"]) | roman, "section")
     for name in ("article", "appendix", "signature", "numbered_item", "lettered_item", "bullet"):
         kind = kind.when(line.rlike(PATTERNS[name]), name)
     kind = kind.when(is_free_heading(line), "free_heading").otherwise("text")
@@ -59,8 +63,9 @@ def classify(lines: DataFrame) -> DataFrame:
 
 def looks_like_title(line: Column, kind: Column, strict: bool = False, most_chars: int = 180, most_words: int = 24) -> Column:
     """Whether a line can be the title of the heading before it."""
+    kind_is_free = ~kind.isin(*TABLE_KINDS)
     words = F.size(F.split(F.trim(line), r"\s+"))
-    ok = ~kind.isin(*STRUCTURAL, "numbered_item", "lettered_item", "bullet") & (F.length(line) <= most_chars) & (words <= most_words) & ~line.rlike(TITLE_BLOCKERS) & ~line.rlike(r"[.;?!]$")
+    ok = kind_is_free & ~kind.isin(*STRUCTURAL, "numbered_item", "lettered_item", "bullet") & (F.length(line) <= most_chars) & (words <= most_words) & ~line.rlike(TITLE_BLOCKERS) & ~line.rlike(r"[.;?!]$")
     return ok & ~line.rlike("[,;]") & (words <= 14) if strict else ok
 
 
@@ -80,6 +85,35 @@ def containment(tokens: DataFrame) -> DataFrame:
     return out
 
 
+def tables(tokens: DataFrame) -> DataFrame:
+    """(doc_id, line_start, line_end, headers, rows, warnings) of the tables of classified lines.
+
+    A table runs from its start mark to the next end mark. Warnings: ``unexpected_table_line:n`` for a line that is no
+    part of it, ``invalid_table_row:n`` for one that is no JSON array, ``unterminated_table:n`` where the end is missing.
+    """
+    in_order = Window.partitionBy("doc_id").orderBy("line_no")
+    ended = tokens.withColumn("_t", F.count_if(F.col("kind") == "table_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    begun = F.min(F.when(F.col("kind") == "table_start", F.col("line_no"))).over(Window.partitionBy("doc_id", "_t"))
+    inside = ended.withColumn("_start", begun).filter("line_no >= _start")
+    kind, line = F.col("kind"), F.col("line")
+    content = F.trim(F.when(kind == "table_headers", F.substr(line, F.lit(len(TABLE_MARKERS["table_headers"]) + 1))).when(kind == "table_row", F.substr(line, F.lit(len(TABLE_MARKERS["table_row"]) + 1))))
+    cells = F.transform(F.from_json(F.when(content.startswith("["), content), "array<string>"), lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    payload = kind.isin("table_headers", "table_row")
+    warning = F.when(payload & cells.isNull(), F.concat(F.lit("invalid_table_row:"), "line_no")).when(~payload & (kind != "table_end") & (F.col("line_no") > F.col("_start")), F.concat(F.lit("unexpected_table_line:"), "line_no"))
+    each = inside.select("doc_id", "_t", "_start", "line_no", "kind", cells.alias("_c"), warning.alias("_w"))
+    listed = lambda condition, value: F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct("line_no", value.alias("v"))))), lambda x: x["v"])
+    found = each.groupBy("doc_id", "_t", "_start").agg(
+        F.max("line_no").alias("line_end"),
+        listed((F.col("kind") == "table_headers") & F.col("_c").isNotNull(), F.col("_c")).alias("_h"),
+        listed((F.col("kind") == "table_row") & F.col("_c").isNotNull(), F.col("_c")).alias("rows"),
+        listed(F.col("_w").isNotNull(), F.col("_w")).alias("_w"),
+        F.bool_or(F.col("kind") == "table_end").alias("_ok"),
+    )
+    open_end = F.when(F.col("_ok"), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("unterminated_table:"), "_start")))
+    headers = F.coalesce(F.try_element_at("_h", F.lit(-1)), F.array().cast("array<string>"))
+    return found.select("doc_id", F.col("_start").alias("line_start"), "line_end", headers.alias("headers"), "rows", F.concat("_w", open_end).alias("warnings"))
+
+
 def article_items(tokens: DataFrame) -> DataFrame:
     """(doc_id, article, item, kind, label, text): clauses and points of articles; plain lines attach to the innermost open item."""
     inside = containment(tokens).filter(F.col("article").isNotNull() & ~F.col("kind").isin(*CONTAINERS))

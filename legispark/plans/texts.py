@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from legispark.functions import query_parse, text
 from legispark.operators import structure
 from legispark.plans.base import query, table
+from legispark.sources import html
 
 TOKENS = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"
 
@@ -64,6 +65,7 @@ LAW = [
     (-1, "Căn cứ Luật A;\nPHẦN THỨ NHẤT\nCHƯƠNG I\nQUY ĐỊNH CHUNG\nĐiều 1. Phạm vi\n1. Khoản một\na) Điểm a\ntiếp theo\nb) Điểm b\n2. Khoản hai\nĐiều 2. Đối tượng\n1. Khoản\nMỤC 1\nĐiều 1. Lặp\nCHƯƠNG II. Khác\nĐiều 1. Lại\nTM. CHÍNH PHỦ\nPHỤ LỤC I\nBảng"),
     (-2, "QUYẾT ĐỊNH\nĐiều 1\nĐiều 1. Hai lần\n- gạch đầu dòng\nNơi nhận:\n"),
     (-3, "Chỉ có văn xuôi thôi.\n\nThêm một dòng."),
+    (-5, 'Điều 1. Bảng giá\n[[TABLE_START]]\n[[TABLE_HEADERS]]["Mã", "Giá"]\n[[TABLE_ROW]]["a", "1"]\nlạc dòng\n[[TABLE_ROW]]{x}\n[[TABLE_ROW]]["b", ""]\n[[TABLE_END]]\nsau bảng\n[[TABLE_START]]\n[[TABLE_ROW]]["hở"]'),
     (-4, "I. TỔNG QUAN\n- mục\nThông báo\n1) một"),
 ]
 LAW_SQL = "(VALUES " + ", ".join("({}, '{}')".format(i, t.replace("\n", "' || chr(10) || '")) for i, t in LAW) + ") law(doc_id, text)"
@@ -71,7 +73,7 @@ LAW_SQL = f"(SELECT doc_id::BIGINT AS doc_id, text FROM {LAW_SQL} UNION ALL SELE
 HEAD = "(\\s|[.:\\-–—]|$)"
 FREE = "(regexp_matches({0}, '(?i)^\\s*(?:QUYẾT\\s+ĐỊNH|NGHỊ\\s+QUYẾT|THÔNG\\s+BÁO|CHỈ\\s+THỊ|CÔNG\\s+VĂN|KẾ\\s+HOẠCH|BÁO\\s+CÁO|TỜ\\s+TRÌNH|NƠI\\s+NHẬN|KÍNH\\s+GỬI)\\s*:?\\s*$') OR (length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g')) > 0 AND length({0}) <= 140 AND length(regexp_replace({0}, '[^\\p{{Lu}}]', '', 'g')) >= 0.9 * length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))))"
 KINDS = f"""toks AS (SELECT doc_id, i AS line_no, trim(l) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {LAW_SQL} law) WHERE trim(l) <> ''),
-kinds AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^\\s*PHẦN\\s+((THỨ\\s+\\S+)|[IVXLCDM]+|\\d+[A-ZĐ]?){HEAD}') THEN 'part' WHEN regexp_matches(line, '(?i)^\\s*CHƯƠNG\\s+([IVXLCDM]+|\\d+[A-ZĐ]?){HEAD}') THEN 'chapter'
+kinds AS (SELECT *, CASE WHEN starts_with(line, '[[TABLE_START]]') THEN 'table_start' WHEN starts_with(line, '[[TABLE_HEADERS]]') THEN 'table_headers' WHEN starts_with(line, '[[TABLE_ROW]]') THEN 'table_row' WHEN starts_with(line, '[[TABLE_END]]') THEN 'table_end' WHEN regexp_matches(line, '(?i)^\\s*PHẦN\\s+((THỨ\\s+\\S+)|[IVXLCDM]+|\\d+[A-ZĐ]?){HEAD}') THEN 'part' WHEN regexp_matches(line, '(?i)^\\s*CHƯƠNG\\s+([IVXLCDM]+|\\d+[A-ZĐ]?){HEAD}') THEN 'chapter'
 WHEN regexp_matches(line, '(?i)^\\s*MỤC\\s+([IVXLCDM]+|\\d+[A-ZĐ]?){HEAD}') OR (regexp_matches(line, '(?i)^\\s*[IVXLCDM]+[.)]\\s+.+$') AND {FREE.format("regexp_extract(line, '(?i)^[IVXLCDM]+[.)]\\s+(.+)$', 1)")}) THEN 'section'
 WHEN regexp_matches(line, '(?i)^\\s*ĐIỀU\\s+\\d+[A-ZĐ]?{HEAD}') THEN 'article' WHEN regexp_matches(line, '(?i)^\\s*(PHỤ\\s+LỤC(\\s+[IVXLCDM\\d]+)?|MẪU\\s+SỐ\\s+\\S+){HEAD}') THEN 'appendix'
 WHEN regexp_matches(line, '(?i)^\\s*(KT\\.|TM\\.|TL\\.|TUQ\\.)\\s+.+$|^\\s*NƠI\\s+NHẬN\\s*:?\\s*$') THEN 'signature' WHEN regexp_matches(line, '(?i)^\\s*\\d{{1,3}}[a-zđ]?[.)]') THEN 'numbered_item'
@@ -109,6 +111,18 @@ def split_title(spark: SparkSession, d: str) -> DataFrame:
     return n.select("doc_id", "line_no", F.when(structure.looks_like_title(F.col("_l"), F.col("_k")), F.col("_l")).alias("title"))
 
 
+@query(f"""WITH {KINDS}, e AS (SELECT *, count(*) FILTER (WHERE kind = 'table_end') OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM lab),
+s AS (SELECT *, min(CASE WHEN kind = 'table_start' THEN line_no END) OVER (PARTITION BY doc_id, t) AS line_start FROM e),
+i AS (SELECT *, kind IN ('table_headers', 'table_row') AS pay, CASE kind WHEN 'table_headers' THEN substr(line, 18) WHEN 'table_row' THEN substr(line, 14) END AS body FROM s WHERE line_no >= line_start)
+SELECT doc_id, line_start, max(line_no) AS line_end, count(*) FILTER (WHERE kind = 'table_row' AND json_valid(body)) AS n_rows, coalesce(max(body) FILTER (WHERE kind = 'table_headers'), '[]') AS headers,
+concat_ws(',', string_agg(CASE WHEN pay AND NOT json_valid(body) THEN 'invalid_table_row:' || line_no WHEN NOT pay AND kind <> 'table_end' AND line_no > line_start THEN 'unexpected_table_line:' || line_no END, ',' ORDER BY line_no),
+  CASE WHEN NOT bool_or(kind = 'table_end') THEN 'unterminated_table:' || line_start END) AS warnings FROM i GROUP BY doc_id, t, line_start""")
+def parse_tables(spark: SparkSession, d: str) -> DataFrame:
+    t = structure.tables(_law(spark, d))
+    headers = F.when(F.size("headers") == 0, "[]").otherwise(F.concat(F.lit('["'), F.array_join("headers", '", "'), F.lit('"]')))
+    return t.select("doc_id", "line_start", "line_end", F.size("rows").cast("long").alias("n_rows"), headers.alias("headers"), F.array_join("warnings", ",").alias("warnings"))
+
+
 @query(f"WITH {PATHS} SELECT doc_id, line_no, appendix, part, chapter, section, article FROM paths")
 def containment_path(spark: SparkSession, d: str) -> DataFrame:
     return structure.containment(_law(spark, d)).select("doc_id", "line_no", *structure.CONTAINERS, "article")
@@ -174,10 +188,19 @@ def parse_quality(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).select("doc_id", F.when(F.exists("flags", lambda f: f.startswith("severe:")), "quarantine").when(F.size("flags") > 0, "review").otherwise("ok").alias("quality"))
 
 
-@query("SELECT page_id, CASE WHEN html IS NULL THEN 'source_null' WHEN trim(html) = '' THEN 'source_blank' WHEN trim(regexp_replace(html, '<[^>]*>', '', 'g')) = '' THEN 'no_visible_text' ELSE 'ok' END AS status FROM pages")
+MEANS = "regexp_matches(replace(replace(replace(replace({0}, '[[TABLE_START]]', ''), '[[TABLE_HEADERS]]', ''), '[[TABLE_ROW]]', ''), '[[TABLE_END]]', ''), '[\\p{{L}}\\p{{N}}]')"
+CLEANED = [(1, None, ""), (2, "  ", ""), (3, "<p></p>", ""), (4, "<p>--</p>", ""), (5, "<p>a</p>", ""), (6, "<p>a</p>", None), (7, "<p>.</p>", "."), (8, "<p>a</p>", "a")]
+CLEANED_SQL = "(VALUES " + ", ".join("({}, {}, {})".format(i, *("NULL" if x is None else f"'{x}'" for x in (h, c))) for i, h, c in CLEANED) + ") c(page_id, html, clean)"
+
+
+@query(f"""SELECT page_id, CASE WHEN clean <> '' THEN CASE WHEN {MEANS.format('clean')} THEN 'ok' ELSE 'no_meaningful_text' END WHEN html IS NULL THEN 'source_null' WHEN trim(html) = '' THEN 'source_blank' WHEN clean IS NULL THEN 'parse_error' WHEN v = '' THEN 'no_visible_text'
+WHEN NOT regexp_matches(v, '[\\p{{L}}\\p{{N}}]') THEN 'no_meaningful_text' ELSE 'cleaner_empty' END AS status FROM (SELECT *, trim(regexp_replace(html, '<[^>]*>', '', 'g')) AS v FROM (SELECT -page_id AS page_id, html, clean FROM {CLEANED_SQL}
+UNION ALL SELECT page_id, html, trim(regexp_replace(html, '<[^>]*>', '', 'g')) FROM pages))""")
 def clean_status(spark: SparkSession, d: str) -> DataFrame:
-    h = F.col("html")
-    return table(spark, d, "pages").select("page_id", F.when(h.isNull(), "source_null").when(F.trim(h) == "", "source_blank").when(F.trim(F.regexp_replace(h, "<[^>]*>", "")) == "", "no_visible_text").otherwise("ok").alias("status"))
+    """The label of every page with its tags stripped, and of the eight cases."""
+    made = spark.createDataFrame([(-i, h, c) for i, h, c in CLEANED], "page_id long, html string, clean string")
+    pages = table(spark, d, "pages").select("page_id", "html", F.trim(F.regexp_replace("html", "<[^>]*>", "")).alias("clean"))
+    return made.unionByName(pages).select("page_id", html.clean_status(F.col("html"), F.col("clean")).alias("status"))
 
 
 @query("SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS n FROM pages")

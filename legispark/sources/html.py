@@ -11,14 +11,16 @@ import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Element names of HTML by their effect on text, and the markers of tables.
-REMOVED = {"head", "title", "script", "style", "noscript", "iframe", "svg", "canvas", "object", "embed"}
+REMOVED = {"title", "script", "style", "noscript", "iframe", "svg", "canvas", "object", "embed"}
+IN_HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 BLOCKS = {"address", "article", "aside", "blockquote", "caption", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "legend", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 TABLE_START, TABLE_HEADERS, TABLE_ROW, TABLE_END = "[[TABLE_START]]", "[[TABLE_HEADERS]]", "[[TABLE_ROW]]", "[[TABLE_END]]"
 VERSION = "1"
+FILLER, FILLER_PLACEHOLDER = r"(?:[._…]\s*){12,}", "[THÔNG TIN ĐỂ TRỐNG]"
 _MARKERS = ((re.compile(r"^(\d+)\s*\.\s*"), "."), (re.compile(r"^([a-zđ])\s*\)\s*", re.I), ")"), (re.compile(r"^(\d+)\s*\)\s*"), ")"))
 
 
@@ -29,10 +31,15 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.skip = 0
+        self.head = False
         self.tables: list[dict] = []
         self.waiting: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        # A head ends with its end tag or, where that is missing, with the first element that belongs to a body.
+        self.head = tag == "head" or (self.head and tag in IN_HEAD)
+        if tag == "head":
+            return
         if tag in REMOVED:
             self.skip += tag != "embed"
         elif self.skip:
@@ -51,7 +58,9 @@ class _Reader(HTMLParser):
             self._add("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in REMOVED:
+        if tag == "head":
+            self.head = False
+        elif tag in REMOVED:
             self.skip = max(0, self.skip - 1)
         elif self.skip:
             pass
@@ -71,7 +80,7 @@ class _Reader(HTMLParser):
             self._add("\n")
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.skip and not self.head:
             self._add(data)
 
     def _add(self, text: str) -> None:
@@ -105,7 +114,7 @@ class _Reader(HTMLParser):
 
 
 def _line(line: str) -> str:
-    line = re.sub(r"(?:[._…]\s*){12,}", "[THÔNG TIN ĐỂ TRỐNG]", re.sub(r"[ \t\f\v]+", " ", line))
+    line = re.sub(FILLER, FILLER_PLACEHOLDER, re.sub(r"[ \t\f\v]+", " ", line))
     line = re.sub(r"\s+([,.;:!?])", r"\1", line).strip()
     for pattern, close in _MARKERS:
         m = pattern.match(line)
@@ -132,6 +141,26 @@ def clean_html(html: str | None) -> str:
     return "\n".join(lines).strip()
 
 
+def meaningful(text: Column) -> Column:
+    """Whether a text has a letter or digit beside the marks that the cleaner itself writes."""
+    for mark in (FILLER_PLACEHOLDER, TABLE_START, TABLE_HEADERS, TABLE_ROW, TABLE_END):
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return text.rlike(r"[\p{L}\p{N}]")
+
+
+def clean_status(html: Column, clean: Column, failed: Column | None = None) -> Column:
+    """What became of a page: ok, source_null, source_blank, no_visible_text, no_meaningful_text, cleaner_empty, parse_error or clean_error.
+
+    ``clean`` is the cleaned text, null where the cleaner could not read the page; ``failed`` tells that it raised.
+    """
+    visible = F.trim(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript|title)\b.*?(</\1\s*>|$)|<!--.*?(-->|$)", ""), "<[^>]*>", ""))
+    out = F.when(clean != "", F.when(meaningful(clean), "ok").otherwise("no_meaningful_text"))
+    out = out.when(html.isNull(), "source_null").when(F.trim(F.regexp_replace(html, r"\s+", " ")) == "", "source_blank")
+    if failed is not None:
+        out = out.when(failed, "clean_error")
+    return out.when(clean.isNull(), "parse_error").when(F.regexp_replace(visible, r"\s+", "") == "", "no_visible_text").when(~meaningful(visible), "no_meaningful_text").otherwise("cleaner_empty")
+
+
 def clean_pages(pages: DataFrame) -> DataFrame:
     """(id, content_clean, original_html_length, clean_text_length, clean_status, clean_error, cleaner_version) per page (page_id, html)."""
 
@@ -146,6 +175,5 @@ def clean_pages(pages: DataFrame) -> DataFrame:
         return pd.DataFrame([one(h) for h in html], columns=["content", "error"])
 
     x = pages.select(F.col("page_id").alias("id"), "html", clean("html").alias("c"))
-    visible = F.trim(F.regexp_replace("html", "<[^>]*>", ""))
-    status = F.when(F.col("html").isNull(), "source_null").when(F.trim("html") == "", "source_blank").when(F.col("c.error").isNotNull(), "clean_error").when(F.col("c.content") != "", "ok").when(visible == "", "no_visible_text").otherwise("cleaner_empty")
+    status = clean_status(F.col("html"), F.col("c.content"), F.col("c.error").isNotNull())
     return x.select("id", F.col("c.content").alias("content_clean"), F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("original_html_length"), F.length("c.content").cast("long").alias("clean_text_length"), status.alias("clean_status"), F.col("c.error").alias("clean_error"), F.lit(VERSION).alias("cleaner_version"))
