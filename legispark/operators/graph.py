@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legispark.functions.text import significant_tokens
@@ -42,6 +42,18 @@ def role(direction: Column, relation: Column) -> Column:
     return F.coalesce(F.element_at(pairs, F.concat_ws("/", direction, relation)), F.lit("related_document"))
 
 
+def edge_source(edge_url: Column, document_url: Column, official: Column, trusted: Column) -> Column:
+    """struct(url, trusted): the edge's own address before that of its document; official edges are trusted."""
+    present = lambda u: F.nullif(F.trim(u), F.lit(""))
+    return F.struct(F.coalesce(present(edge_url), present(document_url)).alias("url"), (F.coalesce(official, F.lit(False)) | F.coalesce(trusted, F.lit(False))).alias("trusted"))
+
+
+def graph_evidence(edges: DataFrame, by: str, *order: Column, most: int = 2) -> DataFrame:
+    """The first edges of each group that are trusted and have an address, as evidence G1, G2."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return edges.filter(F.col("trusted") & F.col("url").isNotNull()).withColumn("_n", n).filter(F.col("_n") <= most).withColumn("evidence_id", F.concat(F.lit("G"), F.col("_n").cast("string"))).drop("_n")
+
+
 def seed_score(query: str, *, authority: Column, kind: Column, title: Column, year: Column, status: Column, preferred: Sequence[str]) -> Column:
     """100 for the number, up to 20 for the authority, 15 for the type, 10 for the year, up to 10 for the title, 5 for the status."""
     asked = significant_tokens(F.lit(query))

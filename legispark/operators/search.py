@@ -195,3 +195,9 @@ def promote_seed(ranked: DataFrame, seeds: DataFrame, gap: float = 1.0) -> DataF
     joined = ranked.join(sure, "query_id", "left")
     front = F.when(F.col("document_id") == F.col("_d"), 0).otherwise(1)
     return joined.withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(front, "rank")).cast("long")).drop("_d")
+
+
+def search_target(graph_ids: Column, seed_ids: Column, numbers: Column) -> Column:
+    """struct(kind, values): what a search is confined to. Documents of the graph come first, then resolved seeds, then the numbers as they were written; else nothing confines it."""
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    return F.when(some(graph_ids), F.struct(F.lit("graph").alias("kind"), graph_ids.alias("values"))).when(some(seed_ids), F.struct(F.lit("seeds").alias("kind"), seed_ids.alias("values"))).when(some(numbers), F.struct(F.lit("numbers").alias("kind"), numbers.alias("values"))).otherwise(F.struct(F.lit("open").alias("kind"), F.array().cast("array<string>").alias("values")))

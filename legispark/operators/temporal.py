@@ -56,3 +56,9 @@ def overlap_violations(periods: DataFrame, keys: Sequence[str], tie: str) -> Dat
     far = F.lit("9999-12-31").cast("date")
     before = Window.partitionBy(*keys).orderBy("valid_from", tie).rowsBetween(Window.unboundedPreceding, -1)
     return periods.withColumn("_reach", F.max(F.coalesce("valid_to", far)).over(before)).filter(F.col("valid_from") < F.col("_reach")).drop("_reach")
+
+
+def route(intent: Column, historical_ready: Column) -> Column:
+    """struct(target, warned): a question on the past goes to the index of the past, or nowhere with a warning; it never falls back to current law."""
+    past = intent == "historical"
+    return F.struct(F.when(past & historical_ready, "historical").when(past, "none").otherwise("current").alias("target"), (past & ~F.coalesce(historical_ready, F.lit(False))).alias("warned"))

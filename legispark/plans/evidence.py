@@ -98,18 +98,6 @@ def claim_contract(spark: SparkSession, d: str) -> DataFrame:
     return long.unionByName(empty).unionByName(many)
 
 
-@query("""SELECT l_orderkey AS id, l_linenumber AS claim, 'UNKNOWN_EVIDENCE_ID' AS code FROM lineitem WHERE l_orderkey % 4 = 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 8 = 0)
-UNION ALL SELECT l_orderkey, l_linenumber, 'STATUS_CITATION_MISMATCH' FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'F' AND o_orderstatus = 'O'
-UNION ALL SELECT l_orderkey, l_linenumber, 'AS_OF_MISMATCH' FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate""")
-def verify_claims(spark: SparkSession, d: str) -> DataFrame:
-    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    row = lambda df, code: df.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("claim"), F.lit(code).alias("code"))
-    known = o.filter("o_orderkey % 8 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    both = li.join(o, F.col("o_orderkey") == F.col("l_orderkey"))
-    parts = [row(li.filter("l_orderkey % 4 = 0").join(known, "l_orderkey", "left_anti"), "UNKNOWN_EVIDENCE_ID"), row(both.filter("l_linestatus = 'F' AND o_orderstatus = 'O'"), "STATUS_CITATION_MISMATCH"), row(both.filter("l_shipdate < o_orderdate"), "AS_OF_MISMATCH")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 @query("""SELECT o_orderkey AS issue, CASE WHEN n = 0 THEN 'MISSING_ISSUE_RESOLUTION' ELSE 'DUPLICATE_ISSUE_RESOLUTION' END AS code FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey GROUP BY 1) WHERE n <> 1""")
 def issue_coverage(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
@@ -170,26 +158,6 @@ def best_source(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("value", "event_id")).alias("source"))
 
 
-SCORE_SQL = "CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 70 + CASE WHEN p_brand LIKE '%1%' THEN 25 ELSE 0 END + least(15, round_even(15.0 * p_size / 50, 0)::INT) + CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 0 END END"
-
-
-@query(f"SELECT p_partkey AS id, ({SCORE_SQL})::BIGINT AS score FROM part")
-def source_score(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), _score().alias("score"))
-
-
-def _score():
-    i = F.col("p_partkey")
-    share = F.least(F.lit(15), F.bround(15.0 * F.col("p_size") / 50, 0).cast("int"))
-    return F.when(i % 3 == 0, 0).otherwise(70 + F.when(F.col("p_brand").contains("1"), 25).otherwise(0) + share + F.when(i % 2 == 0, 10).otherwise(0)).cast("long")
-
-
-@query(f"SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'cache' WHEN p_partkey % 5 = 0 THEN 'corpus' WHEN ({SCORE_SQL}) >= 90 AND p_brand LIKE '%1%' THEN 'search' ELSE 'fallback' END AS source FROM part")
-def source_cascade(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("p_partkey")
-    return table(spark, d, "part").select(i.alias("id"), F.when(i % 11 == 0, "cache").when(i % 5 == 0, "corpus").when((_score() >= 90) & F.col("p_brand").contains("1"), "search").otherwise("fallback").alias("source"))
-
-
 @query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, CASE role WHEN 'user' THEN 'message.created' ELSE 'answer.delta' END AS event FROM conversations")
 def event_sequence(spark: SparkSession, d: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")

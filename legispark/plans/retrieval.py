@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legispark.functions import text
-from legispark.operators import search, temporal
+from legispark.operators import lexical, search, temporal
 from legispark.plans.base import EDGES, LEGAL, PERIODS, edges, legal, periods, query, table
 
 DAY = "1996-06-30"
@@ -88,29 +87,27 @@ def bm25_multifield(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(_bm25(spark, d, {"text": 1.0, "source": 3.0, "lang": 10.0}), 20, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "score")
 
 
-@query(f"""WITH {BM25}, need AS (SELECT query_id, count(*) AS n FROM {TERMS_SQL} GROUP BY 1)
-SELECT query_id, doc_id, round(score + 4 * contains(lower(text), 'that the')::INT + 2 * (n_terms = n)::INT, 6) AS score FROM bm JOIN need USING (query_id) JOIN documents USING (doc_id)""")
+@query(f"""WITH {BM25}, ph AS (SELECT doc_id, contains(' ' || array_to_string({WORDS.format('text')}, ' ') || ' ', ' that the ') AS p, list_has_all({WORDS.format('text')}, ['that', 'the']) AS c FROM documents)
+SELECT query_id, doc_id, round(score + CASE WHEN query_id = 1 THEN 4 * p::INT + 2 * c::INT ELSE 0 END, 6) AS score FROM bm JOIN ph USING (doc_id)""")
 def bm25_phrase_boost(spark: SparkSession, d: str) -> DataFrame:
-    need = _terms(spark).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    phrase = table(spark, d, "documents").select("doc_id", F.lower("text").contains("that the").cast("int").alias("_phrase"))
-    scored = _bm25(spark, d, {"text": 1.0}).join(F.broadcast(need), "query_id").join(phrase, "doc_id")
-    return scored.select("query_id", "doc_id", F.round(F.col("score") + 4 * F.col("_phrase") + 2 * (F.col("n_terms") == F.col("n")).cast("int"), 6).alias("score"))
+    """BM25 with the phrases of the query; the first query of the set has one."""
+    built = lexical.build_queries(spark.createDataFrame([(1, "that the")], "query_id long, query string"))
+    boost = lexical.phrase_scores(table(spark, d, "documents"), built)
+    scored = _bm25(spark, d, {"text": 1.0}).join(boost, ["query_id", "doc_id"], "left")
+    return scored.select("query_id", "doc_id", F.round(F.col("score") + F.coalesce("boost", F.lit(0.0)), 6).alias("score"))
 
 
 @query("SELECT doc_id FROM documents WHERE lower(source) IN ('src1', 'src2') AND lower(lang) IN ('en', 'de')")
 def sparse_required_filter(spark: SparkSession, d: str) -> DataFrame:
-    groups = {"source": ["SRC1", "src2 "], "lang": ["EN", "de"]}
-    out = table(spark, d, "documents")
-    for name, values in groups.items():
-        out = out.filter(text.normalize_keyword(F.col(name)).isin(*(" ".join(v.lower().split()) for v in values)))
-    return out.select("doc_id")
+    return lexical.required_groups(table(spark, d, "documents"), {"source": ["SRC1", "src2 "], "lang": ["EN", "de"], "text": [" "]}).select("doc_id")
 
 
-@query(f"WITH {BM25}, hard AS (SELECT query_id, query_id = 1 AS h FROM (SELECT DISTINCT query_id FROM {TERMS_SQL})) SELECT query_id, doc_id, round(CASE WHEN h THEN score ELSE score + 5 * (d.lang = 'de')::INT END, 6) AS score FROM bm JOIN hard USING (query_id) JOIN documents d USING (doc_id) WHERE NOT h OR d.lang = 'en'")
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(CASE WHEN query_id = 1 THEN score ELSE score + 5 * (d.lang = 'de')::INT END, 6) AS score FROM bm JOIN documents d USING (doc_id) WHERE query_id <> 1 OR d.lang = 'en'")
 def structure_requirement(spark: SparkSession, d: str) -> DataFrame:
-    hard = F.col("query_id") == 1
-    scored = _bm25(spark, d, {"text": 1.0}).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return scored.filter(~hard | (F.col("lang") == "en")).select("query_id", "doc_id", F.round(F.when(hard, F.col("score")).otherwise(F.col("score") + 5 * (F.col("lang") == "de").cast("int")), 6).alias("score"))
+    """The first query requires its hint, the others add weight for theirs."""
+    hints = spark.createDataFrame([(1, True, ["EN "]), (2, False, ["de"]), (3, False, ["de"])], "query_id long, require boolean, hint_lang array<string>")
+    scored = _bm25(spark, d, {"text": 1.0}).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("query_id", "doc_id", "score", "lang")
+    return lexical.structured_scores(scored, hints, ("lang",)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _ranked(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
@@ -182,14 +179,12 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("query_id", "point_id", "score", "status", "valid_from", F.row_number().over(Window.partitionBy("query_id").orderBy("_r")).cast("long").alias("rank"))
 
 
-INTENTS = [(1, "historical", True), (2, "historical", False), (3, "current_law", True), (4, "status_lookup", False)]
-
-
-@query("SELECT id, CASE WHEN intent = 'historical' AND ready THEN 'historical' WHEN intent = 'historical' THEN 'none' ELSE 'current' END AS target, intent = 'historical' AND NOT ready AS warned FROM (VALUES (1, 'historical', true), (2, 'historical', false), (3, 'current_law', true), (4, 'status_lookup', false)) t(id, intent, ready)")
+@query("SELECT event_id, CASE WHEN event_type = 'view' AND value > 100 THEN 'historical' WHEN event_type = 'view' THEN 'none' ELSE 'current' END AS target, event_type = 'view' AND value <= 100 AS warned FROM events")
 def temporal_router(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.createDataFrame(INTENTS, "id int, intent string, ready boolean")
-    past = F.col("intent") == "historical"
-    return x.select("id", F.when(past & F.col("ready"), "historical").when(past, "none").otherwise("current").alias("target"), (past & ~F.col("ready")).alias("warned"))
+    """Views ask for the past; the index of the past is ready for values over 100."""
+    intent = F.when(F.col("event_type") == "view", "historical").otherwise("current_law")
+    routed = temporal.route(intent, F.col("value") > 100)
+    return table(spark, d, "events").select("event_id", routed.alias("r")).select("event_id", "r.target", "r.warned")
 
 
 @query("SELECT o_custkey AS query_id, max(o_totalprice) AS score, min(o_orderkey) FILTER (WHERE o_totalprice = m) AS document_id, count(*) FILTER (WHERE o_totalprice = m) > 1 AS ambiguous FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS m FROM orders) GROUP BY 1")
@@ -199,10 +194,12 @@ def status_lookup(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.col("o_custkey").alias("query_id")).agg(F.max("o_totalprice").alias("score"), F.min(F.when(top, F.col("o_orderkey"))).alias("document_id"), (F.count_if(top) > 1).alias("ambiguous"))
 
 
-@query("SELECT id, coalesce(graph, seed, raw) AS target FROM (VALUES (1, 'g1', 's1', 'r1'), (2, NULL, 's2', 'r2'), (3, NULL, NULL, 'r3')) t(id, graph, seed, raw)")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'graph' WHEN o_orderpriority < '3' THEN 'seeds' WHEN o_totalprice > 1000 THEN 'numbers' ELSE 'open' END AS target FROM orders")
 def search_target(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.createDataFrame([(1, "g1", "s1", "r1"), (2, None, "s2", "r2"), (3, None, None, "r3")], "id int, graph string, seed string, raw string")
-    return x.select("id", F.coalesce("graph", "seed", "raw").alias("target"))
+    key = F.col("o_orderkey").cast("string")
+    some = lambda c: F.when(c, F.array(key)).otherwise(F.array().cast("array<string>"))
+    picked = search.search_target(some(F.col("o_orderstatus") == "F"), some(F.col("o_orderpriority") < "3"), some(F.col("o_totalprice") > 1000))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), picked["kind"].alias("target"))
 
 
 # Graph: one hop over typed, dated edges, from every document.
@@ -234,16 +231,31 @@ def graph_roles(spark: SparkSession, d: str) -> DataFrame:
     return out.select("seed_id", "document_id", role(F.col("direction"), F.col("relation")).alias("role"))
 
 
-@query(f"WITH {EDGES} SELECT source_id, target_id, coalesce(CASE WHEN source_id % 2 = 0 THEN 'edge' END, CASE WHEN source_id % 3 = 0 THEN 'document' END) AS url, source_id % 2 = 0 OR source_id % 5 = 0 AS trusted FROM edges")
+SOURCED = f"""{EDGES}, sourced AS (SELECT e.*, coalesce(CASE WHEN l.price > 150000 THEN 'edge:' || source_id END, CASE WHEN l.status = 'EFFECTIVE' THEN 'document:' || source_id END) AS url,
+  l.document_type < '3' OR l.status = 'EXPIRED' AS trusted FROM edges e JOIN legal l ON l.document_id = e.source_id)"""
+
+
+def _sourced(spark: SparkSession, d: str) -> DataFrame:
+    """Edges with addresses: of the edge for dear documents, of the document for effective ones."""
+    from legispark.operators.graph import edge_source
+
+    x = edges(spark, d).join(legal(spark, d).select(F.col("document_id").alias("source_id"), "price", "status", "document_type"), "source_id")
+    own = F.when(F.col("price") > 150000, F.concat(F.lit("edge:"), F.col("source_id").cast("string")))
+    document = F.when(F.col("status") == "EFFECTIVE", F.concat(F.lit("document:"), F.col("source_id").cast("string")))
+    s = edge_source(own, document, F.col("document_type") < "3", F.col("status") == "EXPIRED")
+    return x.withColumn("s", s).select("*", "s.url", "s.trusted")
+
+
+@query(f"WITH {SOURCED} SELECT source_id, target_id, url, trusted FROM sourced")
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("source_id")
-    return edges(spark, d).select("source_id", "target_id", F.coalesce(F.when(s % 2 == 0, "edge"), F.when(s % 3 == 0, "document")).alias("url"), ((s % 2 == 0) | (s % 5 == 0)).alias("trusted"))
+    return _sourced(spark, d).select("source_id", "target_id", "url", "trusted")
 
 
-@query(f"WITH {EDGES} SELECT owner, source_id, 'G' || n AS evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY source_id) AS n FROM edges WHERE source_id % 2 = 0) WHERE n <= 2")
+@query(f"WITH {SOURCED} SELECT owner, source_id, 'G' || n AS evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY source_id) AS n FROM sourced WHERE trusted AND url IS NOT NULL) WHERE n <= 2")
 def graph_evidence(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("owner").orderBy("source_id")
-    return edges(spark, d).filter("source_id % 2 = 0").withColumn("n", F.row_number().over(w)).filter("n <= 2").select("owner", "source_id", F.concat(F.lit("G"), "n").alias("evidence_id"))
+    from legispark.operators.graph import graph_evidence as pick
+
+    return pick(_sourced(spark, d), "owner", F.col("source_id")).select("owner", "source_id", "evidence_id")
 
 
 @query(f"""WITH {LEGAL} SELECT document_id, round(100 + CASE WHEN len(o) > 0 THEN 20.0 * len(o) / len(t) ELSE 0 END + CASE WHEN status IN ('EFFECTIVE') THEN 5 ELSE 0 END + CASE WHEN year(effective_date) = 1996 THEN 10 ELSE 0 END, 6) AS score
