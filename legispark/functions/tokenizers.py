@@ -37,7 +37,9 @@ class Tokens:
         if not spans:
             return [text] if text else []
         room = most - self.special
-        pieces = (text[spans[k][0] : spans[min(k + room, len(spans)) - 1][1]].strip() for k in range(0, len(spans), room))
+        # A character may be several tokens, so a piece begins where the one before it ended.
+        ends = [spans[min(k + room, len(spans)) - 1][1] for k in range(0, len(spans), room)]
+        pieces = (text[a:b].strip() for a, b in zip([spans[0][0], *ends], ends, strict=False))
         return [p for p in pieces if p]
 
     def tail(self, text: str, most: int) -> str:

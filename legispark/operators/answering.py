@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from legispark.functions import query_parse
 from legispark.operators.verify import CLAIMS, PROBLEMS, RESOLUTIONS, verify
+from legispark.storage import materialize
 
 # Limits of the contract, verdicts, and the texts of refusals.
 LIMITS = {"claims": 5, "claim_chars": 500, "evidence_ids": 8, "issue_ids": 5, "quotes": 8, "quote_chars": 1200, "limitations": 5, "limitation_chars": 300, "resolutions": 5, "explanation_chars": 500, "issues": 5, "issue_chars": 500, "reason_chars": 200}
@@ -207,12 +208,13 @@ def answer_requests(requests: DataFrame, generate: Callable[[DataFrame, int], Da
         return df.select("request_id", F.lit("REFUSED").alias("state"), safe["answer"].alias("answer"), safe["limitations"].alias("limitations"), F.lit(n).alias("attempts"), problems.cast(PROBLEMS).alias("problems"))
 
     blank = requests.withColumns({k: F.lit(None).cast(t) for k, t in OUTPUT.items()} | {"answer": safe["answer"], "limitations": safe["limitations"], "confidence": F.lit("low")})
-    first = verify(blank)
+    # What a generator made and a check found is written down: neither is done twice, however often it is read.
+    first = materialize(verify(blank).select("request_id", "as_of", "temporal_intent", "historical_content_available", "verdict", "problems"), "preflight")
     stopped = (F.col("verdict") == "REFUSED") & (F.size("problems") > 0)
     done = refused(first.filter(stopped), 0, F.col("problems"))
     open_ = requests.join(first.filter(~stopped).select("request_id"), "request_id", "left_semi")
     for n in range(1, attempts + 1):
-        made = generate(open_, n)
+        made = materialize(generate(open_, n), "generated")
         failed = F.col("failure").isNotNull()
         again = failed & (F.col("failure") == "invalid_response") if n < attempts else F.lit(False)
         problem = F.array(F.struct(failure_code(F.col("failure")).alias("code"), F.lit(None).cast("int").alias("claim"), F.lit(None).cast("string").alias("detail")))
@@ -220,6 +222,7 @@ def answer_requests(requests: DataFrame, generate: Callable[[DataFrame, int], Da
         checked = verify(made.filter(~failed))
         if review is not None:
             checked = combine_review(review(checked))
+        checked = materialize(checked, "checked")
         good, bad = F.col("verdict") == "VERIFIED", F.col("verdict") == "REFUSED"
         unanswered = (F.size("resolutions") > 0) & ~F.exists("resolutions", lambda r: r["status"] == "ANSWERED")
         shown = checked.filter(good).select("request_id", F.when(unanswered, "REFUSED").otherwise("VERIFIED").alias("state"), F.when(unanswered, NO_ISSUE_ANSWERED).otherwise(rendered(F.col("claims"))).alias("answer"), "limitations", F.lit(n).alias("attempts"), "problems")

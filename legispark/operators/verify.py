@@ -45,9 +45,9 @@ PREDICTIONS = (
 STRUCTURAL_CODES = (
     "CASE_SPECIFIC_PREDICTION_UNSUPPORTED", "INSUFFICIENT_EVIDENCE", "HISTORICAL_SOURCE_UNAVAILABLE", "HISTORICAL_LIMITATION_MISSING", "HISTORICAL_VERSION_MISMATCH", "MISSING_CLAIMS", "EMPTY_CLAIM",
     "MISSING_CITATION", "UNKNOWN_EVIDENCE_ID", "DOCUMENT_NUMBER_NOT_IN_EVIDENCE", "DOCUMENT_NUMBER_CITATION_MISMATCH", "PROVISION_CITATION_MISMATCH", "STATUS_CITATION_MISMATCH", "STATUS_DISCLOSURE_MISSING",
-    "PROVISION_STATUS_LIMITATION_MISSING", "AS_OF_MISMATCH", "UNTRUSTED_URL", "INVALID_CONFIDENCE", "EMPTY_ANSWER", "UNKNOWN_ISSUE_ID", "MISSING_ISSUE_RESOLUTION", "DUPLICATE_ISSUE_RESOLUTION", "INVALID_ISSUE_RESOLUTION",
+    "PROVISION_STATUS_LIMITATION_MISSING", "AS_OF_MISMATCH", "UNTRUSTED_URL", "INVALID_CONFIDENCE", "UNKNOWN_ISSUE_ID", "MISSING_ISSUE_RESOLUTION", "DUPLICATE_ISSUE_RESOLUTION", "INVALID_ISSUE_RESOLUTION",
 )
-OTHER_CODES = ("CLAIM_NOT_SUPPORTED", "SUPPORTING_QUOTE_INVALID", "SEMANTIC_REVIEW_UNAVAILABLE", "GENERATION_FAILED", "GENERATION_TRUNCATED", "GENERATION_TIMEOUT", "PROVIDER_UNAVAILABLE", "INVALID_STRUCTURED_RESPONSE", "ISSUE_PLAN_INCOMPLETE", "ISSUE_NOT_COVERED")
+OTHER_CODES = ("EMPTY_ANSWER", "CLAIM_NOT_SUPPORTED", "SUPPORTING_QUOTE_INVALID", "SEMANTIC_REVIEW_UNAVAILABLE", "GENERATION_FAILED", "GENERATION_TRUNCATED", "GENERATION_TIMEOUT", "PROVIDER_UNAVAILABLE", "INVALID_STRUCTURED_RESPONSE", "ISSUE_PLAN_INCOMPLETE", "ISSUE_NOT_COVERED")
 
 
 def _strings(*parts: Column) -> Column:
@@ -203,7 +203,6 @@ def verify(answers: DataFrame) -> DataFrame:
     cited = F.flatten(F.transform("claims", lambda c: _strings(c["evidence_ids"])))
     coarse = F.exists(evidence, lambda e: F.array_contains(cited, e["evidence_id"]) & (e["status_scope"] == "document") & (F.upper(e["status"]) == "PARTIALLY_EFFECTIVE") & (F.concat_ws("", e["article"], e["clause"], e["point"]) != ""))
     checks = F.concat(
-        _if(text.rlike(r"^\s*$") & (F.size("claims") > 0), "EMPTY_ANSWER"),
         _if((F.size("claims") == 0) & (F.size("resolutions") == 0), "MISSING_CLAIMS"),
         _if(~F.coalesce(F.col("confidence").isin("high", "medium", "low"), F.lit(False)), "INVALID_CONFIDENCE"),
         _each(numbers, "DOCUMENT_NUMBER_NOT_IN_EVIDENCE"),
