@@ -104,15 +104,14 @@ def test_attempts(spark):
     ok, wrong = [claim("Điều 5 có hiệu lực.")], [claim("Điều 6")]
     rows = [(0, 1, ok, None), (1, 1, wrong, None), (1, 2, ok, None), (2, 1, None, "invalid_response"), (2, 2, ok, None), (3, 1, None, "timeout"), (4, 1, wrong, None), (4, 2, wrong, None), (5, 1, None, "invalid_response"), (5, 2, None, "invalid_response")]
     prepared = spark.createDataFrame([(i, n, "", c, [], "high", None, f) for i, n, c, f in rows], f"request_id int, attempt int, answer string, claims {checks.CLAIMS}, limitations array<string>, confidence string, resolutions {checks.RESOLUTIONS}, failure string")
-    got = {r.request_id: (r.state, r.attempts, sorted(p.code for p in r.problems)) for r in answering.answer_requests(requests, answering.queued(prepared)).collect()}
-    assert got == {
+    made = answering.answer_requests(requests, answering.queued(prepared)).collect()
+    assert {r.request_id: (r.state, r.attempts, sorted(p.code for p in r.problems)) for r in made} == {
         0: ("VERIFIED", 1, []), 1: ("VERIFIED", 2, []), 2: ("VERIFIED", 2, []), 3: ("REFUSED", 1, ["GENERATION_TIMEOUT"]), 4: ("REFUSED", 2, ["PROVISION_CITATION_MISMATCH"]),
         5: ("REFUSED", 2, ["INVALID_STRUCTURED_RESPONSE"]), 6: ("REFUSED", 0, ["INSUFFICIENT_EVIDENCE"]),
     }
-    shown = {r.request_id: r.answer for r in answering.answer_requests(requests.filter("request_id = 0"), answering.queued(prepared)).collect()}
-    assert shown[0] == "Điều 5 có hiệu lực. [E1]"
-    off = answering.answer_requests(requests, answering.no_answer).collect()
-    assert len(off) == 7 and {r.state for r in off} == {"REFUSED"}
+    assert {r.request_id: r.answer for r in made}[0] == "Điều 5 có hiệu lực. [E1]"
+    off = answering.answer_requests(requests.limit(1), answering.no_answer, attempts=1).collect()
+    assert [r.state for r in off] == ["REFUSED"]
 
 
 def test_settings():
