@@ -293,6 +293,20 @@ def test_decontamination(spark, docs, docs_rows, empty):
     assert decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("piece,filtered", [(1, 20_000), (7, 0), (4096, 0)])
+def test_decontamination_in_pieces(docs, docs_rows, piece, filtered, monkeypatch):
+    from legispark.llm import decontaminate
+
+    words = docs_rows[8][1].split()
+    items = [(1, " ".join(words[30:45])), (2, "W3 w4"), (3, "z z"), (4, " ".join(words[-10:])), (5, " ".join(words[:9]))]
+    bench = docs.sparkSession.createDataFrame(items, "item_id long, text string")
+    some = docs.filter("length(text) < 5000 OR text IS NULL")
+    want = sorted(map(str, decontaminate.decontaminate(some, bench).collect()))
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
+    monkeypatch.setattr(decontaminate, "FILTER_WORDS", filtered)
+    assert sorted(map(str, decontaminate.decontaminate(some, bench).collect())) == want and "contaminated=True" in str(want)
+
+
 def test_decontamination_of_rows_that_share_an_id(spark):
     from legispark.llm.decontaminate import decontaminate
 

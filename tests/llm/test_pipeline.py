@@ -100,8 +100,10 @@ def made(spark, tmp_path, rows, schema):
     return spark.createDataFrame(rows, schema), item
 
 
-def test_awkward_rows(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [250_000, 0])
+def test_awkward_rows(spark, tmp_path, broadcast, monkeypatch):
     """Nulls, rows alike, ids that rows share, and columns with the names that the stages use."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", broadcast)
     names = "_gone long, copies long, _key long, _row long, _turn long, _size long, _hash long, _id long, size long, _plan0 long, _copy long, task long, label int"
     schema = f"doc_id long, text string, lang string, source string, {names}"
     item = " ".join(f"b{k}" for k in range(12))
