@@ -17,7 +17,7 @@ SHARDS = 40
 
 
 #: Rows up to which per-document decisions are broadcast to the texts; beyond it the texts are shuffled to them.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 250_000
 
 
 def _small(df: DataFrame) -> DataFrame:
