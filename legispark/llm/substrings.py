@@ -160,7 +160,11 @@ def _range_batch(out: list) -> pa.RecordBatch:
 
 
 def _windows(width: int):
-    """(window digest in two halves, id, text hash, first word) of the windows of packed strings."""
+    """(window digest in two halves, id, text hash, word ranges) of the windows of packed strings, each window of a string once.
+
+    A window that a string repeats, as where a word or line is repeated, has the ranges of all its places, those that
+    overlap joined.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +172,18 @@ def _windows(width: int):
             ids, texts, starts = (batch.column(c).to_numpy() for c in range(3))
             for a, b in parts(batch.column(3)):
                 one, two, row, at = _window_digests(data[offset[a] : offset[b]], offset[a : b + 1] - offset[a], width)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids[a + row]), pa.array(texts[a + row]), pa.array((starts[a + row] + at).astype(np.int32))], names=["one", "two", "id", "row", "low"])
+                order = np.lexsort((at, two, one, row))
+                one, two, row, at = one[order], two[order], row[order], at[order]
+                other = np.ones(len(at), bool)
+                other[1:] = (row[1:] != row[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                apart = other.copy()
+                apart[1:] |= at[1:] > at[:-1] + width
+                window, begin = np.nonzero(other)[0], np.nonzero(apart)[0]
+                end = np.append(begin[1:], len(at))[: len(begin)] - 1
+                bound = pa.array(np.append(np.searchsorted(begin, window), len(begin)).astype(np.int32))
+                low, high = ((starts[a + row[x]] + at[x] + more).astype(np.int32) for x, more in ((begin, 0), (end, width)))
+                lists = [pa.ListArray.from_arrays(bound, pa.array(x)) for x in (low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(one[window]), pa.array(two[window]), pa.array(ids[a + row[window]]), pa.array(texts[a + row[window]]), *lists], names=["one", "two", "id", "row", "lows", "highs"])
 
     return run
 
@@ -227,9 +242,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
 
     usual = sent.filter("not hot").select("key", "id", "row", "start", "words").repartition("key").sortWithinPartitions("key", "id", "start")
     ranges = usual.mapInArrow(_count_buckets(width), "id long, row long, low int, high int")
-    windows = materialize(sent.filter("hot").select("id", "row", "start", "words").mapInArrow(_windows(width), "one long, two long, id long, row long, low int"), "hot-windows")
+    windows = materialize(sent.filter("hot").select("id", "row", "start", "words").mapInArrow(_windows(width), "one long, two long, id long, row long, lows array<int>, highs array<int>"), "hot-windows")
     least = windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("one", "two", "least")
-    hot = windows.join(least, ["one", "two"]).filter("id > least").select("id", "row", "low", (F.col("low") + width).cast("int").alias("high"))
+    # Written down by itself, so that Spark can split the join where one window is in very many documents.
+    hot = windows.join(least, ["one", "two"]).filter("id > least").select("id", "row", F.explode(F.arrays_zip("lows", "highs")).alias("r"))
+    hot = materialize(hot.select("id", "row", F.col("r.lows").alias("low"), F.col("r.highs").alias("high")), "hot-ranges")
     marks = ranges.unionByName(hot).groupBy("id", "row").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     changed = cut.select("id", "row", "packed").join(marks, ["id", "row"]).join(firsts, ["id", "row"]).select("id", "digest", "packed", "ranges").mapInArrow(_remove, "id long, digest binary, n_removed long, sha string, kept_text string")
     if not with_text:

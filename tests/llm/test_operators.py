@@ -379,7 +379,7 @@ def test_substrings_of_rows_that_share_an_id(spark, bucket, monkeypatch):
     rng = random.Random(21)
     shared, other = sentence(rng, 55, 9999), sentence(rng, 60, 9999)
     rows = [(1, shared), (2, f"a {shared} b"), (2, f"a {shared} b"), (3, other), (3, f"c {shared}"), (3, f"c  {shared}"), (4, other), (4, other + " tail"), (None, shared), (None, None), (5, None), (5, "short")]
-    rows += [(6, f"{other} {shared}"), (3, other + "\n")]
+    rows += [(6, f"{other} {shared}"), (3, other + "\n"), (7, "again " * 130), (8, f"{sentence(rng, 5)} {'again ' * 90} end"), (9, f"{shared} {'again ' * 60} {shared}")]
     docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, id long, row long")
     want = []
     for i, t in rows:
