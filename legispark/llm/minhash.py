@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = materialize(docs.mapInArrow(_profiles(width), "id long, n_shingles long, digest binary, keys array<bigint>"), "profiles")
     nodes = profiles.filter("id IS NOT NULL AND digest IS NOT NULL")
-    classes = nodes.groupBy("digest").agg(F.min("id").alias("rep"))
+    # Written down, so that the join meets two plain shuffles and Spark can split a class that holds a third of all rows.
+    classes = materialize(nodes.groupBy("digest").agg(F.min("id").alias("rep")), "representatives")
     members = nodes.select("id", "digest").join(classes, "digest").filter("id <> rep").select("id", "rep").distinct()
     members = materialize(members, "classes")
 
