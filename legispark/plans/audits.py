@@ -73,11 +73,17 @@ def status_summary(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("percent", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query("SELECT (SELECT count(*) FROM orders) AS documents, (SELECT count(*) FROM lineitem) AS provisions, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS suspended, (SELECT count(DISTINCT o_custkey) FROM orders) AS owners")
+@query("""SELECT (SELECT count(*) FROM orders) AS documents, (SELECT count(DISTINCT o_custkey) FROM orders) AS owners, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS expired, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS partial,
+(SELECT count(*) FROM lineitem) AS provisions, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS suspended, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'N') AS unknown, (SELECT count(*) FROM lineitem WHERE l_linestatus = 'F') AS closed,
+(SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS without_provisions""")
 def enrichment_audit(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("o_custkey").alias("owners"))
-    li = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("provisions"), F.count_if(F.col("l_returnflag") == "R").alias("suspended"))
-    return o.crossJoin(li)  # one row each
+    """Nine counts in one row; each table is read once but for the check that joins them."""
+    li = table(spark, d, "lineitem")
+    o = table(spark, d, "orders").join(li.select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("_has", F.lit(True)), "o_orderkey", "left")
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    left = o.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("o_custkey").alias("owners"), is_("o_orderstatus", "F").alias("expired"), is_("o_orderstatus", "P").alias("partial"), F.count_if(F.col("_has").isNull()).alias("without_provisions"))
+    right = li.agg(F.count(F.lit(1)).alias("provisions"), is_("l_returnflag", "R").alias("suspended"), is_("l_returnflag", "N").alias("unknown"), is_("l_linestatus", "F").alias("closed"))
+    return left.crossJoin(right)  # one row each
 
 
 @query("SELECT warning, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN o_totalprice > 400000 THEN 'high' END, CASE WHEN o_orderstatus = 'P' THEN 'partial' END], lambda x: x IS NOT NULL)) AS warning FROM orders) GROUP BY 1")
@@ -86,11 +92,19 @@ def import_report(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.explode(warnings).alias("warning")).groupBy("warning").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {CHUNKS} (SELECT 'smallest' AS kind, chunk_id, tokens FROM chunks ORDER BY tokens, chunk_id LIMIT 20) UNION ALL (SELECT 'largest', chunk_id, tokens FROM chunks ORDER BY tokens DESC, chunk_id LIMIT 20)")
+FIRST = ("en", "de", "fr")
+
+
+@query(f"WITH {CHUNKS} (SELECT 'smallest' AS kind, chunk_id, tokens FROM chunks ORDER BY tokens, chunk_id LIMIT 20) UNION ALL (SELECT 'largest', chunk_id, tokens FROM chunks ORDER BY tokens DESC, chunk_id LIMIT 20)" + "".join(f" UNION ALL (SELECT 'first_{x}', chunk_id, tokens FROM chunks WHERE lang = '{x}' ORDER BY doc_id, ordinal LIMIT 20)" for x in FIRST))
 def smallest_largest(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).select("chunk_id", "tokens")
-    low, high = c.orderBy("tokens", "chunk_id").limit(20), c.orderBy(F.desc("tokens"), "chunk_id").limit(20)
-    return low.select(F.lit("smallest").alias("kind"), "*").unionByName(high.select(F.lit("largest").alias("kind"), "*"))
+    """The five sets of an audit: the shortest and longest chunks, and the first of three kinds (here languages)."""
+    c = chunks(spark, d)
+    sets = {"smallest": c.orderBy("tokens", "chunk_id"), "largest": c.orderBy(F.desc("tokens"), "chunk_id")} | {f"first_{x}": c.filter(F.col("lang") == x).orderBy("doc_id", "ordinal") for x in FIRST}
+    parts = [df.limit(20).select(F.lit(name).alias("kind"), "chunk_id", "tokens") for name, df in sets.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, ordinal, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM chunks) WHERE n <= 5")
@@ -130,15 +144,18 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.ranking_metrics(rankings, grades, 50)
 
 
-@query(f"""WITH {RANKINGS}, x AS (SELECT r.case_id, min(rank) FILTER (WHERE grade >= 2) AS strict, min(rank) FILTER (WHERE grade >= 1) AS loose FROM rankings r LEFT JOIN grades g USING (case_id, item) WHERE rank <= 20 GROUP BY 1)
-SELECT case_id, strict, loose, strict <= 10 AS hit FROM x""")
+@query(f"""WITH {RANKINGS}, x AS (SELECT r.case_id, min(rank) FILTER (WHERE grade >= 3) AS strict, min(rank) FILTER (WHERE grade >= 2) AS chunk, min(rank) FILTER (WHERE grade >= 1) AS document, min(rank) FILTER (WHERE grade = 0) AS wrong, min(rank) FILTER (WHERE grade IS NOT NULL) AS graded
+FROM rankings r LEFT JOIN grades g USING (case_id, item) WHERE rank <= 20 GROUP BY 1) SELECT *, coalesce(strict <= 10, false) AS hit FROM x""")
 def benchmark_v2(spark: SparkSession, d: str) -> DataFrame:
+    """The first rank of each of five criteria per case, and whether the strict one is met among the first ten."""
     docs = table(spark, d, "documents")
     w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
     r = docs.select("lang", "doc_id", F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 20")
     g = docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", (F.col("quality") * 2 + 1 - F.col("toxic")).alias("grade"))
-    x = r.join(g, "doc_id", "left").groupBy(F.col("lang").alias("case_id")).agg(F.min(F.when(F.col("grade") >= 2, F.col("rank"))).alias("strict"), F.min(F.when(F.col("grade") >= 1, F.col("rank"))).alias("loose"))
-    return x.withColumn("hit", F.col("strict") <= 10)
+    first = lambda c: F.min(F.when(c, F.col("rank")))
+    grade = F.col("grade")
+    x = r.join(g, "doc_id", "left").groupBy(F.col("lang").alias("case_id")).agg(first(grade >= 3).alias("strict"), first(grade >= 2).alias("chunk"), first(grade >= 1).alias("document"), first(grade == 0).alias("wrong"), first(grade.isNotNull()).alias("graded"))
+    return x.withColumn("hit", F.coalesce(F.col("strict") <= 10, F.lit(False)))
 
 
 GENERATION = """g AS (SELECT event_type <> 'error' AS answerable, CASE WHEN event_id % 5 = 0 THEN 'REFUSED' ELSE 'VERIFIED' END AS status, 1 + (event_id % 7 = 0)::INT AS attempts, value AS latency FROM events)"""
