@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from legispark.sources import tables
-from legispark.streaming.loads import stream_directory, upsert_stream
+from legispark.streaming.loads import read_parts, stream_directory, upsert_parts, upsert_stream
 
 
 def test_required_and_optional_columns(spark):
@@ -30,3 +30,17 @@ def test_upsert_stream(spark, tmp_path):
         upsert_stream(stream_directory(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", "id", "v", f"{tmp_path}/cp").awaitTermination()
         got = {r.id: r.v for r in spark.read.parquet(f"{tmp_path}/out/generation={n}").collect()}
         assert got == [{1: 1, 2: 1}, {1: 1, 2: 2, 3: 1}][n]
+
+
+def test_upsert_of_touched_parts(spark, tmp_path):
+    schema, target = StructType().add("id", "long").add("v", "long"), f"{tmp_path}/out"
+    assert read_parts(spark, target, schema).count() == 0
+    want = {}
+    for rows in [[(k, 1) for k in range(40)], [(2, 2), (50, 1)], [(2, 3), (2, 1)], [(2, 4)]]:
+        for i, v in rows:
+            want[i] = max(v, want.get(i, 0))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        upsert_parts(stream_directory(spark, f"{tmp_path}/in", schema), target, "id", "v", f"{tmp_path}/cp", parts=8).awaitTermination()
+        assert {r.id: r.v for r in read_parts(spark, target, schema).collect()} == want
+    kept = [len(list(p.glob("generation=*"))) for p in (tmp_path / "out").glob("part=*")]
+    assert max(kept) == 2 and min(kept) == 1 and len(kept) == 8
