@@ -5,18 +5,21 @@ n-gram of this pivot is the stretch around it, at most ``longest - 1`` words to
 no rarer. Such fragments go to the pivot's partition, equal ones of a task as one row with their number. There the n-grams
 that contain the pivot are counted, each by its owner alone, so that no count has to be put together from two partitions.
 
-Words of fewer than ``least`` occurrences are in no candidate and cut a text like punctuation. How frequent a word is comes
-from a table of a fixed size (``BUCKETS`` bytes): by the hash of language and word, the order of magnitude of the most
-frequent word of the bucket. A shared bucket can only keep a rare word in or choose another pivot; the counts stay exact,
-because the order of two words is the same everywhere.
+Words of fewer than ``least`` occurrences are in no candidate and cut a text like punctuation; so does a pair of neighbours
+of fewer, which no candidate holds. How frequent a word is comes from a table of a fixed size (``BUCKETS`` bytes): by the
+hash of language and word, the order of magnitude of the most frequent word of the bucket. Which pairs are frequent comes
+from a bit for each bucket of their hashes, of which there are about as many as words, ``MOST_PAIRS`` at most. A shared
+bucket can only keep something rare in or choose another pivot; the counts stay exact, because the order of two words is the
+same everywhere.
 
 Null and empty texts have no words; a null lang is ``und``; repeated rows count as often as they stand; an empty table gives
-no rows. Other columns are not read. A task holds about ``BLOCK_BYTES`` of texts, or one text, at a time.
+no rows. Other columns are not read. A task holds about ``PART_BYTES`` of texts, or one text, at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,10 @@ PIECE_ENDS = table(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D))
 SEPARATORS = PIECE_ENDS | table((0x20, 0x20), (0x09, 0x09))
 #: Buckets of the table of frequencies, one byte each.
 BUCKETS = 1 << 23
+#: Buckets of pairs, as powers of two: the fewest, the most, and into how many ranges they are dealt to be summed.
+LEAST_PAIRS, MOST_PAIRS, RANGES = 1 << 20, 1 << 28, 1 << 8
+#: Bytes of text that a task handles at a time.
+PART_BYTES = 3 << 20
 #: A pivot of more occurrences is dealt out to several tasks by fragment, and their counts are summed afterwards.
 PIVOT_ROWS = 1 << 21
 #: Groups in which each language's phrases are ranked before the last ranking.
@@ -43,7 +50,7 @@ OUT_ROWS = 1 << 16
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Coded, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
     """Words, the language of each as a code, the languages, the bytes and where texts begin."""
-    for rows, data, offset in blocks(batches):
+    for rows, data, offset in blocks(batches, size=PART_BYTES):
         words = coded(lowered(data), offset, SEPARATORS)
         lang = rows["lang"].cast(pa.string()).fill_null("und").dictionary_encode()
         yield words, lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.row], lang.dictionary, data, offset
@@ -102,31 +109,80 @@ def frequencies(counts: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def _reach(key: np.ndarray, piece: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many words before and after each word are of its piece and no rarer; of equal words the first is the pivot."""
+class _Part(NamedTuple):
+    """Words of a part of the texts, as what finding fragments needs; ``key`` is a word's order of rarity, 0 if it is rare."""
+
+    words: Coded
+    lang: np.ndarray
+    langs: pa.Array
+    own: np.ndarray
+    tongue: np.ndarray
+    key: np.ndarray
+    piece: np.ndarray
+    pair: np.ndarray
+
+
+def _ordered(batches: Iterator[pa.RecordBatch], magnitude: np.ndarray) -> Iterator[_Part]:
+    """Parts of at least two words. ``pair`` is the hash of a word and the next one, 0 unless both can be in a candidate."""
+    for words, lang, langs, data, _ in _read(batches):
+        if len(words.code) < 2:
+            continue
+        own, tongue = hashes(words.words), hashes(langs)
+        size = magnitude[_bucket(own[words.code], tongue[lang])].astype(np.uint64)
+        key = np.where(size > 0, (size << np.uint64(56)) | (own[words.code] >> np.uint64(8)), np.uint64(0))
+        ends = np.cumsum(PIECE_ENDS[data])
+        piece = ends[words.start] + words.row
+        both = (piece[1:] == piece[:-1]) & (key[1:] > 0) & (key[:-1] > 0)
+        mixed = mix64(own[words.code[:-1]] * np.uint64(0xD1342543DE82EF95) + own[words.code[1:]] + tongue[lang[:-1]] * np.uint64(31))
+        yield _Part(words, lang, langs, own, tongue, key, piece, np.where(both, mixed | np.uint64(1), np.uint64(0)))
+
+
+def frequent_pairs(docs: DataFrame, sizes, least: int, buckets: int) -> np.ndarray:
+    """A bit for each bucket of pairs that has at least ``least`` of them. A task's buckets travel packed, by range."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _ordered(batches, sizes.value):
+            found, n = np.unique((part.pair[part.pair > 0] >> np.uint64(1)) & np.uint64(buckets - 1), return_counts=True)
+            cuts = np.searchsorted(found, np.arange(RANGES + 1, dtype=np.uint64) * np.uint64(buckets // RANGES))
+            place, n = (found % np.uint64(buckets // RANGES)).astype(np.uint32), np.minimum(n, least).astype(np.uint8)
+            at = [k for k in range(RANGES) if cuts[k] < cuts[k + 1]]
+            yield pa.RecordBatch.from_pydict({"range": pa.array(at, pa.int32()), "place": pa.array([place[cuts[k] : cuts[k + 1]].tobytes() for k in at], pa.binary()), "n": pa.array([n[cuts[k] : cuts[k + 1]].tobytes() for k in at], pa.binary())})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, place, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = total.setdefault(k, np.zeros(buckets // RANGES, np.uint8))
+                at = np.frombuffer(place, np.uint32)
+                held[at] = np.minimum(held[at].astype(np.int64) + np.frombuffer(n, np.uint8), least)
+        yield pa.RecordBatch.from_pydict({"range": pa.array(list(total), pa.int32()), "bits": pa.array([np.packbits(x >= least, bitorder="little").tobytes() for x in total.values()], pa.binary())})
+
+    dealt = docs.select("lang", "text").mapInArrow(each, "range int, place binary, n binary").repartition("range")
+    out = np.zeros((RANGES, buckets // RANGES // 8), np.uint8)
+    for row in dealt.mapInArrow(summed, "range int, bits binary").collect():
+        out[row.range] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _reach(key: np.ndarray, joined: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words before and after each word can be in an n-gram with it and are no rarer; of equal words the first is
+    the pivot. ``joined``: whether a word and the next one can."""
     n = len(key)
     before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for k in range(1, min(most, n - 1) + 1):
-        same = (piece[k:] == piece[:-k]) & (key[k:] > 0) & (key[:-k] > 0)
-        before[k:] += (before[k:] == k - 1) & same & (key[:-k] > key[k:])
-        after[:-k] += (after[:-k] == k - 1) & same & (key[k:] >= key[:-k])
+        before[k:] += (before[k:] == k - 1) & joined[: n - k] & (key[:-k] > key[k:])
+        after[:-k] += (after[:-k] == k - 1) & joined[k - 1 :] & (key[k:] >= key[:-k])
     return before, after
 
 
-def _fragments(sizes, longest: int, least: int, pivot_rows: int):
+def _fragments(sizes, pairs, buckets: int, longest: int, least: int, pivot_rows: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        magnitude = sizes.value
-        for words, lang, langs, data, offset in _read(batches):
-            if len(words.code) < 2:
-                continue
-            # A word's order of rarity: the magnitude of its frequency, then its hash; 0 if it is in no candidate.
-            own, tongue = hashes(words.words), hashes(langs)
-            size = magnitude[_bucket(own[words.code], tongue[lang])].astype(np.uint64)
-            key = np.where(size > 0, (size << np.uint64(56)) | (own[words.code] >> np.uint64(8)), np.uint64(0))
-            ends = np.concatenate(([0], np.cumsum(PIECE_ENDS[data])))
-            piece = ends[words.start] + words.row
-            before, after = _reach(key, piece, longest - 1)
-            pivot = np.flatnonzero((before + after > 0) & (key > 0))
+        magnitude, bits = sizes.value, pairs.value
+        for words, lang, langs, own, tongue, key, _, pair in _ordered(batches, magnitude):
+            place = (pair >> np.uint64(1)) & np.uint64(buckets - 1)
+            frequent = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+            before, after = _reach(key, (pair > 0) & (frequent > 0), longest - 1)
+            pivot = np.flatnonzero(before + after > 0)
             if not len(pivot):
                 continue
             columns = {"lang": lang[pivot].astype(np.int32), "before": before[pivot].astype(np.int8)}
@@ -156,11 +212,13 @@ def _fragments(sizes, longest: int, least: int, pivot_rows: int):
     return each
 
 
-def phrase_counts(docs: DataFrame, sizes: np.ndarray, longest: int, least: int) -> DataFrame:
+def phrase_counts(docs: DataFrame, sizes: np.ndarray, buckets: int, longest: int, least: int) -> DataFrame:
     """lang, phrase, a of all phrases of 2 to ``longest`` words that occur at least ``least`` times."""
-    table_of = docs.sparkSession.sparkContext.broadcast(sizes)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(sizes)
+    pairs = context.broadcast(frequent_pairs(docs, shared, least, buckets))
     schema = "lang string, pivot long, lot int, lots int, before byte, words string, n long"
-    dealt = docs.select("lang", "text").mapInArrow(_fragments(table_of, longest, least, PIVOT_ROWS), schema).repartition("lang", "pivot", "lot")
+    dealt = docs.select("lang", "text").mapInArrow(_fragments(shared, pairs, buckets, longest, least, PIVOT_ROWS), schema).repartition("lang", "pivot", "lot")
     w, at = F.col("w"), F.col("before").cast("int")
     # The n-grams around the pivot, by how far before it they begin and how many words they have.
     ways = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(size).alias("size")) for size in range(2, longest + 1) for b in range(size)))
@@ -179,7 +237,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     percent of its occurrences is left out. Ranks go by score, then a, both from the highest, then by phrase.
     """
     counts = materialize(word_counts(docs, least), "words")
-    found = materialize(phrase_counts(docs, frequencies(counts, least), longest, least), "phrases")
+    total = counts.filter("word = ''").agg(F.sum("n")).first()[0] or 0
+    buckets = min(max(LEAST_PAIRS, 1 << total.bit_length()), MOST_PAIRS)
+    found = materialize(phrase_counts(docs, frequencies(counts, least), buckets, longest, least), "phrases")
     known = counts.filter("word <> ''").select("lang", F.col("word").alias("part"), "n").unionByName(found.select("lang", F.col("phrase").alias("part"), F.col("a").alias("n")))
     w = F.split("phrase", " ")
     part = lambda words, begin, size: F.array_join(F.slice(words, begin, size), " ")

@@ -77,22 +77,27 @@ def test_phrases_of_pivots_that_are_dealt_out(spark, rows, monkeypatch):
     assert got == brute_phrases(rows)
 
 
-def test_phrases_when_words_share_buckets(spark, rows):
+@pytest.mark.parametrize("buckets", [1 << 11, 1 << 20])
+def test_phrases_when_words_or_pairs_share_buckets(spark, rows, buckets):
     """The table of frequencies decides what is pruned and who owns an n-gram, never a count."""
     from legispark.llm import phrases
 
     want = {(g, p): a for g, _, p, a, *_ in brute_phrases(rows, share=10**6)}
     sizes = np.full(phrases.BUCKETS, 3, np.uint8)
-    got = {(r.lang, r.phrase): r.a for r in phrases.phrase_counts(frame(spark, rows), sizes, 3, 10).collect()}
+    got = {(r.lang, r.phrase): r.a for r in phrases.phrase_counts(frame(spark, rows), sizes, buckets, 3, 10).collect()}
     assert got == want
 
 
 def test_pivot_owns_each_ngram_once():
     from legispark.llm.phrases import _reach
 
-    before, after = _reach(np.array([5, 5, 9, 0, 7, 2, 7], np.uint64), np.array([0, 0, 0, 0, 0, 1, 1]), 2)
+    joined = np.array([True, True, False, False, False, True])
+    before, after = _reach(np.array([5, 5, 9, 0, 7, 2, 7], np.uint64), joined, 2)
     assert before.tolist() == [0, 0, 0, 0, 0, 0, 0]
     assert after.tolist() == [2, 1, 0, 0, 0, 1, 0]
+    before, after = _reach(np.array([5, 9, 5, 9, 5], np.uint64), np.array([True, True, True, False]), 3)
+    assert before.tolist() == [0, 0, 1, 0, 0]
+    assert after.tolist() == [3, 0, 1, 0, 0]
 
 
 def test_scores_beyond_64_bits(spark, monkeypatch):
