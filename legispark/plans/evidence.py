@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legispark.operators import chunking, evidence, load, search, structure
+from legispark.operators import chunking, evidence, load, search, structure, vectors
 from legispark.plans.base import CHUNKS, chunks, query, table
 from legispark.plans.texts import law
 from legispark.sources import html
+from legispark.storage import scratch_path
 
 EVIDENCE = """ev AS (SELECT o_custkey % 20 AS query_id, o_orderkey AS item, o_custkey AS document_id, o_orderpriority AS article, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS rank, o_orderkey % 97 + 5 AS tokens FROM orders)"""
 
@@ -232,10 +233,26 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dense_ann(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates by random hyperplanes with several tables and one-bit probes, scored exactly. Queries: ids divisible by 20."""
-    from legispark.operators.ann import hyperplane_search
-
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
-    return hyperplane_search(e, e.filter("point_id % 20 = 0").withColumnRenamed("point_id", "query_id"), 10)
+    """The index of vectors in cells, built over all rows and opened as a search does. Queries: ids divisible by 20."""
+    index, points = _vector_index(spark, d)
+    return vectors.search_vectors(spark, index, points.filter("point_id % 20 = 0").withColumnRenamed("point_id", "query_id"), 10)
 
 
+@query()
+def dense_ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """For each query of ``dense_ann``: how many of its ten exact neighbours the index finds, and of how many points it reads the integers and the vectors."""
+    index, points = _vector_index(spark, d)
+    asked = points.filter("point_id % 20 = 0").withColumnRenamed("point_id", "query_id")
+    run = vectors.VectorSearch(spark, index, asked, 10)
+    exact = search.dense_top_k(points, asked, 10).select("query_id", "point_id")
+    found = run.top().select("query_id", "point_id", F.lit(1).alias("f"))
+    hits = exact.join(found, ["query_id", "point_id"], "left").groupBy("query_id").agg(F.count("f").alias("found"), F.count(F.lit(1)).alias("exact"))
+    scored = run.candidates().groupBy("query_id").agg(F.count(F.lit(1)).alias("scored"))
+    return hits.join(scored, "query_id").join(run.scanned(), "query_id").select("query_id", "found", "exact", "scored", F.col("n").alias("scanned"), F.lit(index.points).cast("long").alias("points"), F.lit(index.probes).alias("cells_opened"), F.lit(len(index.centres)).alias("cells"))
+
+
+def _vector_index(spark: SparkSession, d: str) -> tuple[vectors.VectorIndex, DataFrame]:
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
+    path = scratch_path(spark, "vector-index")
+    vectors.build_vector_index(points, path)
+    return vectors.open_vector_index(spark, path), points

@@ -87,6 +87,17 @@ def bm25_multifield(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(_bm25(spark, d, {"text": 1.0, "source": 3.0, "lang": 10.0}), 20, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "score")
 
 
+@query(f"WITH {OWN_TERMS}, {_bm25_sql('bm', {'text': ('text', 1.0), 'source': ('source', 3.0)}, 'own_terms')} SELECT query_id, doc_id, score, n_terms, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 20")
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the lexical index of all documents, opens it as a search does, and answers the stated query set from it."""
+    from legispark.operators import inverted
+    from legispark.storage import scratch_path
+
+    path = scratch_path(spark, "lexical-index")
+    inverted.build_lexical_index(table(spark, d, "documents"), path, {"text": F.col("text"), "source": F.col("source")}, cluster=("lang",))
+    return inverted.search_index(spark, inverted.open_lexical_index(spark, path), _own_terms(spark, d), {"text": 1.0, "source": 3.0}, 20)
+
+
 @query(f"""WITH {BM25}, ph AS (SELECT doc_id, contains(' ' || array_to_string({WORDS.format('text')}, ' ') || ' ', ' that the ') AS p, list_has_all({WORDS.format('text')}, ['that', 'the']) AS c FROM documents)
 SELECT query_id, doc_id, round(score + CASE WHEN query_id = 1 THEN 4 * p::INT + 2 * c::INT ELSE 0 END, 6) AS score FROM bm JOIN ph USING (doc_id)""")
 def bm25_phrase_boost(spark: SparkSession, d: str) -> DataFrame:

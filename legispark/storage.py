@@ -40,6 +40,15 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    top = f"{shared_folder(spark)}/legispark-{spark.sparkContext.applicationId}"
+    if (id(spark.sparkContext), top) not in _scratch:
+        _scratch.add((id(spark.sparkContext), top))
+        atexit.register(_delete_at_exit, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return it as read back.
 
@@ -47,11 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     what is left goes when the application ends.
     """
     spark = df.sparkSession
-    top = f"{shared_folder(spark)}/legispark-{spark.sparkContext.applicationId}"
-    if (id(spark.sparkContext), top) not in _scratch:
-        _scratch.add((id(spark.sparkContext), top))
-        atexit.register(_delete_at_exit, spark, top)
-    path = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._legispark_path = path
