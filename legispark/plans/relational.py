@@ -361,21 +361,25 @@ def content_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 # Keys and labels.
 
-LABEL_ROWS = [(1, "Còn hiệu lực"), (2, " Hết hiệu lực  toàn bộ "), (3, "hết hiệu lực một phần"), (4, "Ngưng hiệu lực"), (5, "Chưa có hiệu lực"), (6, "khác"), (7, None)]
-LABEL_VALUES = "(VALUES (1, 'Còn hiệu lực'), (2, ' Hết hiệu lực  toàn bộ '), (3, 'hết hiệu lực một phần'), (4, 'Ngưng hiệu lực'), (5, 'Chưa có hiệu lực'), (6, 'khác'), (7, NULL)) t(id, label)"
+def _pick(column: str, cases: dict[str, str | None], otherwise: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {'NULL' if v is None else repr(v)}" for k, v in cases.items()) + f" ELSE {otherwise!r} END"
 
 
-@query(f"""SELECT id, CASE lower(trim(regexp_replace(label, '\\s+', ' ', 'g'))) WHEN 'còn hiệu lực' THEN 'EFFECTIVE' WHEN 'hết hiệu lực toàn bộ' THEN 'EXPIRED' WHEN 'hết hiệu lực một phần' THEN 'PARTIALLY_EFFECTIVE'
-WHEN 'ngưng hiệu lực' THEN 'SUSPENDED' WHEN 'chưa có hiệu lực' THEN 'NOT_YET_EFFECTIVE' ELSE 'UNKNOWN' END AS status FROM {LABEL_VALUES}""")
+@query("SELECT o_orderkey AS id, CASE left(o_orderpriority, 1) WHEN '1' THEN 'EFFECTIVE' WHEN '2' THEN 'EXPIRED' WHEN '3' THEN 'PARTIALLY_EFFECTIVE' WHEN '4' THEN CASE o_orderstatus WHEN 'F' THEN 'SUSPENDED' WHEN 'O' THEN 'NOT_YET_EFFECTIVE' ELSE 'PARTIALLY_EFFECTIVE' END ELSE 'UNKNOWN' END AS status FROM orders")
 def status_mapping(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(LABEL_ROWS, "id int, label string").select("id", labels.legal_status(F.col("label")).alias("status"))
+    """Labels as sources write them, picked by the priority and status of orders."""
+    urgent = _pick("substring(o_orderpriority, 1, 1)", {"1": "Còn hiệu lực", "2": " Hết hiệu lực  toàn bộ ", "3": "hết hiệu lực MỘT phần"}, "")
+    fourth = _pick("o_orderstatus", {"F": "Ngưng hiệu lực", "O": "Chưa có\thiệu lực"}, "ngưng hiệu lực một phần")
+    fifth = _pick("o_orderstatus", {"F": None, "O": "khác"}, "Chưa xác định")
+    label = F.expr(f"CASE WHEN o_orderpriority LIKE '4%' THEN {fourth} WHEN o_orderpriority LIKE '5%' THEN {fifth} ELSE {urgent} END")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), labels.legal_status(label).alias("status"))
 
 
-@query("""SELECT id, CASE lower(label) WHEN 'thay thế' THEN 'REPLACES' WHEN 'bãi bỏ' THEN 'REPEALS' WHEN 'sửa đổi, bổ sung' THEN 'AMENDS' WHEN 'căn cứ' THEN 'CITES' ELSE 'RELATED_TO' END AS relation
-FROM (VALUES (1, 'Thay thế'), (2, 'bãi bỏ'), (3, 'Sửa đổi, bổ sung'), (4, 'Căn cứ'), (5, 'x')) t(id, label)""")
+@query("SELECT l_orderkey AS id, l_linenumber AS n, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'REPLACES' WHEN 'AO' THEN 'REPEALS' WHEN 'NF' THEN 'AMENDS' WHEN 'NO' THEN 'CITES' WHEN 'RF' THEN 'SUPPLEMENTS' ELSE 'RELATED_TO' END AS relation FROM lineitem")
 def relationship_mapping(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Thay thế"), (2, "bãi bỏ"), (3, "Sửa đổi, bổ sung"), (4, "Căn cứ"), (5, "x")], "id int, label string")
-    return rows.select("id", labels.relation_type(F.col("label")).alias("relation"))
+    """Labels as sources write them, picked by the flags of order items."""
+    label = F.expr(_pick("concat(l_returnflag, l_linestatus)", {"AF": "Thay thế", "AO": "bãi bỏ", "NF": " Sửa đổi,  bổ sung", "NO": "Căn cứ", "RF": "VĂN BẢN bổ sung"}, "x"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), labels.relation_type(label).alias("relation"))
 
 
 @query("""SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legispark.functions import query_parse, text
-from legispark.operators import structure
+from legispark.operators import sources, structure
 from legispark.plans.base import query, table
 from legispark.sources import html
 
@@ -24,22 +24,36 @@ def strip_zero_width(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.md5(clean).alias("digest"))
 
 
-LINES = [(1, "1 .  Nội dung"), (2, "a ) Nội   dung ;"), (3, "3 ) x"), (4, "• mục"), (5, "Điều 5 ."), (6, "Tên: ........................ (ghi rõ)"), (7, "đ)abc"), (8, "  ")]
-LINES_SQL = "(VALUES (1, '1 .  Nội dung'), (2, 'a ) Nội   dung ;'), (3, '3 ) x'), (4, '• mục'), (5, 'Điều 5 .'), (6, 'Tên: ........................ (ghi rõ)'), (7, 'đ)abc'), (8, '  ')) t(id, line)"
+ITEM = "CASE WHEN l_returnflag = 'A' THEN {0} WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN {1} WHEN l_returnflag = 'N' THEN {2} ELSE {3} END"
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """A line of each order item, with a marker as scans and pages have them."""
+    number, supplier = F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")
+    late = F.col("l_linestatus") == "F"
+    line = (
+        F.when(F.col("l_returnflag") == "A", F.concat(number, F.lit(" .  Nội   dung "), supplier, F.lit(" ;")))
+        .when((F.col("l_returnflag") == "N") & late, F.concat(F.lit("Đ )  điểm "), supplier))
+        .when(F.col("l_returnflag") == "N", F.concat(F.lit("  "), number, F.lit(" ) x\u00a0y\u200b")))
+        .otherwise(F.concat(F.lit("•  mục "), supplier, F.lit(" ........................")))
+    )
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), line.alias("line"))
+
+
 MARK_SQL = """CASE WHEN regexp_matches(l, '^\\d+\\s*\\.\\s*') THEN trim(regexp_extract(l, '^(\\d+)', 1) || '. ' || trim(regexp_replace(l, '^\\d+\\s*\\.\\s*', '')))
 WHEN regexp_matches(l, '(?i)^[a-zđ]\\s*\\)\\s*') THEN trim(left(l, 1) || ') ' || trim(regexp_replace(l, '(?i)^[a-zđ]\\s*\\)\\s*', '')))
 WHEN regexp_matches(l, '^\\d+\\s*\\)\\s*') THEN trim(regexp_extract(l, '^(\\d+)', 1) || ') ' || trim(regexp_replace(l, '^\\d+\\s*\\)\\s*', '')))
 WHEN regexp_matches(l, '^[•●▪▫◦‣⁃∙]') THEN trim('- ' || regexp_replace(l, '^[•●▪▫◦‣⁃∙]\\s*', '')) ELSE l END"""
 
 
-@query(f"SELECT id, {MARK_SQL} AS line FROM (SELECT id, trim(line) AS l FROM {LINES_SQL})")
+@query("SELECT l_orderkey AS id, l_linenumber AS n, " + ITEM.format("l_linenumber || '. Nội   dung ' || l_suppkey || ' ;'", "'Đ) điểm ' || l_suppkey", "l_linenumber || ') x' || chr(160) || 'y' || chr(8203)", "'- mục ' || l_suppkey || ' ........................'") + " AS line FROM lineitem")
 def normalize_marker(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(LINES, "id int, line string").select("id", text.normalize_marker(F.col("line")).alias("line"))
+    return _marked(spark, d).select("id", "n", text.normalize_marker(F.col("line")).alias("line"))
 
 
-@query(f"SELECT id, {MARK_SQL} AS line FROM (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(line, '[ \\t]+', ' ', 'g'), '(?:[._…]\\s*){{12,}}', '[THÔNG TIN ĐỂ TRỐNG]', 'g'), '\\s+([,.;:!?])', '\\1', 'g')) AS l FROM {LINES_SQL})")
+@query("SELECT l_orderkey AS id, l_linenumber AS n, " + ITEM.format("l_linenumber || '. Nội dung ' || l_suppkey || ';'", "'Đ) điểm ' || l_suppkey", "l_linenumber || ') x y'", "'- mục ' || l_suppkey || ' [THÔNG TIN ĐỂ TRỐNG]'") + " AS line FROM lineitem")
 def normalize_line(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(LINES, "id int, line string").select("id", text.normalize_line(F.col("line")).alias("line"))
+    return _marked(spark, d).select("id", "n", text.normalize_line(F.col("line")).alias("line"))
 
 
 LINE_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \\t\\f\\v]+', ' ', 'g'), '(?:[._…]\\s*){12,}', '[THÔNG TIN ĐỂ TRỐNG]', 'g'), '\\s+([,.;:!?])', '\\1', 'g'))"
@@ -60,7 +74,7 @@ def line_tokens(spark: SparkSession, d: str) -> DataFrame:
     return structure.line_tokens(table(spark, d, "documents"))
 
 
-#: Four small laws that have what invented prose lacks; the structure queries run on them and on all documents.
+#: Five small laws that have what invented prose lacks. The structure queries run on them, on a law made of each order and its items, and on all documents.
 LAW = [
     (-1, "Căn cứ Luật A;\nPHẦN THỨ NHẤT\nCHƯƠNG I\nQUY ĐỊNH CHUNG\nĐiều 1. Phạm vi\n1. Khoản một\na) Điểm a\ntiếp theo\nb) Điểm b\n2. Khoản hai\nĐiều 2. Đối tượng\n1. Khoản\nMỤC 1\nĐiều 1. Lặp\nCHƯƠNG II. Khác\nĐiều 1. Lại\nTM. CHÍNH PHỦ\nPHỤ LỤC I\nBảng"),
     (-2, "QUYẾT ĐỊNH\nĐiều 1\nĐiều 1. Hai lần\n- gạch đầu dòng\nNơi nhận:\n"),
@@ -69,7 +83,11 @@ LAW = [
     (-4, "I. TỔNG QUAN\n- mục\nThông báo\n1) một"),
 ]
 LAW_SQL = "(VALUES " + ", ".join("({}, '{}')".format(i, t.replace("\n", "' || chr(10) || '")) for i, t in LAW) + ") law(doc_id, text)"
-LAW_SQL = f"(SELECT doc_id::BIGINT AS doc_id, text FROM {LAW_SQL} UNION ALL SELECT doc_id, text FROM documents)"
+ORDER_SQL = """SELECT -1000 - o_orderkey AS doc_id, concat_ws(chr(10), CASE left(o_orderpriority, 1) WHEN '1' THEN 'PHẦN I' || chr(10) || 'QUY ĐỊNH CHUNG' WHEN '2' THEN 'CHƯƠNG II' WHEN '3' THEN 'MỤC 3: Đối tượng' WHEN '4' THEN 'Căn cứ Luật ' || o_custkey || ';' ELSE 'QUYẾT ĐỊNH' END,
+  string_agg(CASE WHEN l_returnflag = 'A' THEN 'Điều ' || l_linenumber || '. Điều khoản ' || l_suppkey WHEN l_returnflag = 'N' THEN l_linenumber || '. Khoản ' || l_suppkey WHEN l_linestatus = 'F' THEN 'a) điểm ' || l_suppkey WHEN l_linestatus = 'O' THEN '- gạch ' || l_suppkey END, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus),
+  CASE WHEN o_orderstatus = 'F' THEN 'TM. CHÍNH PHỦ' || chr(10) || 'DANH MỤC KÈM THEO' || chr(10) || 'STT' WHEN o_orderstatus = 'P' THEN '[[TABLE_START]]' || chr(10) || '[[TABLE_ROW]]["a", "' || o_custkey || '"]' || CASE WHEN o_custkey % 2 = 0 THEN chr(10) || '[[TABLE_END]]' ELSE '' END
+    WHEN o_totalprice > 200000 THEN 'PHỤ LỤC I' || chr(10) || 'Biểu mẫu' END) AS text FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, o_custkey, o_orderstatus, o_totalprice"""
+LAW_SQL = f"(SELECT doc_id::BIGINT AS doc_id, text FROM {LAW_SQL} UNION ALL {ORDER_SQL} UNION ALL SELECT doc_id, text FROM documents)"
 HEAD = "(\\s|[.:\\-–—]|$)"
 FREE = "(regexp_matches({0}, '(?i)^\\s*(?:QUYẾT\\s+ĐỊNH|NGHỊ\\s+QUYẾT|THÔNG\\s+BÁO|CHỈ\\s+THỊ|CÔNG\\s+VĂN|KẾ\\s+HOẠCH|BÁO\\s+CÁO|TỜ\\s+TRÌNH|NƠI\\s+NHẬN|KÍNH\\s+GỬI)\\s*:?\\s*$') OR (length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g')) > 0 AND length({0}) <= 140 AND length(regexp_replace({0}, '[^\\p{{Lu}}]', '', 'g')) >= 0.9 * length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))))"
 KINDS = f"""toks AS (SELECT doc_id, i AS line_no, trim(l) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {LAW_SQL} law) WHERE trim(l) <> ''),
@@ -85,8 +103,22 @@ LEVELS = {"appendix": ("signature",), "part": ("signature", "appendix"), "chapte
 PATHS = KINDS + ", paths AS (SELECT *, " + ", ".join("nullif(last_value(CASE WHEN kind = '{0}' THEN label WHEN kind IN ({1}) THEN '' END IGNORE NULLS) OVER w, '') AS {0}".format(k, ", ".join(f"'{x}'" for x in v)) for k, v in LEVELS.items()) + " FROM lab WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 
 
+def _order_laws(spark: SparkSession, d: str) -> DataFrame:
+    """A law of each order: a head by its priority, an article, clause or point of each item, an end by its status."""
+    key, owner = F.col("l_suppkey").cast("string"), F.col("o_custkey").cast("string")
+    said = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Điều "), "l_linenumber", F.lit(". Điều khoản "), key)).when(F.col("l_returnflag") == "N", F.concat("l_linenumber", F.lit(". Khoản "), key)).when(F.col("l_linestatus") == "F", F.concat(F.lit("a) điểm "), key)).otherwise(F.concat(F.lit("- gạch "), key))
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", said.alias("s")))).alias("x"))
+    rank = F.substring("o_orderpriority", 1, 1)
+    head = F.when(rank == "1", "PHẦN I\nQUY ĐỊNH CHUNG").when(rank == "2", "CHƯƠNG II").when(rank == "3", "MỤC 3: Đối tượng").when(rank == "4", F.concat(F.lit("Căn cứ Luật "), owner, F.lit(";"))).otherwise("QUYẾT ĐỊNH")
+    tables = F.concat(F.lit('[[TABLE_START]]\n[[TABLE_ROW]]["a", "'), owner, F.lit('"]'), F.when(F.col("o_custkey") % 2 == 0, "\n[[TABLE_END]]").otherwise(""))
+    tail = F.when(F.col("o_orderstatus") == "F", "TM. CHÍNH PHỦ\nDANH MỤC KÈM THEO\nSTT").when(F.col("o_orderstatus") == "P", tables).when(F.col("o_totalprice") > 200000, "PHỤ LỤC I\nBiểu mẫu")
+    made = table(spark, d, "orders").join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return made.select((-1000 - F.col("o_orderkey")).cast("long").alias("doc_id"), F.concat_ws("\n", head, F.array_join(F.transform("x", lambda x: x["s"]), "\n"), tail).alias("text"))
+
+
 def law(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(LAW, "doc_id long, text string").unionByName(table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    made = spark.createDataFrame(LAW, "doc_id long, text string").unionByName(_order_laws(spark, d))
+    return made.unionByName(table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
 def _law(spark: SparkSession, d: str) -> DataFrame:
@@ -188,19 +220,16 @@ def parse_quality(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).select("doc_id", F.when(F.exists("flags", lambda f: f.startswith("severe:")), "quarantine").when(F.size("flags") > 0, "review").otherwise("ok").alias("quality"))
 
 
-MEANS = "regexp_matches(replace(replace(replace(replace({0}, '[[TABLE_START]]', ''), '[[TABLE_HEADERS]]', ''), '[[TABLE_ROW]]', ''), '[[TABLE_END]]', ''), '[\\p{{L}}\\p{{N}}]')"
-CLEANED = [(1, None, ""), (2, "  ", ""), (3, "<p></p>", ""), (4, "<p>--</p>", ""), (5, "<p>a</p>", ""), (6, "<p>a</p>", None), (7, "<p>.</p>", "."), (8, "<p>a</p>", "a")]
-CLEANED_SQL = "(VALUES " + ", ".join("({}, {}, {})".format(i, *("NULL" if x is None else f"'{x}'" for x in (h, c))) for i, h, c in CLEANED) + ") c(page_id, html, clean)"
+#: Pages and what can become of them: as they are, and in five forms that a page's number picks.
+FORMS = {1: None, 2: "' '", 3: "'<p></p><script>x</script>'", 4: "'<p>--</p>'", 5: "'<p>a ' || url || '</p>'"}
+FORMED = "CASE page_id % 7 " + " ".join(f"WHEN {k} THEN {v or 'NULL'}" for k, v in FORMS.items()) + " ELSE html END"
 
 
-@query(f"""SELECT page_id, CASE WHEN clean <> '' THEN CASE WHEN {MEANS.format('clean')} THEN 'ok' ELSE 'no_meaningful_text' END WHEN html IS NULL THEN 'source_null' WHEN trim(html) = '' THEN 'source_blank' WHEN clean IS NULL THEN 'parse_error' WHEN v = '' THEN 'no_visible_text'
-WHEN NOT regexp_matches(v, '[\\p{{L}}\\p{{N}}]') THEN 'no_meaningful_text' ELSE 'cleaner_empty' END AS status FROM (SELECT *, trim(regexp_replace(html, '<[^>]*>', '', 'g')) AS v FROM (SELECT -page_id AS page_id, html, clean FROM {CLEANED_SQL}
-UNION ALL SELECT page_id, html, trim(regexp_replace(html, '<[^>]*>', '', 'g')) FROM pages))""")
+@query("SELECT page_id AS id, CASE page_id % 7 WHEN 1 THEN 'source_null' WHEN 2 THEN 'source_blank' WHEN 3 THEN 'no_visible_text' WHEN 4 THEN 'no_meaningful_text' ELSE 'ok' END AS status FROM pages")
 def clean_status(spark: SparkSession, d: str) -> DataFrame:
-    """The label of every page with its tags stripped, and of the eight cases."""
-    made = spark.createDataFrame([(-i, h, c) for i, h, c in CLEANED], "page_id long, html string, clean string")
-    pages = table(spark, d, "pages").select("page_id", "html", F.trim(F.regexp_replace("html", "<[^>]*>", "")).alias("clean"))
-    return made.unionByName(pages).select("page_id", html.clean_status(F.col("html"), F.col("clean")).alias("status"))
+    """The label that the cleaner gives each page, also without text, without letters, blank or missing."""
+    pages = table(spark, d, "pages").select("page_id", F.expr(FORMED).alias("html"))
+    return html.clean_pages(pages).select("id", F.col("clean_status").alias("status"))
 
 
 @query("SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS n FROM pages")
@@ -263,8 +292,7 @@ def normalize_url(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, host = 'example.com' OR host LIKE '%.example.com' OR host LIKE '%.gov.vn' AS official FROM (SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages)")
 def official_host(spark: SparkSession, d: str) -> DataFrame:
-    host = F.lower(F.expr("try_parse_url(url, 'HOST')"))
-    return table(spark, d, "pages").select("page_id", ((host == "example.com") | host.endswith(".example.com") | host.endswith(".gov.vn")).alias("official"))
+    return table(spark, d, "pages").select("page_id", sources.is_official(sources.host(F.col("url")), ("example.com",)).alias("official"))
 
 
 @query("SELECT doc_id, p, i, substr(para, i * 180 + 1, 180) AS piece FROM (SELECT doc_id, p, para, unnest(range(0, (length(para) - 1) // 180 + 1)) AS i FROM (SELECT doc_id, unnest(range(0, len(ps))) AS p, unnest(ps) AS para FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: l <> '') AS ps FROM documents)))")
@@ -274,34 +302,45 @@ def answer_deltas(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("i", F.col("i").cast("long"))
 
 
-QUESTIONS = [(1, "Điều 5 khoản 2 Nghị định 12/2020/NĐ-CP hiện hành?"), (2, "Vào ngày 01/02/2021 quy định về thuế"), (3, "Văn bản nào thay thế 10/2015/TT-BTC"), (4, "10/2015/TT-BTC sửa đổi văn bản nào, còn hiệu lực không?"), (5, "Từ 2020-01-01 đến 2021-01-01"), (6, "Tòa sẽ tuyên ai thắng?"), (7, "ngày 3 tháng 4 năm 2019")]
-QUESTIONS_SQL = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ") t(id, q)"
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question of each order, in a form that its priority picks; orders that are pending also ask who will win."""
+    rank, number = F.substring("o_orderpriority", 1, 1), (F.col("o_custkey") % 9000 + 1).cast("string")
+    day = F.col("o_orderdate").cast("date")
+    written = F.concat(F.lit("ngày "), F.dayofmonth(day), F.lit(" tháng "), F.month(day), F.lit(" năm "), F.year(day))
+    asked = F.concat(F.lit("Vào ngày "), F.date_format(day, "dd/MM/yyyy"), F.lit(" quy định về thuế"))
+    q = (
+        F.when(rank == "1", F.concat(F.lit("Điều "), F.col("o_orderkey") % 50, F.lit(" khoản "), F.col("o_orderkey") % 7, F.lit(" Nghị định "), number, F.lit("/2020/NĐ-CP hiện hành?")))
+        .when(rank == "2", F.when(F.col("o_custkey") % 2 == 0, asked).otherwise(written))
+        .when(rank == "3", F.concat(F.lit("Văn bản nào thay thế "), number, F.lit(" / 2015/tt-btc")))
+        .when(rank == "4", F.concat(number, F.lit("/2015/TT-BTC sửa đổi văn bản nào, còn hiệu lực không?")))
+        .otherwise(F.concat(F.lit("Từ "), F.date_format(day, "yyyy-MM-dd"), F.lit(" đến "), F.date_format(F.date_add(day, 365), "yyyy-MM-dd")))
+    )
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(q, F.when(F.col("o_orderstatus") == "P", " Tòa sẽ tuyên ai thắng?").otherwise("")).alias("q"))
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "id int, q string")
+#: What is known of a question by the way it was made.
+ASKED = "(SELECT o_orderkey AS id, left(o_orderpriority, 1) AS rank, (o_custkey % 9000 + 1)::VARCHAR AS number, o_orderkey AS k, o_orderdate::DATE AS day, o_orderstatus AS status FROM orders)"
 
 
-@query(f"""SELECT id, array_to_string(list_transform(regexp_extract_all(upper(q), '\\d{{1,4}}\\s*/\\s*(\\d{{4}}\\s*/\\s*)?[A-ZÀ-ỸĐ][A-ZÀ-ỸĐ0-9-]*'), lambda x: x), ',') AS numbers, array_to_string(regexp_extract_all(lower(q), 'điều\\s+(\\d+[a-z]?)', 1), ',') AS articles,
-array_to_string(regexp_extract_all(lower(q), 'khoản\\s+(\\d+[a-z]?)', 1), ',') AS clauses, array_to_string(list_filter([CASE WHEN lower(q) LIKE '%sửa đổi%' THEN 'AMENDS' END, CASE WHEN lower(q) LIKE '%thay thế%' THEN 'REPLACES' END], lambda x: x IS NOT NULL), ',') AS relations,
-CASE id WHEN 3 THEN 'incoming' WHEN 4 THEN 'outgoing' END AS direction FROM {QUESTIONS_SQL}""")
+@query(f"""SELECT id, CASE rank WHEN '1' THEN number || '/2020/NĐ-CP' WHEN '3' THEN number || '/2015/TT-BTC' WHEN '4' THEN number || '/2015/TT-BTC' ELSE '' END AS numbers, CASE rank WHEN '1' THEN (k % 50)::VARCHAR ELSE '' END AS articles, CASE rank WHEN '1' THEN (k % 7)::VARCHAR ELSE '' END AS clauses,
+CASE rank WHEN '3' THEN 'REPLACES' WHEN '4' THEN 'AMENDS' ELSE '' END AS relations, CASE rank WHEN '3' THEN 'incoming' WHEN '4' THEN 'outgoing' END AS direction FROM {ASKED}""")
 def parse_queries(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("q")
-    return _questions(spark).select("id", F.array_join(query_parse.document_numbers(q), ",").alias("numbers"), F.array_join(query_parse.provisions(q, "article"), ",").alias("articles"), F.array_join(query_parse.provisions(q, "clause"), ",").alias("clauses"), F.array_join(query_parse.relations(q), ",").alias("relations"), query_parse.direction(q).alias("direction"))
+    return _questions(spark, d).select("id", F.array_join(query_parse.document_numbers(q), ",").alias("numbers"), F.array_join(query_parse.provisions(q, "article"), ",").alias("articles"), F.array_join(query_parse.provisions(q, "clause"), ",").alias("clauses"), F.array_join(query_parse.relations(q), ",").alias("relations"), query_parse.direction(q).alias("direction"))
 
 
-@query(f"SELECT id, CASE id WHEN 2 THEN DATE '2021-02-01' WHEN 5 THEN NULL WHEN 7 THEN DATE '2019-04-03' ELSE DATE '2024-12-31' END AS as_of, CASE id WHEN 5 THEN 'ambiguous' END AS problem FROM {QUESTIONS_SQL}")
+@query(f"SELECT id, CASE WHEN rank = '5' OR (rank = '2' AND day > DATE '1997-12-31') THEN NULL WHEN rank = '2' THEN day ELSE DATE '1997-12-31' END AS as_of, CASE WHEN rank = '5' THEN 'ambiguous' WHEN rank = '2' AND day > DATE '1997-12-31' THEN 'after_cutoff' END AS problem FROM {ASKED}")
 def resolve_as_of(spark: SparkSession, d: str) -> DataFrame:
-    day = F.lit("2024-12-31").cast("date")
-    x = _questions(spark).select("id", query_parse.resolve_as_of(F.col("q"), F.lit(None).cast("date"), day, day).alias("r"))
+    day = F.lit("1997-12-31").cast("date")
+    x = _questions(spark, d).select("id", query_parse.resolve_as_of(F.col("q"), F.lit(None).cast("date"), day, day).alias("r"))
     return x.select("id", "r.as_of", "r.problem")
 
 
-@query(f"SELECT id, CASE WHEN lower(q) LIKE '%hiệu lực%' THEN 'status_lookup' WHEN lower(q) LIKE '%hiện hành%' THEN 'current_law' WHEN id IN (2, 5, 7) THEN 'historical' ELSE 'current_law' END AS intent FROM {QUESTIONS_SQL}")
+@query(f"SELECT id, CASE rank WHEN '4' THEN 'status_lookup' WHEN '1' THEN 'current_law' WHEN '3' THEN 'current_law' ELSE 'historical' END AS intent FROM {ASKED}")
 def temporal_intent(spark: SparkSession, d: str) -> DataFrame:
-    return _questions(spark).select("id", query_parse.temporal_intent(F.col("q")).alias("intent"))
+    return _questions(spark, d).select("id", query_parse.temporal_intent(F.col("q")).alias("intent"))
 
 
-@query(f"SELECT id, lower(q) LIKE '%tòa sẽ%' AS refused FROM {QUESTIONS_SQL}")
+@query(f"SELECT id, status = 'P' AS refused FROM {ASKED}")
 def refusal_gate(spark: SparkSession, d: str) -> DataFrame:
-    return _questions(spark).select("id", F.col("q").rlike(query_parse.REFUSED).alias("refused"))
+    return _questions(spark, d).select("id", F.col("q").rlike(query_parse.REFUSED).alias("refused"))
