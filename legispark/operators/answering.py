@@ -253,3 +253,33 @@ def latest_reviews(reviews: DataFrame, key: str = "cache_key") -> DataFrame:
 def review_key(judge: str, *parts: Column) -> Column:
     """What identifies a review: the judge, the request and the answer, as one hash."""
     return F.sha2(F.concat_ws("\x1f", F.lit(judge), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+
+
+#: What can befall an attempt, with its share of sixteen: nothing, an answer that needs a repair, or a failure.
+FAULTS = {"none": 8, "wrong": 3, "invalid_response": 2, "timeout": 1, "truncated": 1, "unavailable": 1}
+
+
+def fault_schedule(requests: DataFrame, seed: int, attempts: int = 2) -> DataFrame:
+    """(request_id, attempt, fault): what befalls each attempt, by a hash of seed, request and attempt, alike on every run."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("request_id").cast("string"), F.col("attempt").cast("string"))), 1, 1), 16, 10).cast("int")
+    fault, upto = F.lit(None).cast("string"), 16
+    for name, share in reversed(FAULTS.items()):
+        upto -= share
+        fault = F.when(drawn.between(upto, upto + share - 1), name).otherwise(fault)
+    return requests.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt")).withColumn("fault", fault)
+
+
+def replay(requests: DataFrame, answers: DataFrame, schedule: DataFrame, attempts: int = 2) -> DataFrame:
+    """Runs requests through all attempts under a schedule of faults. ``answers``: (request_id, right, wrong), the claims of a good answer and of one that a check finds."""
+    claims = F.when(F.col("fault") == "none", F.col("right")).when(F.col("fault") == "wrong", F.col("wrong"))
+    failure = F.when(~F.col("fault").isin("none", "wrong"), F.col("fault"))
+    none = lambda k: F.lit(None).cast(OUTPUT[k]).alias(k)
+    made = schedule.join(answers, "request_id").select("request_id", "attempt", F.lit("").alias("answer"), claims.cast(CLAIMS).alias("claims"), none("limitations"), F.lit("high").alias("confidence"), none("resolutions"), failure.alias("failure"))
+    return answer_requests(requests, queued(materialize(made, "scheduled")), attempts=attempts)
+
+
+def expected_states(schedule: DataFrame, attempts: int = 2) -> DataFrame:
+    """(request_id, state, attempts): how a schedule must end. An attempt that goes well ends it; one that needs a repair or gave no valid response is followed by the next; any other failure refuses."""
+    again = F.col("fault").isin("wrong", "invalid_response")
+    last = schedule.groupBy("request_id").agg(F.min(F.when(~again, F.col("attempt"))).alias("n"), F.min_by(F.when(~again, F.col("fault")), F.when(~again, F.col("attempt"))).alias("fault"))
+    return last.select("request_id", F.when(F.col("fault") == "none", "VERIFIED").otherwise("REFUSED").alias("state"), F.coalesce("n", F.lit(attempts)).alias("attempts"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from legispark.plans import answers, audits, evidence, relational, retrieval, texts, trees  # noqa: F401
+from legispark.plans import answers, audits, evidence, relational, retrieval, runs, texts, trees  # noqa: F401
 from legispark.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
