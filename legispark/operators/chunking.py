@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legispark.operators.structure import CONTAINERS, TABLE_KINDS, TABLE_MARKERS, classify, containment, line_tokens
+from legispark.operators.structure import CONTAINERS, TABLE_KINDS, TABLE_MARKERS, classify, line_tokens
+from legispark.operators.tree import read_lines
 
 _WORD = re.compile(r"\w+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
-SCHEMA = "doc_id long, chunk_id string, parent_id string, chunk_type string, is_indexable boolean, ordinal int, label string, path string, context string, text string, tokens int"
+SCHEMA = "chunk_id string, parent_id string, chunk_type string, is_indexable boolean, ordinal int, label string, path string, context string, text string, tokens int"
 
 
 @dataclass(frozen=True)
@@ -194,7 +195,7 @@ def _range(first: str, last: str) -> str | None:
     return (first if first == last else f"{first}-{last}") or None
 
 
-Line = namedtuple("Line", ["doc_id", "line", "kind", *CONTAINERS, "article"])
+Line = namedtuple("Line", ["row", "doc_id", "line", "kind", *CONTAINERS, "article"])
 
 
 def _chunk(rows: list[Line], policy: ChunkPolicy) -> Iterator[dict]:
@@ -297,19 +298,23 @@ def _chunk(rows: list[Line], policy: ChunkPolicy) -> Iterator[dict]:
 
 
 def chunk_documents(docs: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
-    """Chunks of documents (doc_id, text), by their structure.
+    """Chunks of documents (doc_id, text), by their structure as ``tree.read_lines`` has it.
 
-    Every line is in the text of some indexable chunk (tables by their cells); context and text of a chunk together do
-    not exceed the most tokens.
+    A document is a row, whatever its id: rows without one, or with one that others have, stay apart, and the id is carried
+    as it is. Every line is in the text of some indexable chunk (tables by their cells); context and text of a chunk
+    together do not exceed the most tokens.
     """
-    lines = containment(classify(line_tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))))
-    # The windows of the containment have put a document's lines into one partition; the sort keeps them together there.
-    lines = lines.sortWithinPartitions("doc_id", "line_no").select(*Line._fields)
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-
-    def table(found: list[dict]) -> pa.RecordBatch:
-        types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-        return pa.RecordBatch.from_arrays([pa.array([c[n] for c in found], types[t]) for n, t in (x.split() for x in SCHEMA.split(", "))], names=names)
+    read = read_lines(docs)
+    # A table's lines keep their marks; a title that a heading has taken opens no group of its own.
+    kind = F.when(F.col("inferred"), "appendix").when(F.col("taken"), "title").otherwise(F.col("mark"))
+    places = [F.col(c)["label"].alias(c) for c in (*CONTAINERS, "article")]
+    lines = read.select("row", "doc_id", "line", kind.alias("kind"), *places, "line_no").sortWithinPartitions("row", "line_no").select(*Line._fields)
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    columns = [x.split() for x in SCHEMA.split(", ")]
+
+    def table(found: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
+        ids = pa.array([c["doc_id"] for c in found], id_type)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array([c[n] for c in found], types[t]) for n, t in columns)], names=["doc_id", *(n for n, _ in columns)])
 
     def chunks_of(doc: list[Line]) -> list[dict]:
         return [c | {"doc_id": doc[0].doc_id, "ordinal": k} for k, c in enumerate(_chunk(doc, policy))]
@@ -317,18 +322,21 @@ def chunk_documents(docs: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc: list[Line] = []
         out: list[dict] = []
+        id_type = None
         for batch in batches:
+            id_type = batch.schema.field("doc_id").type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc and doc[0].doc_id != row[0]:
+                if doc and doc[0].row != row[0]:
                     out += chunks_of(doc)
                     doc = []
                     if len(out) > 2000:
-                        yield table(out)
+                        yield table(out, id_type)
                         out = []
                 doc.append(Line(*row))
-        yield table(out + (chunks_of(doc) if doc else []))
+        if doc:
+            yield table(out + chunks_of(doc), id_type)
 
-    return lines.mapInArrow(run, SCHEMA)
+    return lines.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def semantic_overlap(chunks: DataFrame, policy: ChunkPolicy = ChunkPolicy(), least_source: int = 600, least: int = 60) -> DataFrame:
@@ -353,6 +361,6 @@ def uncovered_lines(docs: DataFrame, chunks: DataFrame, policy: ChunkPolicy = Ch
     """
     from legispark.functions.text import token_count
 
-    lines = classify(line_tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))).filter(~F.col("kind").isin(*TABLE_KINDS))
+    lines = classify(line_tokens(docs.select("doc_id", "text"))).filter(~F.col("kind").isin(*TABLE_KINDS))
     held = chunks.filter("is_indexable").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).distinct()
     return lines.filter(token_count(F.col("line")) <= policy.target).join(held, ["doc_id", "line"], "left_anti").select("doc_id", "line_no", "line")

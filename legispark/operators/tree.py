@@ -28,7 +28,8 @@ OVERSIZE, LONG, MANY_WARNINGS = 50_000, 5_000, 20
 def document_lines(docs: DataFrame) -> DataFrame:
     """(row, doc_id, line_no from 1, line): the lines of the text without white space around it; blank ones count but are dropped."""
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", body.alias("_body"))
+    # Rows are dealt out before they are cut into lines, so that all that follows finds a document's lines in one partition.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", body.alias("_body")).repartition("row")
     lines = numbered.select("row", "doc_id", F.posexplode(F.split("_body", r"\r\n|\r|\n")).alias("_i", "line"))
     return lines.select("row", "doc_id", (F.col("_i") + 1).cast("long").alias("line_no"), F.trim(F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).alias("line")).filter("line <> ''")
 

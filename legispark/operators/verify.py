@@ -152,8 +152,8 @@ def _claim_problems(c: Column, i: Column) -> Column:
     )
 
 
-def _issue_problems() -> Column:
-    """Exactly one resolution for each issue; claims and resolutions point at each other."""
+def issue_problems() -> Column:
+    """Exactly one resolution for each issue; claims and resolutions point at each other. Columns: issue_ids, claims, resolutions, limitations."""
     issues, claims, made = F.col("issue_ids"), F.col("claims"), F.col("resolutions")
     resolved = F.transform(made, lambda r: r["issue_id"])
     twice = F.array_distinct(F.filter(resolved, lambda x: F.size(F.filter(resolved, lambda y: x == y)) > 1))
@@ -211,7 +211,7 @@ def verify(answers: DataFrame) -> DataFrame:
         _status_problems(text, F.transform(evidence, lambda e: F.upper(e["status"]))),
         _each(strange, "UNTRUSTED_URL"),
         F.flatten(F.transform("claims", _claim_problems)),
-        _issue_problems(),
+        issue_problems(),
         _if(F.coalesce(coarse, F.lit(False)) & ~limits.rlike(PROVISION_LIMIT), "PROVISION_STATUS_LIMITATION_MISSING"),
         history,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legispark.operators import chunking, evidence, load, search, structure, vectors
+from legispark.operators import answering, chat, chunking, evidence, load, search, structure, vectors, verify
 from legispark.plans.base import CHUNKS, chunks, query, table
 from legispark.plans.texts import law
 from legispark.sources import html
@@ -19,11 +19,20 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("query_id"), F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("article"), F.col("o_totalprice").alias("score"), F.row_number().over(w).cast("long").alias("rank"), (F.col("o_orderkey") % 97 + 5).alias("tokens"), F.col("o_orderstatus"))
 
 
-@query("""SELECT o_custkey % 20 AS query_id, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY (o_orderstatus <> 'F')::INT DESC, (o_orderkey % 5 = 0)::INT DESC, (o_orderkey % 7 = 0)::INT DESC, o_orderkey % 3 DESC, (o_orderkey % 2 = 0)::INT DESC, o_totalprice DESC, o_orderkey) AS position FROM orders""")
+ASKED = """ev AS (SELECT o_custkey AS query_id, o_orderkey AS item, o_orderkey % 7 AS document_id, o_orderpriority AS article, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, o_orderkey % 97 + 5 AS tokens FROM orders)"""
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of each customer: their orders, of seven documents."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 7).alias("document_id"), F.col("o_orderpriority").alias("article"), F.col("o_totalprice").alias("score"), F.row_number().over(w).cast("long").alias("rank"), (F.col("o_orderkey") % 97 + 5).alias("tokens"), F.col("o_orderstatus"))
+
+
+@query("""SELECT o_custkey AS query_id, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus <> 'F')::INT DESC, (o_orderkey % 5 = 0)::INT DESC, (o_orderkey % 7 = 0)::INT DESC, o_orderkey % 3 DESC, (o_orderkey % 2 = 0)::INT DESC, o_totalprice DESC, o_orderkey) AS position FROM orders""")
 def evidence_priority(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("item")
     p = evidence.priority(F.col("o_orderstatus") != "F", i % 5 == 0, i % 7 == 0, i % 3, F.when(i % 2 == 0, 1.0), F.col("score"), i)
-    return _evidence(spark, d).select("query_id", "item", F.row_number().over(Window.partitionBy("query_id").orderBy(p.desc())).cast("long").alias("position"))
+    return _asked(spark, d).select("query_id", "item", F.row_number().over(Window.partitionBy("query_id").orderBy(p.desc())).cast("long").alias("position"))
 
 
 @query("SELECT o_orderkey AS item, (o_orderstatus IN ('F', 'O')) AND (o_orderpriority IN ('1-URGENT')) AS exact FROM orders")
@@ -33,10 +42,10 @@ def exact_provision(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), ok.alias("exact"))
 
 
-@query(f"""WITH {EVIDENCE}, g AS (SELECT *, max(score) OVER w AS best, min(rank) OVER w AS first FROM ev WINDOW w AS (PARTITION BY query_id, document_id, article))
+@query(f"""WITH {ASKED}, g AS (SELECT *, max(score) OVER w AS best, min(rank) OVER w AS first FROM ev WINDOW w AS (PARTITION BY query_id, document_id, article))
 SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, first, document_id, article, score DESC, rank) AS position FROM g""")
 def evidence_groups(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.group_order(_evidence(spark, d)).select("query_id", "item", "position")
+    return evidence.group_order(_asked(spark, d)).select("query_id", "item", "position")
 
 
 @query("SELECT o_custkey AS id, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS issues, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS kept FROM orders GROUP BY 1")
@@ -45,9 +54,9 @@ def issue_merge(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.col("o_custkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("issues"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("kept"))
 
 
-@query(f"WITH {EVIDENCE}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY score DESC, item) AS n FROM ev) SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY n, article) AS position FROM n")
+@query(f"WITH {ASKED}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY score DESC, item) AS n FROM ev) SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY n, article) AS position FROM n")
 def issue_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    n = _evidence(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "article").orderBy(F.desc("score"), "item")))
+    n = _asked(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "article").orderBy(F.desc("score"), "item")))
     return n.select("query_id", "item", F.row_number().over(Window.partitionBy("query_id").orderBy("n", "article")).cast("long").alias("position"))
 
 
@@ -101,28 +110,46 @@ def claim_contract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS issue, CASE WHEN n = 0 THEN 'MISSING_ISSUE_RESOLUTION' ELSE 'DUPLICATE_ISSUE_RESOLUTION' END AS code FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey GROUP BY 1) WHERE n <> 1""")
 def issue_coverage(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
-    x = table(spark, d, "orders").select("o_orderkey").join(r, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n <> 1")
-    return x.select(F.col("o_orderkey").alias("issue"), F.when(F.col("n") == 0, "MISSING_ISSUE_RESOLUTION").otherwise("DUPLICATE_ISSUE_RESOLUTION").alias("code"))
+    """Each order as an answer to one issue, each returned item as a resolution of it."""
+    one = F.struct(F.lit("I1").alias("issue_id"), F.lit("INSUFFICIENT_EVIDENCE").alias("status"), F.array().cast("array<int>").alias("claim_indexes"), F.lit("thiếu").alias("explanation"))
+    r = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(one).cast(verify.RESOLUTIONS).alias("resolutions"))
+    x = table(spark, d, "orders").select("o_orderkey").join(r, "o_orderkey", "left")
+    x = x.select("o_orderkey", F.coalesce("resolutions", F.array().cast(verify.RESOLUTIONS)).alias("resolutions"), F.array(F.lit("I1")).alias("issue_ids"), F.array().cast(verify.CLAIMS).alias("claims"), F.array(F.lit("thiếu")).alias("limitations"))
+    return x.select(F.col("o_orderkey").alias("issue"), F.explode(verify.issue_problems()).alias("p")).select("issue", "p.code")
 
 
-@query("""SELECT o_custkey AS id, len(list_distinct(list(o_orderstatus))) < count(*) AS repeated, len(list_filter(list_distinct(list(o_orderstatus)), lambda s: s NOT IN ('F', 'O'))) > 0 AS unknown_verdict FROM orders GROUP BY 1""")
+@query("""SELECT id, CASE WHEN again THEN 'INCOMPLETE_OR_DUPLICATE_CLAIM_CHECKS' WHEN unknown THEN 'INVALID_VERDICT' END AS error FROM (SELECT id, bool_or(n > 1 AND dear) AS again, bool_or(status = 'P') AS unknown
+FROM (SELECT o_custkey AS id, o_orderstatus AS status, o_totalprice > 300000 AS dear, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY id)""")
 def judge_contract(spark: SparkSession, d: str) -> DataFrame:
-    verdicts = F.collect_set("o_orderstatus")
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.size(verdicts) < F.count(F.lit(1))).alias("repeated"), (F.size(F.array_except(verdicts, F.array(F.lit("F"), F.lit("O")))) > 0).alias("unknown_verdict"))
+    """Each customer's orders as the checks of a review; dear ones all judge the first claim, pending ones have no known verdict."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    said = F.when(F.col("o_orderstatus") == "F", "SUPPORTED").when(F.col("o_orderstatus") == "O", "CONTRADICTED").otherwise("MAYBE")
+    check = F.struct(F.when(F.col("o_totalprice") > 300000, 0).otherwise(n - 1).cast("int").alias("claim_index"), said.alias("verdict"), F.col("o_orderpriority").alias("reason"))
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), check.alias("c")).groupBy("id").agg(F.collect_list("c").alias("checks"))
+    error = answering.review_error(F.col("checks"), F.size("checks"), F.array().cast("array<string>"), F.array().cast(answering.COVERAGE))
+    return x.select("id", error.alias("error"))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 5 GROUP BY 1")
+@query("SELECT conv_id, string_agg(trim(regexp_replace(trim(text), '\\.+$', '') || '. [E' || turn || ']'), chr(10) || chr(10) ORDER BY turn) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 5 GROUP BY 1")
 def render_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The first five turns of a conversation as the claims of an answer."""
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    x = table(spark, d, "conversations").withColumn("n", n).filter("n <= 5").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("x"))
-    return x.select("conv_id", F.array_join(F.transform("x", lambda c: c["t"]), "\n").alias("answer"))
+    claim = F.struct(F.col("text"), F.array(F.concat(F.lit("E"), F.col("turn").cast("string"))).alias("evidence_ids"))
+    x = table(spark, d, "conversations").withColumn("n", n).filter("n <= 5").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", claim.alias("c")))).alias("x"))
+    return x.select("conv_id", answering.rendered(F.transform("x", lambda c: c["c"])).alias("answer"))
 
 
-@query("SELECT o_custkey AS id, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'ERROR' WHEN bool_or(o_orderstatus = 'F') THEN 'FLAGGED' ELSE 'PASSED' END AS status FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS id, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'REFUSED' WHEN bool_or(o_orderstatus = 'F') THEN 'REPAIR_REQUIRED' ELSE 'VERIFIED' END AS status FROM orders GROUP BY 1")
 def semantic_status(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("o_orderstatus")
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.when(F.bool_or(s == "P"), "ERROR").when(F.bool_or(s == "F"), "FLAGGED").otherwise("PASSED").alias("status"))
+    """Each customer's orders as the checked claims of an answer; a pending one stands for a judge that failed."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    said = F.when(F.col("o_orderstatus") == "F", "INSUFFICIENT").otherwise("SUPPORTED")
+    check = F.struct((n - 1).cast("int").alias("claim_index"), said.alias("verdict"), F.col("o_orderpriority").alias("reason"))
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), check.alias("c"), (F.col("o_orderstatus") == "P").alias("p"))
+    claim = F.struct(F.lit("c").alias("text"), F.array(F.lit("E1")).alias("evidence_ids"), F.array().cast("array<string>").alias("issue_ids"))
+    held = x.groupBy("id").agg(F.collect_list("c").cast(answering.CHECKS).alias("checks"), F.collect_list(claim).alias("claims"), F.bool_or("p").alias("review_failed"))
+    ready = held.withColumns({"verdict": F.lit("VERIFIED"), "problems": F.array().cast(verify.PROBLEMS), "issue_ids": F.array().cast("array<string>"), "coverage": F.array().cast(answering.COVERAGE), "quote_issues": F.array().cast("array<int>"), "plan_complete": F.lit(True)})
+    return answering.combine_review(ready).select("id", F.col("verdict").alias("status"))
 
 
 # Chat and sources.
@@ -130,7 +157,10 @@ def semantic_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, role, min(turn) AS turn, arg_min(text, turn) AS text FROM conversations GROUP BY 1, 2")
 def message_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return load.first_by(table(spark, d, "conversations"), ["conv_id", "role"], F.col("turn")).select("conv_id", "role", "turn", "text")
+    """All turns put in after those that open their conversations; a role's first message is its client id's only one."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("conversation_id"), F.col("role").alias("client_message_id"), F.col("turn").alias("created_at"), F.col("text").alias("content"))
+    held = c.filter("created_at = 0")
+    return chat.put_messages(held, c).select(F.col("conversation_id").alias("conv_id"), F.col("client_message_id").alias("role"), F.col("created_at").alias("turn"), F.col("content").alias("text"))
 
 
 @query("SELECT conv_id, conv_id % 5 = 0 AS pinned, max(turn) AS updated FROM conversations GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20")
@@ -141,16 +171,16 @@ def conversation_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey AS id, c_mktsegment AS workspace FROM customer WHERE regexp_matches(c_mktsegment, '^[A-Za-z0-9._-]{1,100}$') AND c_mktsegment = 'BUILDING'")
 def workspace_scope(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").filter(F.col("c_mktsegment").rlike(r"^[A-Za-z0-9._-]{1,100}$") & (F.col("c_mktsegment") == "BUILDING"))
-    return c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("workspace"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("workspace_id"))
+    return chat.of_workspace(c, "BUILDING").select("id", F.col("workspace_id").alias("workspace"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS project FROM orders WHERE o_orderkey % 7 <> 0")
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project"))
-    gone_project, gone = o.filter("project % 10 = 0").select(F.col("project").alias("_p")).distinct(), o.filter("id % 7 = 0").select("id")
-    left = o.join(gone, "id", "left_anti").join(gone_project, F.col("project") == F.col("_p"), "left")
-    return left.select("id", F.when(F.col("_p").isNull(), F.col("project")).alias("project"))
+    """Orders as conversations of their customers' projects: some projects are deleted, and some conversations."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("conversation_id"), F.col("o_custkey").alias("project_id"))
+    left = chat.delete_conversations(o, o.filter("conversation_id % 7 = 0"))
+    return chat.delete_projects(left, o.filter("project_id % 10 = 0")).select(F.col("conversation_id").alias("id"), F.col("project_id").alias("project"))
 
 
 @query("SELECT user_id, arg_max(event_id, (value, event_id)) AS source FROM events WHERE event_type IN ('view', 'click') AND value > 1 GROUP BY 1")
@@ -203,13 +233,13 @@ def semantic_overlap(spark: SparkSession, d: str) -> DataFrame:
     return chunking.semantic_overlap(c).filter("overlap_text IS NOT NULL").select("chunk_id", "overlap_from", "overlap_text")
 
 
-@query(f"""WITH {EVIDENCE}, g AS (SELECT *, max(score) OVER w AS best, min(rank) OVER w AS first FROM ev WINDOW w AS (PARTITION BY query_id, document_id, article)),
+@query(f"""WITH {ASKED}, g AS (SELECT *, max(score) OVER w AS best, min(rank) OVER w AS first FROM ev WINDOW w AS (PARTITION BY query_id, document_id, article)),
 p AS (SELECT query_id, item, tokens, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, first, document_id, article, score DESC, rank) AS position FROM g),
 o AS (SELECT query_id, list({{used: tokens::BIGINT, n: 1::BIGINT, items: [item::VARCHAR]}} ORDER BY position) AS x FROM p GROUP BY 1),
 r AS (SELECT query_id, list_reduce(list_prepend({{used: 0::BIGINT, n: 0::BIGINT, items: []::VARCHAR[]}}, x), lambda a, e: CASE WHEN a.used + e.used <= 400 AND a.n < 12 THEN {{used: a.used + e.used, n: a.n + 1, items: list_concat(a.items, e.items)}} ELSE a END) AS p FROM o)
 SELECT query_id, array_to_string(p.items, ',') AS items, p.used AS used FROM r""")
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.pack_budget(evidence.group_order(_evidence(spark, d)), 400, 12)
+    return evidence.pack_budget(evidence.group_order(_asked(spark, d)), 400, 12)
 
 
 @query()
@@ -227,8 +257,9 @@ def ancestor_excerpt(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select((F.col("item_id") % 8).alias("query_id"), F.col("item_id").cast("string").alias("item"), "text", F.col("item_id").alias("position"))
-    return evidence.near_duplicates(b)
+    """The turns of each conversation as the evidence of a query."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("string").alias("item"), "text", F.col("turn").alias("position"))
+    return evidence.near_duplicates(c)
 
 
 @query()
