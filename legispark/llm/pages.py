@@ -1,11 +1,12 @@
 """Main text of web pages by site template removal.
 
-Element subtrees are hashed; Spark counts, per host, on how many distinct pages each hash occurs; subtrees that recur on
-``LEAST_PAGES`` of them are the host's template and are deleted. Pages of a host with the same main text are copies of
-one page and count once, and the number does not rise with the host. What HTML itself says is used as well: elements for menus, headers,
-footers, sidebars, forms, scripts and styles go, elements whose class, id or role names such a thing go, and where a
-page marks its articles, or else its main elements, only these are taken. Inside an article only containers can be
-template, since a sentence that many articles share is still text.
+Element subtrees of the body are hashed; Spark counts, per host, on how many distinct pages each hash occurs; subtrees that
+recur on ``LEAST_PAGES`` of them are the host's template and are deleted first. Pages of a host with the same main text are
+copies of one page and count once, and the number does not rise with the host. What HTML itself says decides about the rest:
+elements for menus, headers, footers, sidebars, forms, scripts and styles go, elements whose class, id or role names such a
+thing go, and where a page marks its articles, or else its main elements, only these are taken. Inside an article only
+containers can be template, since a sentence that many articles share is still text. How many subtrees each of the two has
+removed is told per page.
 """
 
 from __future__ import annotations
@@ -173,21 +174,82 @@ def _descendants(node: Node) -> Iterator[Node]:
         todo += [c for c in x.children if isinstance(c, Node)]
 
 
+def _subtrees(tree: Node) -> list[tuple[Node, bool, bool]]:
+    """The subtrees of the body that could be template, each with whether HTML drops it and whether it is in an article.
+
+    What HTML drops counts as a whole and not by its parts, so that a word of a menu is no template elsewhere. Of an article
+    only containers can be; of what is outside, all that stands as a block.
+    """
+    roots = _roots(tree)
+    whole = len(roots) == 1 and not roots[0][1]
+    inside = set() if whole else {id(root) for root, _ in roots}
+    found: list[tuple[Node, bool, bool]] = []
+    todo = [(roots[0][0] if whole else tree, False)]
+    while todo:
+        x, in_article = todo.pop()
+        for c in x.children:
+            if not isinstance(c, Node) or c.tag in RAW or c.tag == "head":
+                continue
+            if id(c) in inside:
+                todo.append((c, True))
+            elif is_dropped(c, in_article):
+                if c.tag not in VOID:
+                    found.append((c, True, in_article))
+            else:
+                if c.tag in CONTAINERS if in_article else c.tag not in INLINE and c.tag not in VOID and c.tag not in ("html", "body"):
+                    found.append((c, False, in_article))
+                todo.append((c, in_article))
+    return found
+
+
+def _hashed(found: list[tuple[Node, bool, bool]]) -> None:
+    """Sets the digests of subtrees; a subtree inside another one has its own from that."""
+    for x, _, _ in found:
+        if not x.digest:
+            _hash(x)
+
+
 def candidates(tree: Node) -> set[int]:
     """Hashes of the subtrees of a page that could be template."""
-    found: list[Node] = []
-    for root, in_article in _roots(tree):
-        todo = [c for c in root.children if isinstance(c, Node)]
-        while todo:
-            x = todo.pop()
-            if is_dropped(x, in_article):
+    found = _subtrees(tree)
+    _hashed(found)
+    return {x.digest for x, _, _ in found}
+
+
+def removed(tree: Node, template: frozenset[int] | set[int]) -> tuple[int, int]:
+    """How many subtrees of a page go because they are template, and how many others because HTML says that they are no text,
+    each counted where it is outermost. Blocks beside the articles or main elements are of the second kind."""
+    found = _subtrees(tree)
+    _hashed(found)
+    roots = {id(root) for root, in_article in _roots(tree) if in_article}
+    # What has an article inside stays.
+    order, above, holds = [tree], {}, set()
+    for x in order:
+        for c in x.children:
+            if isinstance(c, Node):
+                above[id(c)] = x
+                order.append(c)
+        if id(x) in roots:
+            y = above.get(id(x))
+            while y is not None and id(y) not in holds:
+                holds.add(id(y))
+                y = above.get(id(y))
+    kind = {id(x): (x.digest in template, dropped, in_article) for x, dropped, in_article in found}
+    by_template = by_html = 0
+    todo = [tree]
+    while todo:
+        x = todo.pop()
+        for c in x.children:
+            if not isinstance(c, Node):
                 continue
-            if x.tag in CONTAINERS if in_article else x.tag not in INLINE and x.tag not in VOID:
-                found.append(x)
-            todo += [c for c in x.children if isinstance(c, Node)]
-    if found:
-        _hash(tree)
-    return {x.digest for x in found}
+            is_template, dropped, in_article = kind.get(id(c), (False, False, True))
+            if is_template and id(c) not in holds:
+                by_template += 1
+            elif dropped or (roots and id(c) in kind and not in_article and id(c) not in holds):
+                by_html += 1
+            else:
+                todo.append(c)
+    return by_template, by_html
 
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -197,7 +259,7 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
 
 def _text(tree: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
     if template:
-        _hash(tree)
+        _hashed(_subtrees(tree))
     out: list[str] = []
     for root, in_article in _roots(tree):
         todo: list = [" ", root]
@@ -256,12 +318,16 @@ def _extract(batches: Iterator[pa.RecordBatch], sites: dict[str, frozenset[int]]
     for batch in batches:
         own = batch.column(3).to_pylist()
         templates = [frozenset(t or ()) for t in own] if sites is None else [sites.get(host, frozenset()) for host in own]
-        text = [main_text(h, t) if h else "" for h, t in zip(batch.column(2).to_pylist(), templates, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        trees = [parse(h) if h else None for h in batch.column(2).to_pylist()]
+        gone = [removed(x, t) if x else (0, 0) for x, t in zip(trees, templates, strict=True)]
+        text = [_text(x, t) if x else "" for x, t in zip(trees, templates, strict=True)]
+        counts = [pa.array([g[k] for g in gone], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), *counts], names=["page_id", "url", "text", "n_chars", "n_template", "n_semantic"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) per row of ``pages``.
+    """(page_id, url, text, n_chars, n_template, n_semantic) per row of ``pages``: the main text, and how many subtrees went as
+    template and by what HTML says.
 
     A null html gives an empty text; a null url shares the host "" with other such rows; rows of a host with the same
     main text count as one page. Extra columns are not read.
@@ -276,4 +342,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
         sites = None
         marks = found.select("host", "page", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
         rows = rows.join(marks, ["host", "page"], "left").select("page_id", "url", "html", "template")
-    return rows.mapInArrow(lambda batches: _extract(batches, sites), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return rows.mapInArrow(lambda batches: _extract(batches, sites), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, n_template long, n_semantic long")

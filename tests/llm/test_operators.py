@@ -665,6 +665,27 @@ def test_page_templates_of_copies_and_large_hosts(spark, monkeypatch, broadcast)
     assert all(got[i] == "Text {0} Item {0}".format(0 if i < 305 else i) for i in range(300, 310))
 
 
+def test_templates_do_the_removal_that_they_can(spark):
+    """Counts of removed subtrees, from how the pages were made and not from the package's parser."""
+    from legispark.llm.pages import extract_text
+
+    rng = random.Random(41)
+    menus = ["".join(f"<li><a href=/{w}>{w}</a></li>" for w in ws) for ws in (("a", "b"), ("c", "d"), ("e", "f"))]
+    rows, made = [], {}
+    for i in range(60):
+        menu, foot, box = rng.randrange(3), i % 2, f"Eigen {i}"
+        used = rng.random() < 0.5
+        html = f"<html><head><title>t{i}</title><script>x({i})</script></head><body><nav><ul>{menus[menu]}</ul></nav><div class='ad'>{box}</div><div><div><article><h1>T {i}</h1><p>Text {i} here</p><p>shared sentence</p>{'<div><p>Share this</p></div>' if used else ''}</article></div></div><footer>{'all rights' if foot else f'page {i}'}</footer></body></html>"
+        rows.append((i, f"http://h.example/{i}", html))
+        made[i] = (menu, foot, used)
+    menu_pages, used_pages = Counter(m for m, _, _ in made.values()), sum(u for _, _, u in made.values())
+    assert min(menu_pages.values()) >= 4 and used_pages >= 4
+    got = {r.page_id: r for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i, (_, foot, used) in made.items():
+        assert got[i].text == f"T {i} Text {i} here shared sentence"
+        assert (got[i].n_template, got[i].n_semantic) == (1 + foot + used, 1 + (1 - foot)), i
+
+
 # Helpers.
 
 
