@@ -10,6 +10,7 @@ ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
 NO_BREAK_SPACES = "\u00a0\u202f\u2007"
 FILLER = r"(?:[._…]\s*){12,}"
 FILLER_PLACEHOLDER = "[THÔNG TIN ĐỂ TRỐNG]"
+MARKERS = ((r"^(\d+)\s*\.\s*", "."), (r"(?iu)^([a-zđ])\s*\)\s*", ")"), (r"^(\d+)\s*\)\s*", ")"))
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 SEED_STOPWORDS = ("ban", "bo", "cac", "cho", "co", "cua", "dan", "dong", "hien", "hoi", "khong", "mot", "nhan", "nhung", "phap", "quyet", "quy", "so", "thanh", "theo", "thi", "tinh", "tren", "trong", "trung", "uy", "van", "va", "ve", "viec")
 ACCENTED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵäëïöüñç"
@@ -28,9 +29,8 @@ def strip_zero_width(text: Column) -> Column:
 def normalize_marker(line: Column) -> Column:
     """A leading number or letter marker or bullet in its usual form; the first that fits is taken."""
     line = F.trim(line)
-    forms = [(r"^(\d+)\s*\.\s*", "."), (r"(?iu)^([a-zđ])\s*\)\s*", ")"), (r"^(\d+)\s*\)\s*", ")")]
     out = F.when(line.rlike(r"^[•●▪▫◦‣⁃∙]"), F.trim(F.concat(F.lit("- "), F.regexp_replace(line, r"^[•●▪▫◦‣⁃∙]\s*", "")))).otherwise(line)
-    for pattern, close in reversed(forms):
+    for pattern, close in reversed(MARKERS):
         marked = F.trim(F.concat(F.regexp_extract(line, pattern, 1), F.lit(close + " "), F.trim(F.regexp_replace(line, pattern, ""))))
         out = F.when(line.rlike(pattern), marked).otherwise(out)
     return out

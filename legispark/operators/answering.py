@@ -16,7 +16,7 @@ from legispark.functions import query_parse
 from legispark.operators.verify import CLAIMS, PROBLEMS, RESOLUTIONS, verify
 from legispark.storage import materialize
 
-# Limits of the contract, verdicts, and the texts of refusals.
+# Limits of the contract, verdicts, the texts of refusals, and the words of general and of specific questions.
 LIMITS = {"claims": 5, "claim_chars": 500, "evidence_ids": 8, "issue_ids": 5, "quotes": 8, "quote_chars": 1200, "limitations": 5, "limitation_chars": 300, "resolutions": 5, "explanation_chars": 500, "issues": 5, "issue_chars": 500, "reason_chars": 200}
 VERDICTS = ("SUPPORTED", "CONTRADICTED", "INSUFFICIENT")
 COVERAGE_VERDICTS = ("COVERED_BY_CLAIMS", "DECLARED_UNANSWERED", "MISSING_OR_PARTIAL")
@@ -26,6 +26,7 @@ REFUSAL_LIMIT = "Cần bổ sung nguồn pháp lý phù hợp và đã được
 PAST_REFUSAL = "Không đủ căn cứ lịch sử đã được xác minh để trả lời tại thời điểm "
 PAST_LIMIT = "Nguồn hiện có là nội dung phiên bản hiện tại, không chứng minh nội dung lịch sử tại thời điểm được hỏi."
 NO_ISSUE_ANSWERED = "Không đủ căn cứ để trả lời các vấn đề pháp lý đã xác định."
+GENERAL_WORD, SPECIFIC_WORDS = "tác động", "thay thế|bãi bỏ|sửa đổi|bổ sung"
 FAILURES = {"truncated": "GENERATION_TRUNCATED", "timeout": "GENERATION_TIMEOUT", "unavailable": "PROVIDER_UNAVAILABLE", "invalid_response": "INVALID_STRUCTURED_RESPONSE"}
 
 ANSWER_SCHEMA = "answer string, claims array<struct<text:string,evidence_ids:array<string>,supporting_quotes:array<struct<evidence_id:string,quote:string>>,issue_ids:array<string>>>, limitations array<string>, confidence string, issue_resolutions array<struct<issue_id:string,status:string,claim_indexes:array<int>,explanation:string>>"
@@ -106,7 +107,7 @@ def issue_plan(raw: Column) -> Column:
         (F.exists(F.transform(issues, wrong), lambda w: w), "INVALID_ISSUE"),
     )
     numbers = lambda i: query_parse.document_numbers(i["search_query"])
-    general = lambda i: F.lower(i["search_query"]).contains("tác động") & ~F.lower(i["search_query"]).rlike("thay thế|bãi bỏ|sửa đổi|bổ sung")
+    general = lambda i: F.lower(i["search_query"]).contains(GENERAL_WORD) & ~F.lower(i["search_query"]).rlike(SPECIFIC_WORDS)
     beside = lambda i: F.exists(issues, lambda o: (o["issue_id"] != i["issue_id"]) & F.arrays_overlap(numbers(o), numbers(i)) & (F.size(query_parse.relations(o["search_query"])) > 0))
     kept = F.filter(issues, lambda i: ~(general(i) & beside(i)))
     named = F.transform(kept, lambda i, n: F.struct(F.concat(F.lit("I"), (n + 1).cast("string")).alias("issue_id"), F.trim(i["question"]).alias("question"), F.trim(i["search_query"]).alias("search_query")))

@@ -14,14 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from legispark.functions.text import FILLER, FILLER_PLACEHOLDER, MARKERS
+
 # Element names of HTML by their effect on text, and the markers of tables.
 REMOVED = {"title", "script", "style", "noscript", "iframe", "svg", "canvas", "object", "embed"}
 IN_HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 BLOCKS = {"address", "article", "aside", "blockquote", "caption", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "legend", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 TABLE_START, TABLE_HEADERS, TABLE_ROW, TABLE_END = "[[TABLE_START]]", "[[TABLE_HEADERS]]", "[[TABLE_ROW]]", "[[TABLE_END]]"
 VERSION = "1"
-FILLER, FILLER_PLACEHOLDER = r"(?:[._…]\s*){12,}", "[THÔNG TIN ĐỂ TRỐNG]"
-_MARKERS = ((re.compile(r"^(\d+)\s*\.\s*"), "."), (re.compile(r"^([a-zđ])\s*\)\s*", re.I), ")"), (re.compile(r"^(\d+)\s*\)\s*"), ")"))
+_MARKERS = tuple((re.compile(pattern), close) for pattern, close in MARKERS)
 
 
 class _Reader(HTMLParser):
