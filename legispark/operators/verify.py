@@ -16,6 +16,8 @@ PROBLEMS = "array<struct<code:string,claim:int,detail:string>>"
 
 # How numbers, provisions, statuses and limits are worded.
 NUMBER = r"(?iuU)(?<!\w)\d{1,4}\s*/\s*\d{4}\s*/\s*[A-ZÀ-ỸĐ0-9]+(?:\s*-\s*[A-ZÀ-ỸĐ0-9]+)*(?!\w)"
+#: The same with a serial number of any length, for tables whose keys number the documents.
+LONG_NUMBER = NUMBER.replace(r"\d{1,4}", r"\d+", 1)
 URL = r"(?i)(?:https?://|www\.)[^\s<>()\[\]{}\"']+"
 EVIDENCE_ID = r"\b[EG][1-9][0-9]*\b"
 PROVISIONS = {
@@ -75,13 +77,13 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.transform(_matches(text, URL), lambda u: F.regexp_replace(u, r"[.,;:!?)\]}]+$", "")))
 
 
-def document_numbers(text: Column) -> Column:
-    return _matches(text, NUMBER)
+def document_numbers(text: Column, pattern: str = NUMBER) -> Column:
+    return _matches(text, pattern)
 
 
-def known_numbers(evidence: Column) -> Column:
+def known_numbers(evidence: Column, pattern: str = NUMBER) -> Column:
     """The numbers that evidence has: of its documents, of those they relate to, and in its texts."""
-    each = F.transform(evidence, lambda e: _strings(F.array(e["document_number"]), e["related_numbers"], document_numbers(e["text"])))
+    each = F.transform(evidence, lambda e: _strings(F.array(e["document_number"]), e["related_numbers"], document_numbers(e["text"], pattern)))
     return F.filter(F.transform(F.flatten(each), identifier), lambda n: n != "")
 
 
@@ -127,7 +129,7 @@ def _provision_problems(text: Column, evidence: Column, claim: Column | None = N
     return F.concat(*(of(field, pattern) for field, pattern in PROVISIONS.items()))
 
 
-def _claim_problems(c: Column, i: Column) -> Column:
+def _claim_problems(c: Column, i: Column, pattern: str) -> Column:
     """One claim against the evidence that it cites."""
     evidence = F.col("evidence")
     ids = _strings(c["evidence_ids"])
@@ -137,7 +139,7 @@ def _claim_problems(c: Column, i: Column) -> Column:
     stale = F.transform(F.filter(cited, lambda e: ~e["as_of"].eqNullSafe(F.col("as_of"))), lambda e: e["evidence_id"])
     covers = lambda e: F.coalesce((e["version_id"] != "") & (e["content_valid_from"] <= F.col("as_of")) & (e["content_valid_to"].isNull() | (F.col("as_of") < e["content_valid_to"])), F.lit(False))
     other_version = F.transform(F.filter(cited, lambda e: (F.col("temporal_intent") == "historical") & e["evidence_id"].startswith("E") & ~covers(e)), lambda e: e["evidence_id"])
-    numbers = F.filter(document_numbers(c["text"]), lambda n: ~F.array_contains(known_numbers(cited), identifier(n)))
+    numbers = F.filter(document_numbers(c["text"], pattern), lambda n: ~F.array_contains(known_numbers(cited, pattern), identifier(n)))
     said = F.flatten(F.concat(expected_statuses(c["text"]), expected_statuses(F.col("_said"))))
     silent = F.filter(F.array_distinct(statuses), lambda s: F.coalesce(*(F.when(s == k, ~_overlap(F.array(*map(F.lit, v)), said)) for k, v in DISCLOSURE.items()), F.lit(False)))
     about_cited = F.concat(
@@ -173,12 +175,13 @@ def issue_problems() -> Column:
     return F.when(F.size(issues) > 0, found).otherwise(F.array().cast(PROBLEMS))
 
 
-def verify(answers: DataFrame) -> DataFrame:
+def verify(answers: DataFrame, number: str = NUMBER) -> DataFrame:
     """Adds ``verdict`` (VERIFIED, REPAIR_REQUIRED or REFUSED) and ``problems`` (code, claim, detail; distinct, in the order of the checks).
 
     Columns: question, as_of, temporal_intent, historical_content_available, warnings, evidence, answer, claims,
     limitations, confidence, issue_ids, resolutions (``EVIDENCE``, ``CLAIMS``, ``RESOLUTIONS``); a null list is empty.
     A question that asks for the outcome of a case, missing evidence and missing historical text refuse at once.
+    ``number`` is what counts as a document's number.
     """
     empty = {"warnings": "array<string>", "evidence": EVIDENCE, "claims": CLAIMS, "limitations": "array<string>", "issue_ids": "array<string>", "resolutions": RESOLUTIONS}
     x = answers.withColumns({c: F.coalesce(F.col(c).cast(t), F.array().cast(t)) for c, t in empty.items()})
@@ -196,7 +199,7 @@ def verify(answers: DataFrame) -> DataFrame:
     unfounded = ~F.exists(evidence, lambda e: F.trim(F.coalesce(e["text"], F.lit(""))) != "")
     refusal = (F.size("claims") == 0) & (F.col("confidence") == "low") & text.rlike(REFUSAL)
 
-    numbers = F.filter(document_numbers(F.col("_all")), lambda n: ~F.array_contains(known_numbers(evidence), identifier(n)))
+    numbers = F.filter(document_numbers(F.col("_all"), number), lambda n: ~F.array_contains(known_numbers(evidence, number), identifier(n)))
     ids = F.array_except(_matches(F.col("_all"), EVIDENCE_ID), F.transform(evidence, lambda e: e["evidence_id"]))
     trusted = F.transform(F.filter(evidence, lambda e: F.coalesce(e["source_url"] != "", F.lit(False))), lambda e: address(e["source_url"]))
     strange = F.filter(urls(F.col("_all")), lambda u: ~F.array_contains(trusted, address(u)))
@@ -210,7 +213,7 @@ def verify(answers: DataFrame) -> DataFrame:
         _provision_problems(text, evidence),
         _status_problems(text, F.transform(evidence, lambda e: F.upper(e["status"]))),
         _each(strange, "UNTRUSTED_URL"),
-        F.flatten(F.transform("claims", _claim_problems)),
+        F.flatten(F.transform("claims", lambda c, i: _claim_problems(c, i, number))),
         issue_problems(),
         _if(F.coalesce(coarse, F.lit(False)) & ~limits.rlike(PROVISION_LIMIT), "PROVISION_STATUS_LIMITATION_MISSING"),
         history,
