@@ -220,16 +220,31 @@ def parse_quality(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).select("doc_id", F.when(F.exists("flags", lambda f: f.startswith("severe:")), "quarantine").when(F.size("flags") > 0, "review").otherwise("ok").alias("quality"))
 
 
-#: Pages and what can become of them: as they are, and in five forms that a page's number picks.
+#: What can become of a page: five other forms.
 FORMS = {1: None, 2: "' '", 3: "'<p></p><script>x</script>'", 4: "'<p>--</p>'", 5: "'<p>a ' || url || '</p>'"}
-FORMED = "CASE page_id % 7 " + " ".join(f"WHEN {k} THEN {v or 'NULL'}" for k, v in FORMS.items()) + " ELSE html END"
 
 
-@query("SELECT page_id AS id, CASE page_id % 7 WHEN 1 THEN 'source_null' WHEN 2 THEN 'source_blank' WHEN 3 THEN 'no_visible_text' WHEN 4 THEN 'no_meaningful_text' ELSE 'ok' END AS status FROM pages")
+#: What the cleaner can have made of a page: its own text, what is left without tags, a full stop, nothing, or no answer at all.
+OUTCOMES = {"stripped": "trim(regexp_replace(html, '<[^>]*>', '', 'g'))", "stop": "'.'", "nothing": "''", "unread": "NULL"}
+LABEL = """CASE WHEN clean <> '' THEN CASE WHEN regexp_matches(clean, '[\\p{L}\\p{N}]') THEN 'ok' ELSE 'no_meaningful_text' END WHEN html IS NULL THEN 'source_null' WHEN trim(html) = '' THEN 'source_blank' WHEN clean IS NULL THEN 'parse_error'
+WHEN seen = '' THEN 'no_visible_text' WHEN NOT regexp_matches(seen, '[\\p{L}\\p{N}]') THEN 'no_meaningful_text' ELSE 'cleaner_empty' END"""
+SEEN = "trim(regexp_replace(regexp_replace({0}, '<(script|style|noscript|title)\\b.*?(</(script|style|noscript|title)\\s*>|$)|<!--.*?(-->|$)', '', 'gis'), '<[^>]*>', '', 'g'))"
+ALL_FORMS = f"""forms AS (SELECT page_id AS id, 'as it is' AS form, html FROM pages UNION ALL SELECT page_id, 'form ' || k, CASE k {" ".join(f"WHEN {k} THEN {v or 'NULL'}" for k, v in FORMS.items())} END FROM pages, (VALUES {", ".join(f"({k})" for k in FORMS)}) v(k)),
+cleaned AS (SELECT *, {SEEN.format("html")} AS seen, {SEEN.format("html")} AS clean FROM forms UNION ALL SELECT page_id, name, html, {SEEN.format("html")}, clean FROM (""" + " UNION ALL ".join(f"SELECT page_id, '{k}' AS name, html, {v} AS clean FROM pages" for k, v in OUTCOMES.items()) + "))"
+
+
+@query(f"WITH {ALL_FORMS} SELECT id, form, {LABEL} AS status FROM cleaned")
 def clean_status(spark: SparkSession, d: str) -> DataFrame:
-    """The label that the cleaner gives each page, also without text, without letters, blank or missing."""
-    pages = table(spark, d, "pages").select("page_id", F.expr(FORMED).alias("html"))
-    return html.clean_pages(pages).select("id", F.col("clean_status").alias("status"))
+    """The label of every page as the cleaner leaves it, of the page in five other forms, and of four other ends of its cleaning."""
+    pages = table(spark, d, "pages").select("page_id", "html", "url")
+    form = lambda name, made: F.struct(F.lit(name).alias("form"), made.alias("html"))
+    forms = F.array(form("as it is", F.col("html")), *(form(f"form {k}", F.expr(v or "NULL").cast("string")) for k, v in FORMS.items()))
+    each = pages.select("page_id", F.inline(forms)).select(F.struct("page_id", "form").alias("page_id"), "html")
+    own = html.clean_pages(each).select("id.page_id", "id.form", F.col("clean_status").alias("status"))
+    ends = {"stripped": F.trim(F.regexp_replace("html", "<[^>]*>", "")), "stop": F.lit("."), "nothing": F.lit(""), "unread": F.lit(None).cast("string")}
+    end = lambda k, clean: F.struct(F.lit(k).alias("form"), html.clean_status(F.col("html"), clean).alias("status"))
+    other = pages.select("page_id", F.inline(F.array(*(end(k, v) for k, v in ends.items()))))
+    return own.unionByName(other).select(F.col("page_id").alias("id"), "form", "status")
 
 
 @query("SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS n FROM pages")

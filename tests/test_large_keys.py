@@ -24,3 +24,11 @@ def test_numbers_of_five_digits_are_checked(spark, large, name):
     names = [x[0] for x in want.description]
     got = QUERIES[name](spark, large).select(*names).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+def test_the_status_reads_every_page(spark, tmp_path):
+    pages = [(i, f"u{i}", "<script>x</script>" if i == 2 else " \n " if i < 8 else "<p>a</p>") for i in range(1, 9)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.id, r.form): r.status for r in QUERIES["clean_status"](spark, str(tmp_path)).collect()}
+    assert {i: got[i, "as it is"] for i in range(1, 9)} == {i: "no_visible_text" if i == 2 else "source_blank" if i < 8 else "ok" for i in range(1, 9)}
+    assert got[8, "nothing"] == "cleaner_empty" and got[8, "unread"] == "parse_error" and got[8, "form 1"] == "source_null" and len(got) == 80
