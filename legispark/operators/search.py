@@ -19,6 +19,8 @@ from legispark.storage import materialize
 BROADCAST_ROWS = 100_000
 #: Query vectors that one pass over the points answers, those that are scored at a time, and query terms that go into a filter of the texts.
 QUERY_BLOCK, SCORED_AT_ONCE, FILTER_TERMS = 20_000, 256, 2_000
+#: Rows that wait before a task sorts them into its best, rows that it gives at a time, and tasks that hold the best of a block of queries.
+WAITING, GIVEN_ROWS, TASKS_PER_CORE = 250_000, 50_000, 2
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -60,15 +62,52 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x[keep] / length[keep, None], at[keep]
 
 
+class _Best:
+    """The k best of each query among what a task has met: (query, score, id) by score and id, and the score from which more can enter."""
+
+    def __init__(self, n: int, k: int, least: float, kind: pa.DataType):
+        self.k, self.bar, self.waiting, self.n_waiting = k, np.full(n, least), [], 0
+        self.kept = pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "id": pa.array([], kind)})
+        self.room = max(WAITING, n * k // 2)
+
+    def add(self, q: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        if len(q):
+            self.waiting.append(pa.table({"q": q, "score": score, "id": ids.cast(self.kept.schema.field("id").type)}))
+            self.n_waiting += len(q)
+        if self.n_waiting > self.room:
+            self.settle()
+
+    def settle(self) -> pa.Table:
+        if self.waiting:
+            both = pa.concat_tables([self.kept, *self.waiting])
+            both = both.take(compute.sort_indices(both, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")]))
+            q = both["q"].to_numpy()
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == self.k - 1
+            self.bar[q[last]] = both["score"].to_numpy()[last]
+            self.kept, self.waiting, self.n_waiting = both.filter(pa.array(place < self.k)).combine_chunks(), [], 0
+        return self.kept
+
+    def give(self, query_ids: pa.Array, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
+        kept = self.settle()
+        out = pa.table([query_ids.take(kept["q"].combine_chunks()), kept["id"], kept["score"]], names=list(names))
+        yield from out.to_batches(max_chunksize=GIVEN_ROWS)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """In so few partitions that the best of each, for every query, stay little."""
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def dense_top_k(points: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """(query_id, point_id, score, rank) by cosine. Points: (point_id, vector), filtered before; queries: (query_id, vector), a stated set.
 
     Queries come in blocks of a bounded size, each of which one pass over the points answers: a task multiplies its
-    points with the block and gives the best k of each Arrow batch, and a ranked window joins these. Vectors that are
-    null, zero or have gaps are left out.
+    points with the block, holds the best k of each query, and gives these once; a ranked window joins them. Vectors
+    that are null, zero or have gaps are left out.
     """
     vectors = lambda c: F.col(c).cast("array<double>").alias("vector")
-    p = points.select("point_id", vectors("vector"))
+    p = _few(points.select("point_id", vectors("vector")))
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     kind = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", queries), ("point_id", points))}
@@ -82,16 +121,24 @@ def dense_top_k(points: DataFrame, queries: DataFrame, k: int, least: float | No
         ids = asked.column("query_id").combine_chunks().take(pa.array(rows))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
             for batch in batches:
+                best = best or _Best(len(q), k, -2.0 if least is None else least, batch.column(0).type)
                 x, at = _matrix(batch.column(1))
                 order = compute.sort_indices(batch.column(0).take(pa.array(at))).to_numpy()
                 x, at = x[order], at[order]
                 for low in range(0, len(q) if len(at) else 0, SCORED_AT_ONCE):
                     score = np.round(q[low : low + SCORED_AT_ONCE] @ x.T, 6)
-                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(score, best, axis=1)
-                    who, where = np.nonzero(value >= (-2.0 if least is None else least))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(low + who)), batch.column(0).take(pa.array(at[best[who, where]])), pa.array(value[who, where])], names=["query_id", "point_id", "score"])
+                    enters = score >= best.bar[low : low + SCORED_AT_ONCE, None]
+                    if np.count_nonzero(enters) > 2 * k * len(score):
+                        first = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                        inside = np.take_along_axis(enters, first, axis=1)
+                        who, where = np.nonzero(inside)[0], first[inside]
+                    else:
+                        who, where = np.nonzero(enters)
+                    best.add(low + who, score[who, where], batch.column(0).take(pa.array(at[where])))
+            if best is not None:
+                yield from best.give(ids, ("query_id", "point_id", "score"))
 
         return p.mapInArrow(run, f"query_id {kind['query_id']}, point_id {kind['point_id']}, score double")
 
@@ -101,6 +148,109 @@ def dense_top_k(points: DataFrame, queries: DataFrame, k: int, least: float | No
     return top_k(out, k, F.desc("score"), F.col("point_id"))
 
 
+def _hits(wanted: list[str]):
+    """Of each document its id, its number of words, and which of the wanted words it has how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.array(wanted, pa.string())
+        for batch in batches:
+            w = batch.column(1)
+            size = w.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = compute.index_in(w.flatten(), terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)[code >= 0]
+            met, tf = np.unique(row * len(wanted) + code[code >= 0], return_counts=True)
+            cut = np.searchsorted(met, np.arange(1, len(size)) * len(wanted))
+            pack = lambda x: pa.array([y.astype(np.int32).tobytes() for y in np.split(x, cut)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pack(met % max(1, len(wanted))), pack(tf)], names=["doc_id", "length", "codes", "counts"])
+
+    return run
+
+
+def _met(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and count of every hit of a batch."""
+    codes = [np.frombuffer(x, np.int32) for x in batch.column("codes").to_pylist()]
+    counts = [np.frombuffer(x, np.int32) for x in batch.column("counts").to_pylist()]
+    return np.repeat(np.arange(len(codes)), [len(x) for x in codes]), np.concatenate(codes), np.concatenate(counts)
+
+
+def bm25_top_k(docs: DataFrame, text: Column, terms: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query by BM25 of one field. ``terms``: distinct (query_id, term), a stated set.
+
+    A text's words are cut down to those that are asked for and written with it, a few bytes each. A task then adds up
+    the parts of a query's terms over a batch of documents at a time and gives its k best of each query once, so no row
+    is made for a query and a document that merely share a word.
+    """
+    terms = materialize(terms.select("query_id", "term").filter("term IS NOT NULL").distinct(), "query-terms")
+    parsed = docs.select("doc_id", words(text).alias("w"))
+    blocks = max(1, -(-terms.select("query_id").distinct().count() // QUERY_BLOCK))
+    kind = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", terms), ("doc_id", docs))}
+
+    def scored(block: int) -> DataFrame:
+        own = terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        asked = own.orderBy("query_id", "term").toArrow()
+        query, word = asked.column("query_id").combine_chunks().dictionary_encode(), asked.column("term").combine_chunks().cast(pa.string()).dictionary_encode()
+        ids, wanted = query.dictionary, word.dictionary.to_pylist()
+        hits = materialize(parsed.mapInArrow(_hits(wanted), f"doc_id {kind['doc_id']}, length long, codes binary, counts binary"), "term-hits")
+        total = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+
+        def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            df = np.zeros(len(wanted), np.int64)
+            for batch in batches:
+                df += np.bincount(_met(batch)[1], minlength=len(wanted)) if len(batch) else 0
+            there = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(df[there])], names=["code", "df"])
+
+        df = np.zeros(len(wanted))
+        for r in hits.select("codes", "counts").mapInArrow(frequencies, "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).toLocalIterator():
+            df[r.code] = r.df
+        n, mean = total.n, total.mean or 0.0
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        own_codes = np.split(word.indices.to_numpy().astype(np.int64), np.flatnonzero(np.diff(query.indices.to_numpy())) + 1) if len(query) else []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                if not len(batch):
+                    continue
+                best = best or _Best(len(ids), k, -np.inf, batch.column("doc_id").type)
+                batch = batch.take(compute.sort_indices(batch.column("doc_id")))
+                row, code, tf = _met(batch)
+                order = np.argsort(code, kind="stable")
+                row, code, tf = row[order], code[order], tf[order].astype(np.float64)
+                length = batch.column("length").to_numpy().astype(np.float64)[row]
+                part = idf[code] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)) if len(row) else tf
+                starts = np.searchsorted(code, np.arange(len(wanted) + 1))
+                for q, own in enumerate(own_codes):
+                    at = [slice(starts[c], starts[c + 1]) for c in own if starts[c] < starts[c + 1]]
+                    if not at:
+                        continue
+                    if len(at) == 1:
+                        where, score = row[at[0]], part[at[0]]
+                    else:
+                        summed, met = np.zeros(len(batch)), np.zeros(len(batch), bool)
+                        for s in at:
+                            summed[row[s]] += part[s]
+                            met[row[s]] = True
+                        where = np.flatnonzero(met)
+                        score = summed[where]
+                    # A part less than half a unit of the last digit below the bar may still round up to it.
+                    enters = np.flatnonzero(score >= best.bar[q] - 1e-6)
+                    where, score = where[enters], np.round(score[enters], 6)
+                    if len(where) > k:
+                        first = np.argsort(-score, kind="stable")[:k]
+                        where, score = where[first], score[first]
+                    best.add(np.full(len(where), q), score, batch.column("doc_id").take(pa.array(where)))
+            if best is not None:
+                yield from best.give(ids, ("query_id", "doc_id", "score"))
+
+        return _few(hits).mapInArrow(run, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, score double")
+
+    out = scored(0)
+    for block in range(1, blocks):
+        out = out.unionByName(scored(block))
+    return top_k(out, k, F.desc("score"), F.col("doc_id"))
+
+
 def words(text: Column) -> Column:
     """Lower-case words of a text; a null has none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")

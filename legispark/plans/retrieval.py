@@ -123,7 +123,7 @@ def structure_requirement(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
     dense = search.dense_top_k(_points(spark, d), _queries(spark, d), k).select("query_id", F.lit("dense").alias("source"), "point_id", F.col("score").alias("raw_score"), "rank")
-    sparse = search.top_k(_bm25(spark, d, {"text": 1.0}, _own_terms(spark, d)), k, F.desc("score"), F.col("doc_id")).select("query_id", F.lit("sparse").alias("source"), F.col("doc_id").alias("point_id"), F.col("score").alias("raw_score"), "rank")
+    sparse = search.bm25_top_k(table(spark, d, "documents"), F.col("text"), _own_terms(spark, d), k).select("query_id", F.lit("sparse").alias("source"), F.col("doc_id").alias("point_id"), F.col("score").alias("raw_score"), "rank")
     return dense.unionByName(sparse)
 
 
