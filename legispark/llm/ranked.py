@@ -34,6 +34,8 @@ SEPARATORS = table((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 QUERY_BYTES = 4 << 20
 #: Fixed values of the ranking.
 SCALE, LENGTH_SHARE = 1_000_000_000, 25
+#: Shards in a file of the index, which a task decodes together.
+SHARDS_PER_FILE = 2
 
 _LISTS = ("doc_ids", "known", "terms", "starts", "places")
 POSTINGS = "n_docs long, n_terms long, doc_ids binary, known binary, lengths binary, terms binary, starts binary, places binary, counts binary"
@@ -88,10 +90,10 @@ class Index:
 def build_index(docs: DataFrame, shard_bytes: int = BLOCK_BYTES) -> Index:
     """Writes the shards of ``docs`` in ``spark.checkpoint.dir``: once with counts, then with the impacts these have."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(read.mapInArrow(lambda batches: _shards(batches, shard_bytes), POSTINGS), "postings")
+    found = materialize(read.mapInArrow(lambda batches: _shards(batches, shard_bytes), POSTINGS), "postings", SHARDS_PER_FILE)
     total = found.agg(F.sum("n_docs").alias("docs"), F.sum("n_terms").alias("terms")).first()
     n_docs, n_terms = total.docs or 0, total.terms or 1
-    shards = materialize(found.select(*_LISTS, "lengths", "counts").mapInArrow(_impacts(n_docs, n_terms), INDEX), "index")
+    shards = materialize(found.select(*_LISTS, "lengths", "counts").mapInArrow(_impacts(n_docs, n_terms), INDEX), "index", SHARDS_PER_FILE)
     drop(found)
     return Index(shards, n_docs)
 
@@ -102,6 +104,12 @@ def _query_terms(text: str | None) -> Counter:
     return Counter({t: int(n) for t, n in zip(words.words.to_pylist(), np.bincount(words.code, minlength=len(words.words)), strict=True)})
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch; only one shard is a Python object at a time."""
+    for k in range(len(batch)):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _places_of(row: dict, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Which query terms the shard has, and the shard's code of each."""
     own = pa.array(row["terms"].split(b" "), pa.binary())
@@ -114,7 +122,7 @@ def _frequencies(terms: list[bytes]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, total = pa.array(terms, pa.binary()), np.zeros(len(terms), np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 term, code = _places_of(row, asked)
                 starts = np.frombuffer(row["starts"], np.int64)
                 total[term] += starts[code + 1] - starts[code]
@@ -140,7 +148,7 @@ def _search(items: list[list[tuple[int, int]]], terms: list[bytes], k: int):
         asked = pa.array(terms, pa.binary())
         top: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 term, code = _places_of(row, asked)
                 code_of = dict(zip(term.tolist(), code.tolist(), strict=True))
                 starts, places, impacts = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["places"], np.uint32), np.frombuffer(row["impacts"], np.uint32).astype(np.int64)

@@ -49,15 +49,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return it as read back.
 
     This cuts the lineage, and any executor can reread the table when another one is lost. ``drop`` removes it;
-    what is left goes when the application ends.
+    what is left goes when the application ends. ``rows_per_file`` is for rows of megabytes: a reader decodes as
+    much as 4096 rows of a file at a time, however long they are.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._legispark_path = path
     return out
