@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legispark.operators.structure import CONTAINERS, PATTERNS, STRUCTURAL, classify, looks_like_title, tables
-from legispark.storage import materialize
+from legispark.storage import drop, materialize
 
 # Headings that begin an appendix after a signature, marks around a title, and the longest inferred title.
 AFTER_SIGNATURE = r"(?iuU)^\s*(?:DANH\s+MỤC|BẢNG|BIỂU)(?:\s|$)"
@@ -104,10 +104,16 @@ def document_tree(docs: DataFrame) -> DataFrame:
     heading, list_item, paragraph for lines that are none of these. Every line is in one node: as its heading or title, its
     text, or a line of its table. A document without text has no nodes.
     """
-    return _tree(read_lines(docs))
+    return _tree(docs).drop("_told")
 
 
-def _tree(lines: DataFrame) -> DataFrame:
+def _tree(docs: DataFrame) -> DataFrame:
+    """The nodes, written down, and ``_told``, what is wrong with the table of a node.
+
+    A node is put together where its document's lines lie, and takes the lines of its table along: the texts are shuffled
+    once, as documents, and no table of lines is kept.
+    """
+    lines = read_lines(docs)
     kind, line = F.col("kind"), F.col("line")
     before = F.col("structured") & F.col("_last").isNull()
     # The node that each line belongs to, and the type of those that begin one.
@@ -139,15 +145,21 @@ def _tree(lines: DataFrame) -> DataFrame:
     rest = rest.when((F.col("_type") == "list_item") & (kind == "bullet"), F.regexp_extract(line, PATTERNS["bullet"], 1)).when(F.col("_type").isin(*CONTAINERS, "article", "table"), F.lit(None)).otherwise(line)
     each = lines.withColumn("_owner", owner).withColumn("_type", F.when(owner == F.col("line_no"), kind_of))
     text = F.when(F.col("taken") | (kind == "in_table"), F.lit(None)).otherwise(rest)
-    each = each.select("row", "doc_id", "line_no", "_owner", "_type", parent.alias("_parent"), depth.alias("_level"), label.alias("_label"), F.when(~F.col("inferred"), F.col("title")).alias("_title"), F.when(F.col("taken"), line).alias("_taken"), _path().alias("_path"), F.nullif(F.trim(text), F.lit("")).alias("_text"))
+    marked = F.when(F.col("table_id").isNotNull(), F.struct("line_no", F.col("mark").alias("kind"), "line"))
+    each = each.select("row", "doc_id", "line_no", "_owner", "_type", marked.alias("_mark"), parent.alias("_parent"), depth.alias("_level"), label.alias("_label"), F.when(~F.col("inferred"), F.col("title")).alias("_title"), F.when(F.col("taken"), line).alias("_taken"), _path().alias("_path"), F.nullif(F.trim(text), F.lit("")).alias("_text"))
     own = lambda name: F.max(F.when(F.col("_type").isNotNull(), F.col(name))).alias(name.strip("_"))
     nodes = each.groupBy("row", "doc_id", F.col("_owner").alias("node_id")).agg(
         F.max(F.when(F.col("_type").isNotNull(), F.col("_parent"))).alias("parent_id"), own("_level"), F.max("_type").alias("type"), own("_label"), own("_title"), F.max("_taken").alias("_taken"), own("_path"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("line_no", F.col("_text").alias("t"))))), lambda x: x["t"]), "\n").alias("text"), F.max("line_no").alias("line_end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("line_no", F.col("_text").alias("t"))))), lambda x: x["t"]), "\n").alias("text"), F.max("line_no").alias("line_end"), F.collect_list("_mark").alias("_marks"),
     )
-    found = tables(lines.select(F.col("row").alias("doc_id"), "line_no", F.col("mark").alias("kind"), "line")).select(F.col("doc_id").alias("row"), F.col("line_start").alias("node_id"), "headers", "rows")
-    titled = nodes.withColumn("title", F.when(F.col("type").isin(*CONTAINERS, "article"), F.coalesce("_taken", "title", F.lit(""))))
-    return titled.join(found, ["row", "node_id"], "left").select("row", "doc_id", "node_id", "parent_id", "level", "type", "label", "title", F.col("_taken").isNotNull().alias("title_inferred"), "path", "text", "line_end", "headers", "rows")
+    nodes = materialize(nodes.withColumn("title", F.when(F.col("type").isin(*CONTAINERS, "article"), F.coalesce("_taken", "title", F.lit("")))), "tree")
+    has_table = F.size("_marks") > 0
+    found = tables(nodes.filter(has_table).select(F.col("row").alias("doc_id"), F.inline("_marks"))).select(F.col("doc_id").alias("row"), F.col("line_start").alias("node_id"), "headers", "rows", F.col("warnings").alias("_told"))
+    plain = nodes.filter(~has_table)
+    for c in ("headers", "rows", "_told"):
+        plain = plain.withColumn(c, F.lit(None).cast(found.schema[c].dataType))
+    whole = plain.unionByName(nodes.filter(has_table).join(found, ["row", "node_id"], "left"))
+    return whole.select("row", "doc_id", "node_id", "parent_id", "level", "type", "label", "title", F.col("_taken").isNotNull().alias("title_inferred"), "path", "text", "line_end", "headers", "rows", "_told")
 
 
 def tree_warnings(docs: DataFrame) -> DataFrame:
@@ -155,11 +167,10 @@ def tree_warnings(docs: DataFrame) -> DataFrame:
 
     A repeated article is told at the first of those that share a number and a path.
     """
-    lines = materialize(read_lines(docs), "lines")
-    return _warnings(lines, materialize(_tree(lines), "tree"))
+    return _warnings(_tree(docs))
 
 
-def _warnings(lines: DataFrame, tree: DataFrame) -> DataFrame:
+def _warnings(tree: DataFrame) -> DataFrame:
     say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("warning")
     lower = F.lower("label")
     children = tree.filter("type IN ('clause', 'point')").select("row", F.col("parent_id").alias("node_id"), "type", lower.alias("n"))
@@ -175,10 +186,7 @@ def _warnings(lines: DataFrame, tree: DataFrame) -> DataFrame:
         articles.filter("text = '' AND children IS NULL").select("row", "doc_id", "node_id", say("article_without_body:", F.col("label"))),
         articles.groupBy("row", "doc_id", "path", lower.alias("n")).agg(F.min("node_id").alias("node_id"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("row", "doc_id", "node_id", say("duplicate_article_number:article=", F.col("n"), ",count=", F.col("c").cast("string"), ",path=", F.col("path"))),
     ]
-    marked = lines.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("_id"), "line_no", F.col("mark").alias("kind"), "line")
-    of_row = marked.filter("kind = 'table_start'").select(F.col("doc_id").alias("row"), F.col("_id").alias("doc_id")).distinct()
-    told = tables(marked).select(F.col("doc_id").alias("row"), F.col("line_start").alias("node_id"), F.explode("warnings").alias("warning"))
-    out.append(told.join(of_row, "row").select("row", "doc_id", "node_id", "warning"))
+    out.append(tree.filter("_told IS NOT NULL").select("row", "doc_id", "node_id", F.explode("_told").alias("warning")))
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
@@ -194,16 +202,16 @@ def parsed(docs: DataFrame, status: str | None = None) -> DataFrame:
     kept = docs.select("doc_id", F.when(F.coalesce(usable, F.lit(False)), F.col("text")).alias("text"), F.coalesce(F.length("text"), F.lit(0)).alias("_size"))
     # A table of its own, since rows are numbered where it is read.
     held = materialize(kept, "parsed")
-    every = held.select(F.monotonically_increasing_id().alias("row"), "doc_id", "_size")
-    lines = materialize(read_lines(held), "lines")
-    nodes = materialize(_tree(lines), "tree")
+    every = materialize(held.select(F.monotonically_increasing_id().alias("row"), "doc_id", "_size"), "documents")
+    nodes = _tree(held)
+    drop(held)
     kind, size = F.col("type"), F.length("text")
     n = lambda name: F.count_if(kind == name)
     own = nodes.groupBy("row").agg(
         F.max(F.when(kind == "preamble", F.col("text"))).alias("preamble"), F.max(F.when(~kind.isin("preamble", "clause", "point"), size)).alias("_largest"), F.max(F.when(kind == "article", size)).alias("_article"),
         *(n(v).alias(k) for k, v in COUNTS.items()),
     )
-    told = _warnings(lines, nodes).groupBy("row").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
+    told = _warnings(nodes).groupBy("row").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
     x = every.join(own, "row", "left").join(told, "row", "left").fillna(0, list(COUNTS)).withColumns({"warnings": F.coalesce("warnings", F.array().cast("array<string>")), "_nodes": F.col("_largest").isNotNull() | F.col("preamble").isNotNull()})
     x = x.withColumn("preamble", F.coalesce("preamble", F.lit("")))
     nested = F.col("parts") + F.col("chapters") + F.col("sections") > 0

@@ -183,3 +183,13 @@ def test_warnings(spark):
     text = "Điều 1. A\n1. x\n1. y\nđ) a\nĐ) b\nĐiều 2. B\nĐiều 2. C\na) m\na) n\n[[TABLE_START]]\n[[TABLE_ROW]]{"
     got = sorted((r.node_id, r.warning) for r in tree.tree_warnings(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect())
     assert got == [(1, "duplicate_clause_number:article=1"), (3, "duplicate_point_number:article=1,clause=1"), (6, "article_without_body:2"), (6, "duplicate_article_number:article=2,count=2,path="), (7, "duplicate_direct_point_number:article=2"), (10, "invalid_table_row:11"), (10, "unterminated_table:10")]
+
+
+def test_the_texts_are_shuffled_once_and_no_lines_are_kept(spark, monkeypatch):
+    written = []
+    kept = tree.materialize
+    monkeypatch.setattr(tree, "materialize", lambda df, name, *a: written.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange"))) or kept(df, name, *a))
+    docs = spark.createDataFrame([(1, "Điều 1. A\n1. b\n[[TABLE_START]]\nx\n[[TABLE_ROW]] [\"c\"]\n[[TABLE_END]]\nđ\n[[TABLE_START]]\ny"), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, tuple(r.warnings)) for r in tree.parsed(docs).select("doc_id", "warnings").collect())
+    assert got == [(1, ("unexpected_table_line:4", "unexpected_table_line:9", "unterminated_table:8")), (2, ())]
+    assert [n for n, _ in written] == ["parsed", "documents", "tree"] and dict(written)["tree"] == 1
