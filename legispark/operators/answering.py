@@ -183,12 +183,18 @@ def no_answer(requests: DataFrame, attempt: int) -> DataFrame:
     return requests.withColumns({k: F.lit(None).cast(t) for k, t in OUTPUT.items()} | {"answer": F.lit(REFUSAL), "confidence": F.lit("low")})
 
 
+def _all(requests: DataFrame) -> DataFrame:
+    """A side of a join that may have a row for each request. It is shuffled: rows that are alike make files so small that Spark
+    would take them for a table to collect and broadcast."""
+    return requests.hint("merge")
+
+
 def queued(prepared: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
     """A generator that takes the answers of ``prepared`` (request_id, attempt and the columns of ``OUTPUT``); where there is none it fails as unavailable."""
 
     def generate(requests: DataFrame, attempt: int) -> DataFrame:
         own = prepared.filter(F.col("attempt") == attempt).select("request_id", F.lit(True).alias("_found"), *OUTPUT)
-        out = requests.join(own, "request_id", "left")
+        out = requests.join(_all(own), "request_id", "left")
         return out.withColumn("failure", F.when(F.col("_found").isNull(), "unavailable").otherwise(F.col("failure"))).drop("_found")
 
     return generate
@@ -213,7 +219,7 @@ def answer_requests(requests: DataFrame, generate: Callable[[DataFrame, int], Da
     first = materialize(verify(blank).select("request_id", "as_of", "temporal_intent", "historical_content_available", "verdict", "problems"), "preflight")
     stopped = (F.col("verdict") == "REFUSED") & (F.size("problems") > 0)
     done = refused(first.filter(stopped), 0, F.col("problems"))
-    open_ = requests.join(first.filter(~stopped).select("request_id"), "request_id", "left_semi")
+    open_ = requests.join(_all(first.filter(~stopped).select("request_id")), "request_id", "left_semi")
     for n in range(1, attempts + 1):
         made = materialize(generate(open_, n), "generated")
         failed = F.col("failure").isNotNull()
@@ -233,7 +239,7 @@ def answer_requests(requests: DataFrame, generate: Callable[[DataFrame, int], Da
         if n == attempts:
             return done.unionByName(refused(left, n, F.col("problems")))
         retry = left.select("request_id").unionByName(made.filter(again).select("request_id"))
-        open_ = requests.join(retry, "request_id", "left_semi")
+        open_ = requests.join(_all(retry), "request_id", "left_semi")
     return done
 
 
@@ -275,7 +281,7 @@ def replay(requests: DataFrame, answers: DataFrame, schedule: DataFrame, attempt
     claims = F.when(F.col("fault") == "none", F.col("right")).when(F.col("fault") == "wrong", F.col("wrong"))
     failure = F.when(~F.col("fault").isin("none", "wrong"), F.col("fault"))
     none = lambda k: F.lit(None).cast(OUTPUT[k]).alias(k)
-    made = schedule.join(answers, "request_id").select("request_id", "attempt", F.lit("").alias("answer"), claims.cast(CLAIMS).alias("claims"), none("limitations"), F.lit("high").alias("confidence"), none("resolutions"), failure.alias("failure"))
+    made = schedule.join(_all(answers), "request_id").select("request_id", "attempt", F.lit("").alias("answer"), claims.cast(CLAIMS).alias("claims"), none("limitations"), F.lit("high").alias("confidence"), none("resolutions"), failure.alias("failure"))
     return answer_requests(requests, queued(materialize(made, "scheduled")), attempts=attempts)
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from legispark.operators import answering, chunk_rows, evaluate, judging
+from legispark.operators import verify as checks
 
 GOOD = {"claim_index": 0, "verdict": "SUPPORTED", "reason": "r"}
 COVER = {"issue_id": "I1", "verdict": "COVERED_BY_CLAIMS", "reason": " r ", "claim_indexes": [0]}
@@ -121,6 +122,24 @@ def test_a_replay_ends_as_the_rules_say(spark, data):
     assert done == want and {s for s, _ in done.values()} == {"VERIFIED", "REFUSED"}
 
 
+def test_a_replay_collects_no_requests(spark, monkeypatch):
+    plans, write = [], answering.materialize
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, *rest)
+
+    monkeypatch.setattr(answering, "materialize", seen)
+    item = "array(named_struct('evidence_id', 'E1', 'text', 'Điều 1 quy định', 'document_number', null, 'related_numbers', null, 'article', '1', 'clause', null, 'point', null, 'status', 'EFFECTIVE', 'related_statuses', null, 'status_scope', 'provision', 'source_url', null, 'as_of', date'2020-01-01', 'version_id', 'v1', 'content_valid_from', null, 'content_valid_to', null))"
+    asked = spark.range(50).selectExpr("id AS request_id", "'Điều 1 nói gì?' AS question", "date'2020-01-01' AS as_of", "'current_law' AS temporal_intent", "true AS historical_content_available", "cast(null AS array<string>) AS warnings", f"cast({item} AS {checks.EVIDENCE}) AS evidence", "cast(null AS array<string>) AS issue_ids")
+    claims = "array(named_struct('text', '{}', 'evidence_ids', array('E1'), 'issue_ids', cast(array() AS array<string>)))"
+    answers = spark.range(50).selectExpr("id AS request_id", f"{claims.format('Điều 1 có hiệu lực')} AS right", f"{claims.format('Điều 99')} AS wrong")
+    schedule = answering.fault_schedule(asked, 3)
+    done = {r.request_id: (r.state, r.attempts) for r in answering.replay(asked, answers, schedule).collect()}
+    assert done == {r.request_id: (r.state, r.attempts) for r in answering.expected_states(schedule).collect()}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_evaluation_keeps_failures_as_rows(spark):
     cases = spark.createDataFrame([(1, None), (2, "EMPTY_QUERY"), (3, None), (4, None)], "case_id int, problem string")
     grades = spark.createDataFrame([(1, "a", 2), (1, "b", 3), (1, "c", 1), (2, "a", 2), (3, "a", 1), (4, "a", 2)], "case_id int, item string, grade int")
