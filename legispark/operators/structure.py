@@ -13,7 +13,7 @@ PATTERNS = {
     "section": r"(?iuU)^\s*MỤC\s+([IVXLCDM]+|\d+[A-ZĐ]?)" + _END,
     "article": r"(?iuU)^\s*ĐIỀU\s+(\d+[A-ZĐ]?)" + _END,
     "appendix": r"(?iuU)^\s*(PHỤ\s+LỤC(?:\s+[IVXLCDM\d]+)?|MẪU\s+SỐ\s+\S+)" + _END,
-    "signature": r"(?iuU)^\s*(?:KT\.|TM\.|TL\.|TUQ\.)\s+.+$|(?iuU)^\s*NƠI\s+NHẬN\s*:?\s*$",
+    "signature": r"(?iuU)^\s*(?:(?:KT\.|TM\.|TL\.|TUQ\.)\s+.+|NƠI\s+NHẬN\s*:?\s*)$",
     "numbered_item": r"(?iuU)^\s*(\d{1,3}[a-zđ]?)[.)]\s*(.*)$",
     "lettered_item": r"(?iuU)^\s*([a-zđ]\d*)[.)]\s*(.*)$",
     "bullet": r"^\s*[-–—•▪▫◦‣⁃∙]\s*(.*)$",
@@ -36,9 +36,12 @@ def line_tokens(docs: DataFrame) -> DataFrame:
 
 def is_free_heading(line: Column) -> Column:
     """A known heading, or at most 140 characters of whose letters nine in ten are capitals."""
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    return line.rlike(FREE_HEADINGS) | ((letters > 0) & (F.length(line) <= 140) & (capitals >= letters * 0.9))
+    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
+    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
+    # Of up to 140 letters at most 14 may be small, of up to 19 one: most lines are settled without counting.
+    small = lambda n: line.rlike(rf"^(?:\P{{Ll}}*+\p{{Ll}}){{{n}}}")
+    settled = (F.length(line) > 140) | small(15) | ((F.length(line) < 20) & small(2)) | ~line.rlike(r"\p{Lu}")
+    return F.when(line.rlike(FREE_HEADINGS), True).when(settled, False).otherwise(capitals >= letters * 0.9)
 
 
 def classify(lines: DataFrame) -> DataFrame:

@@ -193,3 +193,25 @@ def test_the_texts_are_shuffled_once_and_no_lines_are_kept(spark, monkeypatch):
     got = sorted((r.doc_id, tuple(r.warnings)) for r in tree.parsed(docs).select("doc_id", "warnings").collect())
     assert got == [(1, ("unexpected_table_line:4", "unexpected_table_line:9", "unterminated_table:8")), (2, ())]
     assert [n for n, _ in written] == ["parsed", "documents", "tree"] and dict(written)["tree"] == 1
+
+
+def test_one_sort_serves_all_windows(spark):
+    docs = spark.createDataFrame([(1, "Điều 1. A\n1. b")], "doc_id long, text string")
+    plan = tree.read_lines(docs)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"\bSort \[", plan)) == 1 and len(re.findall(r"\bWindow \[", plan)) <= 3
+
+
+def test_white_space_and_heads_as_the_patterns_have_them(spark):
+    from pyspark.sql import functions as F
+
+    from legispark.operators.structure import is_free_heading
+
+    chars = spark.range(1, 0x3100).selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c", "id")
+    odd = chars.filter("id < 55296").select("id", (F.regexp_replace("c", r"(?U)^\s+|\s+$", "") == "").alias("a"), (F.btrim("c", F.lit(tree.SPACE)) == "").alias("b")).filter("a <> b")
+    assert odd.collect() == []
+    rng = random.Random(4)
+    lines = ["".join(rng.choice(rng.choice(("ABĐÊ", "abđê", " ,.1", "ÁǅʰA"))) for _ in range(rng.choice((1, 3, 10, 19, 20, 40, 139, 140, 141)))) for _ in range(600)]
+    lines += ["A" * n + "b" * k for n in (8, 9, 17, 18, 19, 126, 127, 130) for k in (0, 1, 2, 14, 15)]
+    letters, capitals = F.length(F.regexp_replace("line", r"[^\p{L}]", "")), F.length(F.regexp_replace("line", r"[^\p{Lu}]", ""))
+    x = spark.createDataFrame([(s,) for s in lines], "line string").select("line", is_free_heading(F.col("line")).alias("got"), ((letters > 0) & (F.length("line") <= 140) & (capitals >= letters * 0.9)).alias("want"))
+    assert x.filter("got <> want").collect() == [] and x.filter("want").count() > 10
