@@ -215,3 +215,12 @@ def test_white_space_and_heads_as_the_patterns_have_them(spark):
     letters, capitals = F.length(F.regexp_replace("line", r"[^\p{L}]", "")), F.length(F.regexp_replace("line", r"[^\p{Lu}]", ""))
     x = spark.createDataFrame([(s,) for s in lines], "line string").select("line", is_free_heading(F.col("line")).alias("got"), ((letters > 0) & (F.length("line") <= 140) & (capitals >= letters * 0.9)).alias("want"))
     assert x.filter("got <> want").collect() == [] and x.filter("want").count() > 10
+
+
+@pytest.mark.parametrize("read", [lambda x: tree.tree_warnings(x), lambda x: tree.parsed(x).select("doc_id", "quality_flags", "parse_quality")], ids=["warnings", "quality"])
+def test_texts_of_nodes_are_not_written(spark, monkeypatch, read):
+    written = []
+    kept = tree.materialize
+    monkeypatch.setattr(tree, "materialize", lambda df, name, *a: written.append((name, df.columns)) or kept(df, name, *a))
+    found = read(spark.createDataFrame([(1, "Điều 1. A\n1. b\n1. c"), (1, None)], "doc_id long, text string")).collect()
+    assert "text" not in dict(written)["tree"] and found
